@@ -6,10 +6,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenqc.llm import secret_scan, simhash
+from public_tokenizers import path as tokenizer_file
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumenqc.llm import decontam, language, packing, quality_rules, secret_scan, simhash
 from lumenqc.llm.common import table
 
 
+TOKENIZER = tokenizer_file("word_bpe_49k.json")
+PIECES = tokenizer_file("piece_bpe_32k.model")
+
+
+def op1_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 4 == 2)
+    model = language.train(docs.where(~F.col("held_out")), PIECES)
+    return language.predict(docs, model).withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 4 == 2)
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
 
@@ -19,7 +45,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op9_secret_scan, op10_simhash)
+    made = (op1_decontam, op3_quality_rules, op4_language_id, op6_packing, op9_secret_scan, op10_simhash)
     return {f.__name__: f for f in made}
 
 
