@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,3 +40,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def let(value: Column, body) -> Column:
     """``body(value)`` with value evaluated once a row, also where the optimiser moves the expression."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def lots(texts: list[str | None], most: int = 2_000_000) -> Iterator[list[str | None]]:
+    """``texts`` in order, in lists of about ``most`` characters, so that what is made of them stays small."""
+    lot, size = [], 0
+    for t in texts:
+        lot.append(t)
+        size += len(t or "")
+        if size >= most:
+            yield lot
+            lot, size = [], 0
+    if lot:
+        yield lot

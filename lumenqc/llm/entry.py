@@ -10,7 +10,7 @@ from public_tokenizers import path as tokenizer_file
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenqc.llm import decontam, language, packing, quality_rules, secret_scan, simhash
+from lumenqc.llm import decontam, language, packing, quality_rules, secret_scan, simhash, token_store
 from lumenqc.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op1_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.round_trip(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -45,7 +49,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_decontam, op3_quality_rules, op4_language_id, op6_packing, op9_secret_scan, op10_simhash)
+    made = (op1_decontam, op2_token_ids, op3_quality_rules, op4_language_id, op6_packing, op9_secret_scan, op10_simhash)
     return {f.__name__: f for f in made}
 
 

@@ -18,7 +18,6 @@ repeat their result; an empty table gives an empty result; other columns are ign
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -29,86 +28,145 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenqc.llm.common import written
+from lumenqc.llm.common import lots, written
 
 LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 32
 #: Entries that a worker keeps of words it has scored; beyond, it starts anew.
 CACHE = 400_000
 
-_pieces: dict[str, dict[str, int]] = {}
+class Vocabulary:
+    """Pieces by a 64-bit polynomial hash, so that all substrings of many words are looked up at once."""
 
+    BASE, BITS = np.uint64(0x9E3779B97F4A7C15 | 1), 21
 
-def vocabulary(path: str) -> dict[str, int]:
-    """Piece: id, without control and byte pieces.  Read once in each Python worker."""
-    if path not in _pieces:
+    def __init__(self, path: str) -> None:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        _pieces[path] = {sp.id_to_piece(i): i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i))}
-    return _pieces[path]
+        pieces = {sp.id_to_piece(i): i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i))}
+        self.size = sp.get_piece_size()
+        self.unknown, self.none = self.size, self.size + 1  # a character that is no piece; no piece at all
+        self.longest = min(16, max(map(len, pieces)))
+        self.lengths = np.ones(self.size + 2)
+        keys, ids = [], []
+        for n in range(1, self.longest + 1):
+            of = [x for x in pieces if len(x) == n]
+            if of:
+                codes = np.array([list(map(ord, x)) for x in of], np.uint64)
+                keys.append(self.substring(self.prefixes(codes), 0, n))
+                ids.append(np.array([pieces[x] for x in of]))
+                self.lengths[ids[-1]] = n
+        self.tables = []  # a key that finds its slot taken goes to the next table
+        key, value = np.concatenate(keys), np.concatenate(ids).astype(np.int32)
+        while len(key):
+            slots, hashes, values = self.slot(key), np.zeros(1 << self.BITS, np.uint64), np.full(1 << self.BITS, self.none, np.int32)
+            first = np.unique(slots, return_index=True)[1]
+            hashes[slots[first]], values[slots[first]] = key[first], value[first]
+            self.tables.append((hashes, values))
+            key, value = np.delete(key, first), np.delete(value, first)
+
+    def slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - self.BITS)
+
+    def prefixes(self, codes: np.ndarray) -> list[np.ndarray]:
+        out = [np.zeros(len(codes), np.uint64)]
+        for k in range(codes.shape[1]):
+            out.append(out[-1] * self.BASE + codes[:, k])
+        return out
+
+    def substring(self, prefixes: list[np.ndarray], a: int, b: int) -> np.ndarray:
+        power = np.uint64(1)
+        with np.errstate(over="ignore"):
+            for _ in range(b - a):
+                power = power * self.BASE
+        return prefixes[b] - prefixes[a] * power
+
+    def lattice(self, words: list[str]) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(start, end, rows, pieces) over words of one length: rows[i] of them has pieces[i] there."""
+        n = len(words[0])
+        prefixes = self.prefixes(np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, n).astype(np.uint64))
+        out = []
+        for b in range(1, n + 1):
+            for a in range(max(0, b - self.longest), b):
+                key = self.substring(prefixes, a, b)
+                slot = self.slot(key)
+                found = np.full(len(words), self.unknown if b - a == 1 else self.none, np.int32)
+                for hashes, values in self.tables:
+                    found = np.where(hashes[slot] == key, values[slot], found)
+                rows = np.flatnonzero(found != self.none)
+                if len(rows):
+                    out.append((a, b, rows, found[rows]))
+        return out
+
+
+_vocabularies: dict[str, Vocabulary] = {}
+
+
+def vocabulary(path: str) -> Vocabulary:
+    """Read once in each Python worker."""
+    if path not in _vocabularies:
+        _vocabularies[path] = Vocabulary(path)
+    return _vocabularies[path]
+
+
+def alike(found: list[str], most: int = 20_000) -> Iterator[np.ndarray]:
+    """Indices of words of one length, at most so many at a time."""
+    length = np.fromiter(map(len, found), np.int64, len(found))
+    order = np.argsort(length, kind="stable")
+    for same in np.split(order, np.flatnonzero(np.diff(length[order])) + 1):
+        for at in range(0, len(same), most):
+            yield same[at : at + most]
 
 
 def words(chunk: str) -> list[str]:
     """The marked words of a space-free chunk."""
-    return ["▁" + run[i : i + LONGEST] for run in LETTERS.findall(chunk.lower()) for i in range(0, len(run), LONGEST)]
-
-
-def edges(word: str, pieces: dict[str, int], longest: int) -> list[tuple[int, int, int]]:
-    """(start, end, piece) of all pieces in ``word``; a character that is no piece is piece -1."""
     out = []
-    for a in range(len(word)):
-        for b in range(a + 1, min(len(word), a + longest) + 1):
-            k = pieces.get(word[a:b])
-            if k is not None:
-                out.append((a, b, k))
-            elif b == a + 1:
-                out.append((a, b, -1))
+    for run in LETTERS.findall(chunk.lower()):
+        run = run if run.isalpha() else "".join(filter(str.isalpha, run))
+        out += ["▁" + run[i : i + LONGEST] for i in range(0, len(run), LONGEST)]
     return out
 
 
 @dataclass
 class Model:
-    """p: languages x (pieces + 1) probabilities, the last for characters that are no piece."""
+    """p: probabilities by piece (then the unknown character, then no piece) and language."""
 
     langs: list[str]
     p: np.ndarray
     path: str
 
-    def __post_init__(self) -> None:
-        self.columns = self.p.T.tolist()
-
-    def forward(self, word: str) -> list[float]:
-        """The log-probability of ``word`` in each language, over all segmentations."""
-        pieces = vocabulary(self.path)
-        n = len(self.langs)
-        total = [[0.0] * n for _ in range(len(word) + 1)]
-        total[0] = [1.0] * n
-        for a, b, k in edges(word, pieces, 16):
-            x, y, p = total[a], total[b], self.columns[k]
-            for i in range(n):
-                y[i] += x[i] * p[i]
-        return [math.log(max(x, 1e-300)) for x in total[-1]]
-
-
-def expected(word: str, count: float, model: Model, lang: int, into: dict[int, float]) -> None:
-    """Adds ``count`` times the expected uses of each piece in ``word`` (forward-backward)."""
-    found = edges(word, vocabulary(model.path), 16)
-    n = len(word)
-    ahead, back = [0.0] * (n + 1), [0.0] * (n + 1)
-    ahead[0] = back[n] = 1.0
-    p = model.columns
-    for a, b, k in found:
-        ahead[b] += ahead[a] * p[k][lang]
-    if ahead[n] <= 0:
-        return
-    for a, b, k in reversed(found):
-        back[a] += p[k][lang] * back[b]
-    scale = count / ahead[n]
-    for a, b, k in found:
-        use = ahead[a] * p[k][lang] * back[b] * scale
-        if use:
-            into[k] = into.get(k, 0.0) + use
+    def forward(self, lattice: list, words: int, n: int) -> list[np.ndarray]:
+        """By place in the words: the summed probability of all segmentations up to there, words x languages."""
+        total = [np.zeros((words, len(self.langs))) for _ in range(n + 1)]
+        total[0][:] = 1.0
+        for a, b, rows, found in lattice:  # by end, so total[a] is complete
+            total[b][rows] += total[a][rows] * self.p[found]
+        return total
+
+    def scores(self, found: list[str]) -> np.ndarray:
+        """Log-probabilities, words x languages."""
+        out = np.zeros((len(found), len(self.langs)))
+        for at in alike(found):
+            some = [found[i] for i in at.tolist()]
+            out[at] = np.log(np.maximum(self.forward(vocabulary(self.path).lattice(some), len(some), len(some[0]))[-1], 1e-300))
+        return out
+
+    def expected(self, found: list[str], counts: np.ndarray, lang: int) -> np.ndarray:
+        """Expected uses of each piece in the counted words of a language (forward-backward)."""
+        one = Model([self.langs[lang]], self.p[:, lang : lang + 1], self.path)
+        uses = np.zeros(len(self.p))
+        for at in alike(found):
+            some, n = [found[i] for i in at.tolist()], len(found[at[0]])
+            lattice = vocabulary(self.path).lattice(some)
+            ahead, back = one.forward(lattice, len(some), n), [np.zeros((len(some), 1)) for _ in range(n + 1)]
+            back[n][:] = 1.0
+            for a, b, rows, k in reversed(lattice):
+                back[a][rows] += one.p[k] * back[b][rows]
+            scale = counts[at] / np.maximum(ahead[n][:, 0], 1e-300)
+            for a, b, rows, k in lattice:
+                uses += np.bincount(k, (ahead[a][rows] * one.p[k] * back[b][rows])[:, 0] * scale[rows], len(uses))
+        return uses
 
 
 def word_counts(labelled: DataFrame, text_col: str, lang_col: str) -> DataFrame:
@@ -143,27 +201,26 @@ def train(
     langs = sorted(r[0] for r in counted.select("lang").distinct().collect())  # a row a language
     if not langs:
         return None
-    size = max(vocabulary(vocabulary_path).values()) + 2
-    lengths = np.ones(size)
-    for piece, k in vocabulary(vocabulary_path).items():
-        lengths[k] = len(piece)
-    model = Model(langs, np.tile(1e-4 * 0.5 ** (8 / lengths), (len(langs), 1)), vocabulary_path)  # long pieces first
+    size = vocabulary(vocabulary_path).size + 2
+    model = Model(langs, np.tile((1e-4 * 0.5 ** (8 / vocabulary(vocabulary_path).lengths))[:, None], (1, len(langs))), vocabulary_path)  # long pieces first
+    model.p[-1] = 0.0
     for _ in range(rounds):
         now = model
 
         def run(batches: Iterator[pa.RecordBatch], model: Model = now) -> Iterator[pa.RecordBatch]:
-            spot = {x: i for i, x in enumerate(model.langs)}
-            uses: dict[str, dict[int, float]] = {x: {} for x in model.langs}
             for batch in batches:
-                for lang, word, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                    expected(word, n, model, spot[lang], uses[lang])
-            for lang, by in uses.items():
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(by), pa.string()), pa.array(list(by), pa.int32()), pa.array(list(by.values()), pa.float64())], names=["lang", "piece", "uses"])
-
-        p = np.full((len(langs), size), smoothing)
+                lang, found, n = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist(), batch.column(2).to_numpy()
+                for i, name in enumerate(model.langs):
+                    at = np.flatnonzero(lang == name)
+                    uses = model.expected([found[k] for k in at.tolist()], n[at], i)
+                    some = np.flatnonzero(uses)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(uses[some])], names=["lang", "piece", "uses"])
+
+        p = np.full((size, len(langs)), smoothing)
         for r in counted.mapInArrow(run, "lang string, piece int, uses double").groupBy("lang", "piece").agg(F.sum("uses").alias("uses")).toLocalIterator():
-            p[langs.index(r.lang), r.piece] += r.uses
-        model = Model(langs, p / p.sum(axis=1, keepdims=True), vocabulary_path)
+            p[r.piece, langs.index(r.lang)] += r.uses
+        p[-1] = 0.0
+        model = Model(langs, p / p.sum(axis=0, keepdims=True), vocabulary_path)
     return model
 
 
@@ -177,27 +234,33 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
         scores, counts = np.zeros((1024, n)), np.zeros(1024)
         for batch in batches:
             preds, shares = [], []
-            for text in batch.column(1).to_pylist():
-                chunks = text.split() if text and model else []
+            for lot in lots(batch.column(1).to_pylist()):
+                split = [text.split() if text and model else [] for text in lot]
                 if len(known) > CACHE:
                     known = {}
-                new = [c for c in set(chunks) if c not in known]
-                while len(known) + len(new) > len(counts):
-                    scores, counts = np.concatenate((scores, np.zeros_like(scores))), np.concatenate((counts, np.zeros_like(counts)))
-                for c in new:
-                    i = known[c] = len(known)
-                    found = words(c)
-                    scores[i], counts[i] = np.sum([model.forward(w) for w in found], axis=0) if found else 0.0, len(found)
-                at = np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks))
-                if not (total := counts[at].sum()):
-                    preds.append("und")
-                    shares.append(0.0)
-                    continue
-                sums = scores[at].sum(axis=0)
-                best = int(np.argmax(sums))
-                even = np.exp((sums - sums[best]) * (min(total, 20.0) / total))
-                preds.append(model.langs[best])
-                shares.append(float(1 / even.sum()))
+                if new := list(set().union(*split).difference(known)):
+                    while len(known) + len(new) > len(counts):
+                        scores, counts = np.concatenate((scores, np.zeros_like(scores))), np.concatenate((counts, np.zeros_like(counts)))
+                    found = [words(c) for c in new]
+                    of = np.repeat(np.arange(len(new)), list(map(len, found)))
+                    flat = {w: i for i, w in enumerate(dict.fromkeys(w for x in found for w in x))}
+                    at = np.fromiter((flat[w] for x in found for w in x), np.int64, len(of))
+                    each, first = model.scores(list(flat))[at] if flat else np.zeros((0, n)), len(known)
+                    for k in range(n):
+                        scores[first : first + len(new), k] = np.bincount(of, each[:, k], len(new))
+                    counts[first : first + len(new)] = np.bincount(of, minlength=len(new))
+                    known.update(zip(new, range(first, first + len(new)), strict=True))
+                for chunks in split:
+                    at = np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks))
+                    if not (total := counts[at].sum()):
+                        preds.append("und")
+                        shares.append(0.0)
+                        continue
+                    sums = scores[at].sum(axis=0)
+                    best = int(np.argmax(sums))
+                    even = np.exp((sums - sums[best]) * (min(total, 20.0) / total))
+                    preds.append(model.langs[best])
+                    shares.append(float(1 / even.sum()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(preds, pa.string()), pa.array(shares, pa.float64())], names=[id_col, "lang_pred", "score"])
 
     return kept.mapInArrow(run, f"`{id_col}` {kept.schema[id_col].dataType.simpleString()}, lang_pred string, score double")

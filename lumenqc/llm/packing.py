@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenqc.llm import tokens
-from lumenqc.llm.common import written
+from lumenqc.llm.common import lots, written
 
 
 @dataclass
@@ -130,7 +130,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_
         end = np.array([end_id], "<u4")
         for batch in batches:
             which, piece, start, length, crc, rank = [], [], [], [], [], []
-            for k, ids in enumerate(encode(batch.column(1).to_pylist())):
+            for k, ids in enumerate(x for lot in lots(batch.column(1).to_pylist()) for x in encode(lot)):
                 ids = np.concatenate((ids, end))
                 for p, at in enumerate(range(0, len(ids), capacity)):
                     cut = ids[at : at + capacity]
