@@ -10,7 +10,7 @@ from public_tokenizers import path as tokenizer_file
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenqc.llm import decontam, language, packing, quality_rules, secret_scan, simhash, token_store
+from lumenqc.llm import decontam, language, packing, pii, quality_rules, secret_scan, simhash, token_store, url_filter, warc
 from lumenqc.llm.common import table
 
 
@@ -36,10 +36,22 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model).withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 4 == 2)
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.responses(table(spark, sf_dir, "pages"))).drop("metadata", "conversion")
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
 
@@ -49,7 +61,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_decontam, op2_token_ids, op3_quality_rules, op4_language_id, op6_packing, op9_secret_scan, op10_simhash)
+    made = (op1_decontam, op2_token_ids, op3_quality_rules, op4_language_id, op5_url_filter, op6_packing, op7_pii, op8_warc, op9_secret_scan, op10_simhash)
     return {f.__name__: f for f in made}
 
 
