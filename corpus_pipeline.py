@@ -2,25 +2,50 @@
 
 from __future__ import annotations
 
+from public_tokenizers import path as tokenizer_file
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lumenqc.llm import secret_scan, simhash
+from lumenqc.llm import decontam, language, packing, secret_scan, simhash
 from lumenqc.llm.common import table, written
 
+#: A document goes if no language takes at least this share of the likelihood, or if it has no letter.
+LEAST_SCORE = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of no recognisable language go.  The model learns from the labelled documents given."""
+    model = language.train(docs, tokenizer_file("piece_bpe_32k.model"))
+    known = language.predict(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("doc_id").distinct()
+    return docs.join(known, "doc_id", "left_semi")
+
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group stays."""
     return simhash.keep_one(docs)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in the texts are replaced by their kind; every document stays."""
     return secret_scan.redact_secrets(docs)
 
 
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' ids, in sequences of 4096."""
+    return packing.pack(docs, tokenizer_file("word_bpe_49k.json"))
+
+
 STAGES = [
+    ("language id", language_id),
     ("simhash near-duplicates", near_duplicates),
+    ("benchmark decontamination", decontamination),
     ("secret scan", secrets),
+    ("best-fit packing", best_fit_packing),
 ]
 
 #: Language models, fingerprints and tokenizers have no SQL form; tests hold the stages against brute force.
@@ -28,6 +53,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over the table documents."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
