@@ -224,43 +224,67 @@ def train(
     return model
 
 
+class Scorer:
+    """Scores texts by a model; keeps the scores of chunks that it has met."""
+
+    def __init__(self, model: Model) -> None:
+        self.model, self.known = model, {}
+        self.scores, self.counts = np.zeros((1024, len(model.langs))), np.zeros(1024)
+
+    def learn(self, new: list[str]) -> None:
+        first, end = len(self.known), len(self.known) + len(new)
+        while end > len(self.counts):
+            self.scores, self.counts = np.concatenate((self.scores, np.zeros_like(self.scores))), np.concatenate((self.counts, np.zeros_like(self.counts)))
+        found = [words(c) for c in new]
+        of = np.repeat(np.arange(len(new)), list(map(len, found)))
+        flat = {w: i for i, w in enumerate(dict.fromkeys(w for x in found for w in x))}
+        at = np.fromiter((flat[w] for x in found for w in x), np.int64, len(of))
+        each = self.model.scores(list(flat))[at] if flat else np.zeros((0, len(self.model.langs)))
+        for k in range(len(self.model.langs)):
+            self.scores[first:end, k] = np.bincount(of, each[:, k], len(new))
+        self.counts[first:end] = np.bincount(of, minlength=len(new))
+        self.known.update(zip(new, range(first, end), strict=True))
+
+    def judge(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
+        """(language, score) of each text."""
+        for lot in lots(texts):
+            split = [text.split() if text else [] for text in lot]
+            if len(self.known) > CACHE:
+                self.known = {}
+            if new := list(set().union(*split).difference(self.known)):
+                self.learn(new)
+            for chunks in split:
+                at = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
+                if not (total := self.counts[at].sum()):
+                    yield "und", 0.0
+                    continue
+                sums = self.scores[at].sum(axis=0)
+                best = int(np.argmax(sums))
+                even = np.exp((sums - sums[best]) * (min(total, 20.0) / total))
+                yield self.model.langs[best], float(1 / even.sum())
+
+
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score): score is the language's share of the likelihoods of all, for the mean word raised to at most 20 words."""
     kept = docs.select(id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
-        n = len(model.langs) if model else 0
-        scores, counts = np.zeros((1024, n)), np.zeros(1024)
+        scorer = Scorer(model) if model else None
         for batch in batches:
-            preds, shares = [], []
-            for lot in lots(batch.column(1).to_pylist()):
-                split = [text.split() if text and model else [] for text in lot]
-                if len(known) > CACHE:
-                    known = {}
-                if new := list(set().union(*split).difference(known)):
-                    while len(known) + len(new) > len(counts):
-                        scores, counts = np.concatenate((scores, np.zeros_like(scores))), np.concatenate((counts, np.zeros_like(counts)))
-                    found = [words(c) for c in new]
-                    of = np.repeat(np.arange(len(new)), list(map(len, found)))
-                    flat = {w: i for i, w in enumerate(dict.fromkeys(w for x in found for w in x))}
-                    at = np.fromiter((flat[w] for x in found for w in x), np.int64, len(of))
-                    each, first = model.scores(list(flat))[at] if flat else np.zeros((0, n)), len(known)
-                    for k in range(n):
-                        scores[first : first + len(new), k] = np.bincount(of, each[:, k], len(new))
-                    counts[first : first + len(new)] = np.bincount(of, minlength=len(new))
-                    known.update(zip(new, range(first, first + len(new)), strict=True))
-                for chunks in split:
-                    at = np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks))
-                    if not (total := counts[at].sum()):
-                        preds.append("und")
-                        shares.append(0.0)
-                        continue
-                    sums = scores[at].sum(axis=0)
-                    best = int(np.argmax(sums))
-                    even = np.exp((sums - sums[best]) * (min(total, 20.0) / total))
-                    preds.append(model.langs[best])
-                    shares.append(float(1 / even.sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(preds, pa.string()), pa.array(shares, pa.float64())], names=[id_col, "lang_pred", "score"])
+            found = list(scorer.judge(batch.column(1).to_pylist())) if scorer else [("und", 0.0)] * len(batch)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())], names=[id_col, "lang_pred", "score"])
 
     return kept.mapInArrow(run, f"`{id_col}` {kept.schema[id_col].dataType.simpleString()}, lang_pred string, score double")
+
+
+def keep_known(docs: DataFrame, model: Model | None, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """``docs`` without those whose language is ``und`` or scores under ``least``; all columns stay."""
+    where = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model) if model else None
+        for batch in batches:
+            if scorer:
+                yield batch.filter(pa.array([x != "und" and y >= least for x, y in scorer.judge(batch.column(where).to_pylist())], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
