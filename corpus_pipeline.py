@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from public_tokenizers import path as tokenizer_file
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lumenqc.llm import decontam, language, packing, secret_scan, simhash
 from lumenqc.llm.common import table, written
@@ -16,8 +15,7 @@ LEAST_SCORE = 0.5
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of no recognisable language go.  The model learns from the labelled documents given."""
     model = language.train(docs, tokenizer_file("piece_bpe_32k.model"))
-    known = language.predict(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("doc_id").distinct()
-    return docs.join(known, "doc_id", "left_semi")
+    return language.keep_known(docs, model, LEAST_SCORE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
