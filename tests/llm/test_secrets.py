@@ -1,0 +1,56 @@
+import base64
+import hashlib
+import json
+import random
+import re
+import zlib
+
+from lumenqc.llm import secret_scan as s
+
+FLAGS = re.ASCII | re.IGNORECASE
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", FLAGS)
+
+
+def brute(text):
+    found = [(*m.span(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+    found += [(*m.span(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    found += [(*m.span(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return sorted(found, key=lambda x: (x[0], s.KINDS.index(x[2])))
+
+
+def base(text):
+    return [x for x in s.scan(text) if x[2] in s.BASE_KINDS]
+
+
+def test_base_spans_are_those_of_plain_expressions():
+    rng = random.Random(5)
+    bits = ["password", "PassWD", "secret", "token", "api_key", "APIKEY", "=", ": ", '"', "'", " ", "abcdefgh1", "AKIA", "ABCD1234EFGH", "0123456789abcdef", "deadbeef" * 4, "é", "İ", "K", "ſecret", "\n", "x", "ABC", "abcd", "password=password=abcdefgh12"]
+    for _ in range(4000):
+        text = "".join(rng.choices(bits, k=rng.randrange(1, 14)))
+        assert base(text) == brute(text), text
+
+
+def test_checksums_decide():
+    body = "a" * 30
+    good = f"ghp_{body}{s.base62(zlib.crc32(body.encode()), 6)}"
+    assert [x[2] for x in s.scan(f"x {good} y")] == ["forge"]
+    assert not s.scan(f"x {good[:-1]}{'0' if good[-1] != '0' else '1'} y")
+    head = base64.urlsafe_b64encode(json.dumps({"alg": "HS256"}).encode()).decode().rstrip("=")
+    assert "jwt" in [x[2] for x in s.scan(f"{head}.{head}.abc")]
+    der = b"\x30\x82\x01\x00" + bytes(256)
+    for data, there in ((der, True), (der[:-1], False)):
+        text = f"-----BEGIN PRIVATE KEY-----\n{base64.b64encode(data).decode()}\n-----END PRIVATE KEY-----"
+        assert ("pem" in [x[2] for x in s.scan(text)]) == there
+
+
+def test_odd_rows(docs, none):
+    rows = s.find_secrets(docs).collect()
+    assert len(rows) == docs.count()
+    assert all(r.base_sha256 == hashlib.sha256(b"").hexdigest() and not r.spans for r in rows)
+    assert s.find_secrets(none).count() == 0
+    assert sorted(map(str, s.redact_secrets(docs).collect())) == sorted(map(str, docs.collect()))
+
+
+def test_redaction():
+    text = "a password=abcdefgh12 b"
+    assert s.redact(text, s.scan(text)) == "a [assign] b"
