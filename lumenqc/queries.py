@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenqc.functions import raster, scores, tags, text
+from lumenqc.functions import neighbourhood, raster, scores, tags, text
 from lumenqc.operators import analytics, batch
-from lumenqc.plans import decision, extraction
+from lumenqc.plans import decision, extraction, profiles
+from lumenqc.streaming import resume
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -473,3 +474,62 @@ def decision_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decision.decide(items_of_rasters(spark, sf_dir))
     return analytics.tag_counts(found, "decision", F.col("triggered_rules"))
 
+
+
+@query(f"""WITH g AS (SELECT vec_id, {GREY_SQL} AS x FROM embeddings), p AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, v FROM (SELECT vec_id, unnest(range(64)) AS i, unnest(x) AS v FROM g)),
+d AS (SELECT vec_id, y, x, v, 0.5 * (lead(v, 1, v) OVER r - lag(v, 1, v) OVER r) AS gx, 0.5 * (lead(v, 1, v) OVER c - lag(v, 1, v) OVER c) AS gy FROM p WINDOW r AS (PARTITION BY vec_id, y ORDER BY x), c AS (PARTITION BY vec_id, x ORDER BY y))
+SELECT vec_id, round(avg(sqrt(gx * gx + gy * gy)), 4) AS mean_edge, round(max(sqrt(gx * gx + gy * gy)), 4) AS most_edge FROM d GROUP BY 1""")
+def raster_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = read(spark, sf_dir, "embeddings").select("vec_id", neighbourhood.gradient(grey(), 8).alias("g"))
+    return edges.select("vec_id", r(raster.total(F.col("g")) / 64).alias("mean_edge"), r(F.array_max("g")).alias("most_edge"))
+
+
+@query(f"""WITH g AS (SELECT vec_id, list_transform({GREY_SQL}, lambda v: CASE WHEN v >= 128 THEN 1 ELSE 0 END) AS m FROM embeddings), p AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, v FROM (SELECT vec_id, unnest(range(64)) AS i, unnest(m) AS v FROM g)),
+d AS (SELECT *, greatest(v, lead(v, 1, 0) OVER r, lag(v, 1, 0) OVER r, lead(v, 1, 0) OVER c, lag(v, 1, 0) OVER c) AS big, least(v, lead(v, 1, 0) OVER r, lag(v, 1, 0) OVER r, lead(v, 1, 0) OVER c, lag(v, 1, 0) OVER c) AS small FROM p WINDOW r AS (PARTITION BY vec_id, y ORDER BY x), c AS (PARTITION BY vec_id, x ORDER BY y))
+SELECT vec_id, sum(v)::BIGINT AS area, sum(big)::BIGINT AS dilated, sum(small)::BIGINT AS eroded, round(sum(CASE WHEN y IN (0, 7) OR x IN (0, 7) THEN v ELSE 0 END) / 28.0, 6)::DOUBLE AS border, min(y) FILTER (WHERE v = 1)::INT AS top, max(x) FILTER (WHERE v = 1)::INT AS right_most FROM d GROUP BY 1""")
+def raster_morphology(spark: SparkSession, sf_dir: str) -> DataFrame:
+    masks = read(spark, sf_dir, "embeddings").select("vec_id", grey().alias("g")).select("vec_id", F.transform("g", lambda v: F.when(v >= 128, 1.0).otherwise(0.0)).alias("m"))
+    area = lambda m: raster.total(m).cast("long")
+    n, m = neighbourhood, F.col("m")
+    return masks.select("vec_id", area(m).alias("area"), area(n.dilated(m, 8)).alias("dilated"), area(n.eroded(m, 8)).alias("eroded"), r(n.border_share(m, 8), 6).alias("border"), n.box(m, 8).alias("b")).select("vec_id", "area", "dilated", "eroded", "border", F.col("b.top").alias("top"), F.col("b.right").alias("right_most"))
+
+
+@query()
+def raster_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of each mask and its holes."""
+    masks = read(spark, sf_dir, "embeddings").select("vec_id", grey().alias("g")).select("vec_id", F.transform("g", lambda v: F.when(v >= 150, 1.0).otherwise(0.0)).alias("m"))
+    found = masks.select("vec_id", "m", neighbourhood.sizes(neighbourhood.components(F.col("m"), 8)).alias("sizes"), neighbourhood.filled(F.col("m"), 8).alias("full"))
+    return found.select("vec_id", F.size("sizes").alias("n_components"), F.coalesce(F.get("sizes", F.lit(0)), F.lit(0)).alias("largest"), (raster.total(F.col("full")) - raster.total(F.col("m"))).cast("long").alias("hole_pixels"))
+
+
+@query(f"""WITH g AS (SELECT label, vec_id, {GREY_SQL} AS x FROM embeddings), p AS (SELECT label, vec_id, unnest(range(64)) AS i, unnest(x) AS v FROM g), c AS (SELECT label, v, v - (i % 3) * 8 AS w FROM p),
+l AS (SELECT label, 0.299 * v + 0.587 * v + 0.114 * w AS luma, greatest(v, w) - least(v, w) AS chroma FROM c), s AS (SELECT label, avg(luma) AS mean, stddev_pop(luma) AS std, quantile_cont(luma, 0.95) AS p95, quantile_cont(luma, 0.05) AS p5, avg((luma >= 230)::INT) AS high, avg((chroma < 18)::INT) AS low FROM l GROUP BY 1)
+SELECT label, round(mean, 3) AS mean_luma, round(std, 3) AS std_luma, round(p95, 3) AS p95, round(p5, 3) AS p5, round(high, 6) AS highlights, round(low, 6) AS low_chroma, (mean >= 155 AND std <= 52) OR (p95 >= 242 AND mean >= 140) OR (high >= 0.12 AND std >= 35) OR (low >= 0.55 AND mean >= 150)
+OR (p95 - p5 < 55 AND mean >= 140) OR (low >= 0.85 AND mean BETWEEN 90 AND 175) OR (std <= 48 AND mean >= 110 AND low >= 0.70) AS difficult FROM s""")
+def scene_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scenes: all rasters of a label as one picture, the third channel shifted a little."""
+    each = read(spark, sf_dir, "embeddings").select("label", F.posexplode(grey()).alias("i", "v")).select("label", "v", (F.col("v") - F.col("i") % 3 * 8).alias("w"))
+    v, w = F.col("v"), F.col("w")
+    found = profiles.scene(each, "label", scores.luma(v, v, w), scores.chroma(v, v, w))
+    return found.select("label", *(r(c, 3).alias(c) for c in ("mean_luma", "std_luma", "p95", "p5")), *(r(c, 6).alias(c) for c in ("highlights", "low_chroma")), "difficult")
+
+
+@query(f"""WITH {MEASURES_SQL}, t AS (SELECT vec_id, list_filter([CASE WHEN 255 * interior <= 85 THEN 'dark_object' END, CASE WHEN 255 * interior >= 175 THEN 'white_object' END, CASE WHEN ghost > 2 THEN 'reflective' END, CASE WHEN unsure >= 0.72 THEN 'mesh' END, CASE WHEN unsure >= 0.64 THEN 'thin_complex_edges' END], lambda x: x IS NOT NULL) AS tags FROM m)
+SELECT vec_id, CASE WHEN len(tags) = 0 THEN 'normal' ELSE array_to_string(tags, ';') END AS tags, CASE WHEN list_contains(tags, 'mesh') THEN 'mesh' WHEN list_contains(tags, 'white_object') THEN 'white_object' WHEN list_contains(tags, 'dark_object') THEN 'dark_object'
+WHEN list_contains(tags, 'reflective') THEN 'reflective' WHEN list_contains(tags, 'thin_complex_edges') THEN 'thin_complex_edges' ELSE 'normal' END AS profile, CASE WHEN list_contains(tags, 'mesh') THEN 0.82 WHEN list_contains(tags, 'dark_object') THEN 0.86 ELSE 0.85 END::DOUBLE AS product_fill FROM t""")
+def product_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    no, c = F.lit(False), F.col
+    found = profiles.profile_tags(255 * c("interior"), F.lit(0.5), F.lit(0.0), F.lit(0.0), c("unsure") / 4, F.lit(1.0), F.lit(1.0), F.lit(0.0), no, c("ghost") > 2, no, no)
+    tagged = measured(spark, sf_dir).select("vec_id", found.alias("tags"))
+    return tagged.select("vec_id", text.joined(c("tags")).alias("tags"), profiles.primary(c("tags")).alias("profile"), profiles.handling(c("tags"))["product_fill"].alias("product_fill"))
+
+
+@query("""SELECT event_type, count(*) AS n, round(sum(value), 2) AS seconds FROM events GROUP BY 1""")
+def stream_resume_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream into a table, twice over: the restart adds nothing, so the table equals the batch."""
+    out, state, again = (resume.shared_path(spark, n) for n in ("stream-out", "stream-state", "stream-again"))
+    source = read(spark, sf_dir, "events")
+    for at in (state, state, again):  # first run, restart from its checkpoint, and a new run over the same rows
+        stream = resume.arriving(spark, sf_dir, source.schema, "events*.parquet")
+        resume.run_once(stream, lambda rows: rows.select("event_id", "event_type", "value"), out, at, "event_id")
+    return spark.read.parquet(out).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("seconds"))
