@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,7 +23,8 @@ def is_picture(path: str = "path") -> F.Column:
 def listing(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
     """Picture files with their ids, by lower-cased path; results of earlier runs are left out.  Contents aren't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder).select("path", "modificationTime", "length")
-    below = F.split(F.substring_index(F.lower("path"), F.lit(folder.rstrip("/").split("/")[-1].lower() + "/"), -1), "/")
+    name = re.escape(folder.rstrip("/").split("/")[-1].lower())
+    below = F.split(F.regexp_replace(F.lower("path"), f"^.*?/{name}/", ""), "/")
     kept = files.where(is_picture() & ~F.arrays_overlap(below, F.array(*map(F.lit, RESULT_FOLDERS))))
     return kept.withColumns({"id": text.stable_id(F.col("path")), "normal_path": text.normal_path(F.col("path"))}).orderBy(F.lower("path"))
 
