@@ -31,6 +31,15 @@ def splits_at_space(path: str) -> bool:
     )
 
 
+def chunks(text: str | None) -> list[str]:
+    """``text`` cut at white space, but not at the four separators that Python alone counts as such."""
+    if not text:
+        return []
+    if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
+        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+    return text.split()
+
+
 class Encoder:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -62,13 +71,16 @@ class Encoder:
             return [np.frombuffer(x, "<u4") for x in self.plain([t or "" for t in texts])]
         out: list[np.ndarray] = []
         for at in range(0, len(texts), 64):
-            split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else [] for t in texts[at : at + 64]]
             if len(self.known) > CACHE:
                 self.known.clear()
-            if new := set().union(*split).difference(self.known):
-                self.learn(list(new))
-            known = self.known
-            out += [np.frombuffer(b"".join([known[c] for c in x]), "<u4") for x in split]
+            split = list(map(chunks, texts[at : at + 64]))
+            found = [list(map(self.known.get, x)) for x in split]
+            gaps = [k for k, x in enumerate(found) if None in x]
+            if gaps:
+                self.learn(list({c for k in gaps for c, v in zip(split[k], found[k], strict=True) if v is None}))
+                for k in gaps:
+                    found[k] = list(map(self.known.__getitem__, split[k]))
+            out += [np.frombuffer(b"".join(x), "<u4") for x in found]
         return out
 
 
