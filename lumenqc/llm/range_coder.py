@@ -24,7 +24,7 @@ RENEWALS = (256, 1024, 4096, 8192)
 #: Bits of the mixture's weights and of the order-0 distribution under a weight.
 MIX, ZERO = 12, 14
 WHOLE = np.uint64(MIX + ZERO)
-ORDER1, ORDER2 = 13, 14  # bits of the hashed tables
+ORDER1, ORDER2 = 12, 13  # bits of the hashed tables
 LOW, DIGIT, TOP = np.uint64(1 << 40), np.uint64(16), np.uint64(40)
 HEADER = struct.Struct("<4sBIIII")  # magic, mode, ids, crc of the ids, bytes of the body, crc of header and body
 MAGIC = b"LQTB"
@@ -75,7 +75,7 @@ class Models:
         old, new = (self.known + 1)[:, :, None, None, None]
         w[..., 2] = np.where((self.seen > 0)[:, None, None, None], np.maximum(1, np.minimum(rest - 4, rest * old // (old + new))), 0)
         ends = w.cumsum(4).reshape(n * 32, 3)
-        self.rows = np.ascontiguousarray(np.concatenate((ends << ZERO, np.maximum(1, ends[:, 2:] - ends[:, 1:2]), (1 << MIX) - ends[:, 2:] >> 2), axis=1))
+        self.rows = np.concatenate((ends << ZERO, np.maximum(1, ends[:, 2:] - ends[:, 1:2]), (1 << MIX) - ends[:, 2:] >> 2), axis=1).astype(np.int32)
 
     def look(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, ...]:
         """Places in the tables after id ``one`` and after ``two``, ``one`` (last axis: lanes), predictions, and the row of the mixture."""
@@ -87,20 +87,22 @@ class Models:
 
     def dense(self, own: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Frequency and cumulated frequency of ids (places x lanes) in each lane's order 0."""
-        f, c = np.zeros(own.shape[::-1], np.int64), np.zeros(own.shape[::-1], np.int64)
-        table = np.zeros(size, np.int64)
+        f, c = np.zeros(own.shape[::-1], np.int32), np.zeros(own.shape[::-1], np.int32)
+        table = np.zeros(size, np.int32)
         for k, x in enumerate(np.ascontiguousarray(own.T)):
             z = self.zero[k, : self.seen[k]]
-            table[z & 0xFFFF] = z >> 16
+            which = z & 0xFFFF
+            table[which] = z >> 16 & 0xFFFF | z >> 32 << 16
             at = table[x]
             f[k], c[k] = at >> 16, at & 0xFFFF
-            table[z & 0xFFFF] = 0
+            table[which] = 0
         return f.T, c.T
 
     def renew(self, past: np.ndarray, begin: int, end: int, counts: np.ndarray, size: int) -> None:
         """Takes up the ids from begin to end (past: places x lanes, after two zeros; counts: a lane's ids)."""
+        plain, before = np.zeros(self.lanes, np.int64), self.seen.copy()
         for a in range(begin, end, PLACES):
-            self.note(past, a, min(a + PLACES, end), counts, size)
+            plain += self.note(past, a, min(a + PLACES, end), counts)
         for k, x in enumerate(np.ascontiguousarray(past[2 : end + 2].T)):
             if counts[k] > begin:
                 n = np.bincount(x[: counts[k]], minlength=1)
@@ -112,23 +114,29 @@ class Models:
                 self.seen[k] = len(found)
                 if self.slots is not None:
                     self.slots[k] = np.repeat(np.arange(len(found), dtype=np.uint16), f)
+        fresh = np.minimum(self.seen - before, plain)
+        self.known += np.stack((plain - fresh, fresh))
         self.mix()
 
-    def note(self, past: np.ndarray, begin: int, end: int, counts: np.ndarray, size: int) -> None:
+    def note(self, past: np.ndarray, begin: int, end: int, counts: np.ndarray) -> np.ndarray:
+        """Tables and hits; returns how many ids of each lane no order named."""
         own = past[begin + 2 : end + 2]
         a1, a2, p1, p2, row = self.look(past[begin + 1 : end + 1], past[begin:end])
         c1, c2 = row >> 1 & 3, row >> 3 & 3
-        there = np.arange(begin, end)[:, None] < counts[None, :]
         hit1, hit2 = (p1 == own) & (c1 > 0), (p2 == own) & (c2 > 0)
+        new1, new2 = (own | np.where(h, np.minimum(c + 1, 3), 1) << bit for h, c, bit in ((hit1, c1, 17), (hit2, c2, 19)))
+        plain = ~hit1 & ~hit2
+        there = slice(None)
+        if end > counts.min():
+            there = np.arange(begin, end)[:, None] < counts[None, :]
+            plain &= there
         for k, c, hit in ((0, c1, hit1), (1, c2, hit2)):
             at = (self.lane << 2) + c
-            self.tries[k] += np.bincount(at[there], minlength=self.lanes * 4)
-            self.hits[k] += np.bincount(at[there & hit], minlength=self.lanes * 4)
-        plain, old = there & ~hit1 & ~hit2, self.dense(own, size)[0] > 0
-        self.known[0] += (plain & old).sum(0)
-        self.known[1] += (plain & ~old).sum(0)
-        for table, a, c, hit, bit in ((self.table1, a1, c1, hit1, 17), (self.table2, a2, c2, hit2, 19)):
-            table[a[there]] = (own | np.where(hit, np.minimum(c + 1, 3), 1) << bit)[there]  # the last of equal places stays
+            self.tries[k] += np.bincount(at[there].ravel(), minlength=self.lanes * 4)
+            self.hits[k] += np.bincount(at[there][hit[there]].ravel(), minlength=self.lanes * 4)
+        self.table1[a1[there].ravel()] = new1[there].ravel()  # the last of equal places stays
+        self.table2[a2[there].ravel()] = new2[there].ravel()
+        return plain.sum(0)
 
     def steps(self, past: np.ndarray, begin: int, end: int, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Start and size, of 2 ** WHOLE, of each id from begin to end."""
@@ -137,7 +145,7 @@ class Models:
         e2, e1, e0, w0, u = np.moveaxis(self.rows[row], -1, 0)
         f, c = self.dense(own, size)
         zero, use1, use2 = (f > 0) & (e0 > e1), (p1 == own) & (e1 > e2), (p2 == own) & (e2 > 0)
-        start = np.where(use2, 0, np.where(use1, e2, np.where(zero, e1 + c * w0, e0 + own * u)))
+        start = np.where(use2, np.int32(0), np.where(use1, e2, np.where(zero, e1 + c * w0, e0 + own * u)))
         return start.astype(np.uint64), np.where(use2, e2, np.where(use1, e1 - e2, np.where(zero, f * w0, u))).astype(np.uint64)
 
 
@@ -155,7 +163,8 @@ def encode_lanes(blocks: list[np.ndarray]) -> list[bytes]:
         past[2 : 2 + len(x), k] = x
     models = Models(n, longest, False)
     low, width = np.zeros(n, np.uint64), np.full(n, 1 << 56, np.uint64)
-    digits, where = np.zeros((n, longest + longest // 4 + 16), np.uint32), np.zeros(n, np.int64)
+    # an id takes MIX + ZERO bits at the most, which is under 1.75 digits
+    digits, where = np.zeros((n, longest * 7 // 4 + 16), np.uint32), np.zeros(n, np.int64)
     flat, base = digits.ravel(), np.arange(n) * digits.shape[1]
 
     def out(at: np.ndarray) -> None:
@@ -207,12 +216,13 @@ def decode_lanes(bodies: list[bytes], counts: np.ndarray) -> list[np.ndarray]:
     code = head[:, 0] << np.uint64(40) | head[:, 1] << np.uint64(24) | head[:, 2] << np.uint64(8) | head[:, 3] >> np.uint64(8)
     due, half, width = head[:, 3] & np.uint64(0xFF), np.uint64(8), np.full(n, 1 << 56, np.uint64)
     slots, zero = models.slots.ravel(), models.zero.ravel()
-    at_slot, at_zero, last_slot = models.lane << ZERO, models.lane * models.rank, (1 << ZERO) - 1
+    at_slot, at_zero = models.lane << ZERO, models.lane * models.rank
     h1, h2a, h2b, mask2 = HASH1, HASH2A, HASH2B, (1 << ORDER2) - 1
     table1, table2, at1, at2, at_row, least = models.table1, models.table2, models.at1, models.at2, models.at_row, counts.min()
     one, before = past[1], h2b[past[0]]
     for first, last in spans(longest):
-        e2s, e1s, e0s, w0s, us = (np.ascontiguousarray(models.rows[:, i]) for i in range(5))
+        e2s, e1s, e0s, w0s, us = (models.rows[:, i].astype(np.int64) for i in range(5))
+        parts = w0s.astype(np.float64)  # exact: both sides of the division are under 2 ** 26
         for t in range(first, last):
             t1, t2 = table1.take(at1 + h1.take(one)), table2.take(at2 + ((h2a.take(one) + before) & mask2))
             p1, p2 = t1 & 0xFFFF, t2 & 0xFFFF
@@ -220,8 +230,9 @@ def decode_lanes(bodies: list[bytes], counts: np.ndarray) -> list[np.ndarray]:
             e1, w0 = e1s.take(row), w0s.take(row)
             r = width >> WHOLE
             slot = (code // r).view(np.int64)
-            rank = slots.take(at_slot + np.minimum(np.maximum((slot - e1) // w0, 0), last_slot))
-            x = zero.take(at_zero + rank)
+            # beside order 0 this looks up some id or other, which is replaced below
+            rank = slots.take(at_slot + ((slot - e1) / parts.take(row)).astype(np.int64), mode="clip")
+            x = zero.take(at_zero + rank, mode="clip")
             own, start, z = x & 0xFFFF, (x >> 16 & 0xFFFF) * w0 + e1, (x >> 32) * w0
             if len(at := np.flatnonzero(slot >= e0s.take(row))):
                 e0, u = e0s[row[at]], us[row[at]]

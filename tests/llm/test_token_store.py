@@ -22,7 +22,9 @@ def test_round_trip_of_any_ids(ids):
 
 def test_round_trip_of_long_and_regular_ids():
     rng = np.random.default_rng(1)
-    for ids in (np.tile([5, 6, 7, 8, 9], 9000), rng.integers(0, 49_408, 40_000), rng.geometric(0.01, 20_001), np.full(17_000, 65_535), np.arange(33_000)):
+    # much that repeats, so that new ids get small parts, and then only new ones: the longest codes
+    worst = np.concatenate([np.tile([3, 3, 4], 300), rng.permutation(60_000)[:7000]] * 2)
+    for ids in (np.tile([5, 6, 7, 8, 9], 9000), rng.integers(0, 49_408, 40_000), rng.geometric(0.01, 20_001), np.full(17_000, 65_535), np.arange(33_000), worst):
         ids = ids.astype("<u4")
         data = b"".join(c.encode(ids))
         assert (c.decode(data) == ids).all()
