@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenqc.functions import neighbourhood, raster, scores, tags, text
 from lumenqc.operators import analytics, batch
-from lumenqc.plans import decision, extraction, profiles
+from lumenqc.plans import decision, extraction, gates, profiles
 from lumenqc.streaming import resume
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -533,3 +533,36 @@ def stream_resume_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
         stream = resume.arriving(spark, sf_dir, source.schema, "events*.parquet")
         resume.run_once(stream, lambda rows: rows.select("event_id", "event_type", "value"), out, at, "event_id")
     return spark.read.parquet(out).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("seconds"))
+
+
+@query("""WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_discount * 5 AS loss, l_tax * 5 AS edge, l_quantity / 100 AS texture, l_discount * 6 AS middle, l_tax * 3 AS dark FROM lineitem),
+t AS (SELECT *, CASE WHEN loss >= 0.38 OR (edge >= 0.45 AND texture >= 0.28) OR (middle >= 0.40 AND dark <= 0.22 AND loss >= 0.24) THEN 'bad' WHEN loss >= 0.24 OR edge >= 0.28 THEN 'warn' WHEN texture >= 0.42 THEN 'bad' WHEN texture >= 0.28 THEN 'warn' ELSE 'none' END AS verdict,
+loss <= 0.12 AND edge <= 0.15 AS kept FROM s) SELECT verdict, kept, count(*) AS n FROM t GROUP BY ALL""")
+def structure_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The structure gate on every line; measurements that the table lacks are zero."""
+    stand_in = {"structure_loss": F.col("l_discount") * 5, "edge_drop": F.col("l_tax") * 5, "texture_loss": F.col("l_quantity") / 100, "midtone_loss": F.col("l_discount") * 6, "dark_loss": F.col("l_tax") * 3}
+    made = gates.structure(lambda name: stand_in.get(name, F.lit(0.0)))
+    said = read(spark, sf_dir, "lineitem").select(*(v.alias(k) for k, v in made.items()))
+    verdict = F.when(F.size("bads") > 0, "bad").when(F.size("warns") > 0, "warn").otherwise("none")
+    return said.groupBy(verdict.alias("verdict"), tags.has(F.col("posits"), "structure_preserved").alias("kept")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def mask_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mask gate on every raster: measured, tagged, without a shuffle."""
+    n, x = neighbourhood, F.col("x")
+    base = read(spark, sf_dir, "embeddings").select("vec_id", grey().alias("x"))
+    masks = base.select("vec_id", "x", *(F.transform("x", lambda v, t=t: F.when(v >= t, 1.0).otherwise(0.0)).alias(k) for k, t in (("soft", 32), ("solid", 150))))
+    found = masks.select("vec_id", "x", "soft", "solid", n.box(F.col("soft"), 8).alias("b"), n.sizes(n.components(F.col("solid"), 8)).alias("sizes"), raster.total(n.filled(F.col("solid"), 8)).alias("full"), raster.total(F.col("soft")).alias("n_soft"), raster.total(F.col("solid")).alias("n_solid"))
+    height, width = F.col("b.bottom") - F.col("b.top") + 1, F.col("b.right") - F.col("b.left") + 1
+    one, largest = F.lit(1.0), F.coalesce(F.get("sizes", F.lit(0)), F.lit(0))
+    stats = {
+        "soft_coverage": F.col("n_soft") / 64, "strong_coverage": F.col("n_solid") / 64, "solid_of_soft": F.col("n_solid") / F.greatest(F.col("n_soft"), one), "roi_fill": F.coalesce(F.col("n_soft") / (height * width), F.lit(0.0)),
+        "fog_ratio": 1.0 - F.col("n_solid") / F.greatest(F.col("n_soft"), one), "mean_alpha_soft": raster.mean_where(x, lambda v: v >= 32), "bbox_aspect": F.coalesce(F.greatest(height, width) / F.least(height, width), one).cast("double"),
+        "main_component_frac": largest / F.greatest(F.col("n_solid"), one), "n_significant_components": F.size(F.filter("sizes", lambda s: s >= 0.12 * F.col("n_solid"))).cast("double"),
+        "n_tiny_components": F.size(F.filter("sizes", lambda s: s < 0.02 * F.col("n_solid"))).cast("double"), "n_solid_components": F.size("sizes").cast("double"),
+        "hole_frac": (F.col("full") - F.col("n_solid")) / F.greatest(F.col("full"), one), "hole_pixels": F.col("full") - F.col("n_solid"),
+    }
+    told = found.select("vec_id", *(v.alias(k) for k, v in stats.items()))
+    made = gates.mask(F.col, F.lit(False))
+    return told.select("vec_id", r("roi_fill", 6).alias("roi_fill"), r("hole_frac", 6).alias("hole_frac"), *(text.joined(v).alias(k) for k, v in made.items()))
