@@ -77,3 +77,19 @@ def engine_summary(rows: DataFrame, engine: str, ok: Column, seconds: str) -> Da
     return rows.groupBy(engine).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("n_ok"), F.avg(F.when(ok, F.col(seconds))).alias("mean_ok"), F.max(seconds).alias("peak"), (F.count_if(ok) / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("accept_rate")
     )
+
+
+def best_of(items: DataFrame, where: Column, order: list[Column], most: int) -> DataFrame:
+    """A report of the first rows that pass ``where``: sorted in part by each task, never as a whole."""
+    return items.where(where).orderBy(*order).limit(most)
+
+
+def by_variant(rows: DataFrame, key: str, variant: str, variants: list[str], value: str) -> DataFrame:
+    """A row an item with a column a variant, and what the last differs from the first by."""
+    wide = rows.groupBy(key).agg(*(F.max(F.when(F.col(variant) == v, F.col(value))).alias(v) for v in variants))
+    return wide.withColumn("change", F.col(variants[-1]) - F.col(variants[0]))
+
+
+def first_seen(rows: DataFrame, value: str, position: Column) -> DataFrame:
+    """The distinct values, with the position at which each was first."""
+    return rows.groupBy(value).agg(F.min(position).alias("first"))

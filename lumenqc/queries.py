@@ -566,3 +566,58 @@ def mask_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = found.select("vec_id", *(v.alias(k) for k, v in stats.items()))
     made = gates.mask(F.col, F.lit(False))
     return told.select("vec_id", r("roi_fill", 6).alias("roi_fill"), r("hole_frac", 6).alias("hole_frac"), *(text.joined(v).alias(k) for k, v in made.items()))
+
+
+@query(f"""WITH {SCORED_SQL} SELECT doc_id, round(score, 4) AS score FROM decided WHERE decision = 'review' AND score >= 30 ORDER BY score DESC, doc_id LIMIT 8""")
+def top_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of the eight best items in review."""
+    scored = read(spark, sf_dir, "documents").select("doc_id", text_score().alias("score")).withColumn("decision", banded(F.col("score")))
+    return analytics.best_of(scored, (F.col("decision") == "review") & (F.col("score") >= 30), [F.desc("score"), F.col("doc_id")], 8).select("doc_id", r("score").alias("score"))
+
+
+@query(f"""WITH {SCORED_SQL}, t AS (SELECT unnest(list_filter({TAGS_SQL}, lambda x: x IS NOT NULL)) AS tag FROM decided WHERE score <= 40), c AS (SELECT tag, count(*) AS n FROM t GROUP BY 1) SELECT 'floor' AS part, tag, n, row_number() OVER (ORDER BY n DESC, tag) AS rank FROM c""")
+def floor_reject_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the worst items are tagged with."""
+    low = read(spark, sf_dir, "documents").where(text_score() <= 40).select(F.lit("floor").alias("part"), tags.raised(*((c, n) for n, c in text_tags().items())).alias("bads"))
+    return analytics.tag_counts(low, "part", F.col("bads"), 10).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("""SELECT l_partkey, max(l_extendedprice) FILTER (WHERE l_returnflag = 'N') AS "N", max(l_extendedprice) FILTER (WHERE l_returnflag = 'R') AS "R", round(max(l_extendedprice) FILTER (WHERE l_returnflag = 'R') - max(l_extendedprice) FILTER (WHERE l_returnflag = 'N'), 4) AS change FROM lineitem GROUP BY 1""")
+def variant_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.by_variant(read(spark, sf_dir, "lineitem"), "l_partkey", "l_returnflag", ["N", "R"], "l_extendedprice").withColumn("change", r("change"))
+
+
+@query("""SELECT s_suppkey, count(l_orderkey) AS n, coalesce(round(avg(l_quantity), 4), -1.0) AS mean FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey AND l_returnflag = 'R' AND l_quantity > 40 GROUP BY 1""")
+def report_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items with the report of their worker, or an empty one: summed first, then joined."""
+    found = read(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_quantity > 40").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count("l_orderkey").alias("n"), r(F.avg("l_quantity")).alias("mean"))
+    return read(spark, sf_dir, "supplier").select("s_suppkey").join(found, "s_suppkey", "left").select("s_suppkey", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("mean", F.lit(-1.0)).alias("mean"))
+
+
+@query("""SELECT event_type, min(event_id) AS first FROM events GROUP BY 1""")
+def ordered_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.first_seen(read(spark, sf_dir, "events"), "event_type", F.col("event_id"))
+
+
+@query("""SELECT event_id, (props->>'k')::BIGINT AS k, 'image_' || event_type AS key, round(value * 2, 4) AS doubled, CASE WHEN (props->>'k')::BIGINT > 50 THEN (props->>'k')::BIGINT ELSE -1 END AS large FROM events""")
+def nested_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON to a map, filtered and prefixed, and read again by key."""
+    props = F.from_json("props", "map<string,bigint>")
+    kept = F.map_filter(props, lambda _, v: v > 50)
+    prefixed = F.transform_keys(F.create_map(F.col("event_type"), F.col("value") * 2), lambda k, _: F.concat(F.lit("image_"), k))
+    return read(spark, sf_dir, "events").select("event_id", F.try_element_at(props, F.lit("k")).alias("k"), F.get(F.map_keys(prefixed), F.lit(0)).alias("key"), r(F.get(F.map_values(prefixed), F.lit(0))).alias("doubled"), F.coalesce(F.try_element_at(kept, F.lit("k")), F.lit(-1)).alias("large"))
+
+
+@query("""WITH s AS (SELECT l_orderkey, list_sort(list(round(l_discount * 100)::BIGINT * 1000 + l_linenumber * 10 + l_suppkey % 10)) AS x FROM lineitem GROUP BY 1) SELECT l_orderkey, array_to_string(x[1:5], ',') AS lowest FROM s""")
+def lowest_five(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five lowest subscores of an item, which has a few."""
+    coded = F.round(F.col("l_discount") * 100).cast("long") * 1000 + F.col("l_linenumber") * 10 + F.col("l_suppkey") % 10
+    some = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(coded)).alias("x"))
+    return some.select("l_orderkey", F.array_join(F.slice("x", 1, 5).cast("array<string>"), ",").alias("lowest"))
+
+
+@query("""SELECT p_partkey, round(CASE WHEN p_size <= 10 THEN 0.2 WHEN p_size >= 40 THEN 0.9 ELSE 0.2 + (p_size - 10) * (0.7 / 30) END, 6) AS strength, greatest(1, floor(p_retailprice * least(1.0, 600 / greatest(p_retailprice, p_size * 30.0))))::INT AS width FROM part""")
+def interpolated_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = read(spark, sf_dir, "part")
+    fitted = scores.fit_side(F.col("p_retailprice"), F.col("p_size") * 30.0, 600)
+    return parts.select("p_partkey", r(scores.line(F.col("p_size"), 10, 0.2, 40, 0.9), 6).alias("strength"), fitted["width"].alias("width"))
