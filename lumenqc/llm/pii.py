@@ -3,7 +3,7 @@
 Identifiers are found in the text as it stands (the base spans).  Then transducers undo disguises: look-alike
 and full-width characters, digits spelled as words, and "at" and "dot" written out.  Each step knows which source
 characters its output stands for, so identifiers found in the normalised text are mapped back; those that use a
-disguise and touch no base span are added.
+disguise and lie in no base span of their kind are added.  A base span that is a fragment of one stays beside it.
 
 Special cases: a null text counts as empty; rows are independent, so repeated rows repeat their result; long runs
 of digits or of address characters cost time in proportion to their length; an empty table gives an empty
@@ -166,7 +166,7 @@ def spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, s
     found = []
     for a, b, kind in base_spans(normal.text):
         start, end, changed = normal.back(a, b)
-        if changed and not any(x < end and start < y for x, y, _ in base):
+        if changed and not any(x <= start and end <= y and k == kind for x, y, k in base):
             found.append((start, end, kind))
     return sorted({*base, *found}, key=lambda x: (x[0], KINDS.index(x[2]), x[1])) if found else base
 

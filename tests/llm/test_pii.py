@@ -44,6 +44,25 @@ def test_disguises_map_back_to_the_source(text, kind, span):
     assert [(k, text[a:b]) for a, b, k in p.spans(text, base) if (a, b, k) not in base] == [(kind, span)]
 
 
+@pytest.mark.parametrize(
+    ("text", "fragment", "whole"),
+    [
+        ("to jоhn@example.com now", "hn@example.com", "jоhn@example.com"),
+        ("to jane@mail.exаmple.com now", "jane@mail.ex", "jane@mail.exаmple.com"),
+        ("to jane@mail.example [dot] com now", "jane@mail.example", "jane@mail.example [dot] com"),
+    ],
+)
+def test_fragments_in_the_base_do_not_hide_the_whole(text, fragment, whole):
+    base = p.base_spans(text)
+    assert [text[a:b] for a, b, _ in base] == [fragment]
+    assert {(k, text[a:b]) for a, b, k in p.spans(text, base)} == {("email", fragment), ("email", whole)}
+
+
+def test_a_span_of_another_kind_does_not_hide_a_disguised_one():
+    text = "4111111111111111@exаmple.com"
+    assert [(k, text[a:b]) for a, b, k in p.spans(text, p.base_spans(text))] == [("email", text), ("card", "4111111111111111")]
+
+
 def test_plain_prose_stays_clean():
     for text in ("see you at the dot. one two three of them", "one two three four five six seven eight nine", "à la carte at noon", "at dot com"):
         assert p.spans(text, p.base_spans(text)) == []
