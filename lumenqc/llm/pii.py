@@ -5,6 +5,10 @@ and full-width characters, digits spelled as words, and "at" and "dot" written o
 characters its output stands for, so identifiers found in the normalised text are mapped back; those that use a
 disguise and lie in no base span of their kind are added.  A base span that is a fragment of one stays beside it.
 
+A spaced "at" counts before a domain with a disguised dot, and before a plain one after a local part with a separator
+inside ("john.smith at example.com", but then also "sign-up at example.com"; "meet at example.com" is none).  Digit
+words count in runs of three, and shorter beside a dot or other digits; both readings are searched.
+
 Special cases: a null text counts as empty; rows are independent, so repeated rows repeat their result; long runs
 of digits or of address characters cost time in proportion to their length; an empty table gives an empty
 result; other columns are ignored.
@@ -47,12 +51,23 @@ ALIKE = alike()
 DISGUISED = re.compile("[" + "".join(map(re.escape, map(chr, ALIKE))) + "]")
 WORD = "|".join(SPELLED)
 RUN = rf"(?<![A-Za-z0-9])(?:plus[\x20-]+)?(?:{WORD})(?:[\x20,.-]{{1,2}}(?:{WORD})){{2,}}(?![A-Za-z0-9])"
+ANY_RUN = rf"(?<![A-Za-z0-9])(?:plus[\x20-]+)?(?:{WORD})(?:[\x20,-]{{1,2}}(?:{WORD}))*(?![A-Za-z0-9])"  # a full stop stays one
 OPEN, CLOSE = r"\x20?[\(\[\{<]\x20?", r"\x20?[\)\]\}>]\x20?"
 DOT = rf"(?:{OPEN}(?:dot|\.){CLOSE}|\x20dot\x20)"
-PLAIN_AT = rf"\x20at\x20(?=[A-Za-z0-9-]+{DOT}[A-Za-z0-9])|(?<=[A-Za-z0-9][._%+-][A-Za-z0-9])\x20at\x20(?=[A-Za-z0-9-]+\.[A-Za-z])"
-REWRITES = re.compile(rf"(?P<run>{RUN})|(?P<at>{OPEN}(?:at|@){CLOSE}|{PLAIN_AT})|(?P<dot>(?<=[A-Za-z0-9]){DOT}(?=[A-Za-z0-9]))", re.IGNORECASE | re.ASCII)
+PLAIN_AT = rf"\x20at\x20(?=(?:[A-Za-z0-9-]++\.)*+[A-Za-z0-9-]++{DOT}[A-Za-z0-9])"
+MAYBE_AT = r"(?<=[A-Za-z0-9])\x20at\x20(?=(?:[A-Za-z0-9-]++\.)+[A-Za-z])"  # counts after a separated local part
+REST = rf"(?P<at>{OPEN}(?:at|@){CLOSE}|{PLAIN_AT})|(?P<maybe>{MAYBE_AT})|(?P<dot>(?<=[A-Za-z0-9]){DOT}(?=[A-Za-z0-9]))"
+REWRITES = re.compile(rf"(?P<run>{RUN})|{REST}", re.IGNORECASE | re.ASCII)
+SHORT_TOO = re.compile(rf"(?P<run>{ANY_RUN})|{REST}", re.IGNORECASE | re.ASCII)
+SEPARATED = re.compile(r"[A-Za-z0-9][._%+-]+[A-Za-z0-9]+\Z")
+# What a run of one or two words must stand beside.
+BEFORE = re.compile(rf"(?:[0-9][\x20,.-]{{1,2}}|(?:{WORD})\.)\Z", re.IGNORECASE | re.ASCII)
+BEHIND = re.compile(rf"[\x20,.-]{{1,2}}[0-9]|\.(?:{WORD})(?![A-Za-z0-9])|{DOT}[A-Za-z0-9]", re.IGNORECASE | re.ASCII)
+# Quick tests before the expressions: each finds all that they can match.
+BRACKETS = re.compile(r"[\(\[\{<]\x20?(?:at|@|dot|\.)\x20?[\)\]\}>]")
 MIDDLE = re.compile(rf"[\x20,.-](?:{WORD})[\x20,.-]{{1,2}}(?:{WORD})", re.IGNORECASE | re.ASCII)  # of any run
-HINTS = ("dot", "at)", "at]", "at}", "at>", "at )", "at ]", " at ", "(@", "[@", "@)", "@]", "[.]", "(.)")
+ENDS = "|".join(rf"(?<={word}[\x20,.-])" for word in SPELLED)
+BESIDE = re.compile(rf"[0-9][\x20,.-]{{1,2}}(?:{WORD})|\.(?:{WORD})|plus[\x20-]+(?:{WORD})|[\x20,.-](?=[\x20,.-]?[0-9])(?:{ENDS})")
 RUN_PARTS = re.compile(rf"plus|{WORD}", re.IGNORECASE | re.ASCII)
 
 
@@ -117,27 +132,34 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 class Normalised:
-    """A text after the transducers; ``segments`` are (place, length, source place, source length), in order."""
+    """A text after the transducers; ``segments`` are (place, length, source place, source length), in order.
+
+    ``short``: runs of one or two spelled digits count too, beside other digits or full stops.
+    """
 
-    def __init__(self, source: str) -> None:
+    def __init__(self, source: str, short: bool = False) -> None:
         plain = source if source.isascii() else source.translate(ALIKE)
         self.source, self.plain = source, plain
-        out, self.segments, self.at, past = [], [], 0, 0
+        out, self.segments, self.at, past, dotted = [], [], 0, 0, False
 
         def emit(text: str, a: int, b: int) -> None:
             out.append(text)
             self.segments.append((self.at, len(text), a, b - a))
             self.at += len(text)
 
-        for m in REWRITES.finditer(plain) if rewritable(plain) else ():
+        for m in (SHORT_TOO if short else REWRITES).finditer(plain) if short or rewritable(plain) else ():
+            if m["maybe"] and not separated(plain, past, m.start(), dotted):
+                continue
+            if short and m["run"] and not (dotted and past == m.start() or counts(plain, m)):
+                continue
             emit(plain[past : m.start()], past, m.start())
-            past = m.end()
+            past, dotted = m.end(), bool(m["dot"])
             if m["run"]:
                 for w in RUN_PARTS.finditer(m["run"]):
                     word = w[0].lower()
                     emit(SPELLED.get(word, "+"), m.start() + w.start(), m.start() + w.end())
             else:
-                emit("@" if m["at"] else ".", m.start(), m.end())
+                emit("." if m["dot"] else "@", m.start(), m.end())
         emit(plain[past:], past, len(plain))
         self.text = "".join(out)
         self.starts = [s[0] for s in self.segments]
@@ -150,24 +172,55 @@ class Normalised:
         return start, end, self.text[a:b] != self.source[start:end]
 
 
+def separated(text: str, past: int, end: int, dotted: bool) -> bool:
+    """Whether the address characters that run up to ``end`` have a separator inside, be it a dot undone at ``past``."""
+    start = end
+    while start > past and text[start - 1] in LOCAL:
+        start -= 1
+    return dotted and start == past or bool(SEPARATED.search(text, start, end))
+
+
+def counts(text: str, m: re.Match) -> bool:
+    """Whether a run has three digits, starts with plus, or stands beside other digits or full stops."""
+    words = RUN_PARTS.findall(m["run"])
+    return len(words) > 2 or words[0].lower() == "plus" or bool(BEFORE.search(text, max(0, m.start() - 8), m.start()) or BEHIND.match(text, m.end()))
+
+
+def dotted(low: str) -> bool:
+    return " dot " in low or bool(BRACKETS.search(low))
+
+
 def rewritable(text: str) -> bool:
-    """Whether any rewriting word is in the text at all: a quick test before the expression."""
+    """Whether anything to rewrite can be in the text at all."""
+    low = text.lower()
+    return " at " in low or dotted(low) or bool(MIDDLE.search(text))
+
+
+def shortened(text: str) -> bool:
+    """Whether a short run can be in the text at all."""
     low = text.lower()
-    return any(x in low for x in HINTS) or bool(MIDDLE.search(text))
+    return dotted(low) or bool(BESIDE.search(low))
+
+
+def readings(text: str) -> Iterator[Normalised]:
+    """The text normalised, without and with short runs: these can also lengthen an identifier beyond what it may be."""
+    disguised = not text.isascii() and DISGUISED.search(text)
+    if disguised or rewritable(text):
+        yield Normalised(text)
+    if shortened(text.translate(ALIKE) if disguised else text):
+        yield Normalised(text, short=True)
 
 
 def spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """The base spans and those that were disguised."""
-    if (text.isascii() or not DISGUISED.search(text)) and not rewritable(text):
-        return base
-    normal = Normalised(text)
-    if normal.text == text:
-        return base
-    found = []
-    for a, b, kind in base_spans(normal.text):
-        start, end, changed = normal.back(a, b)
-        if changed and not any(x <= start and end <= y and k == kind for x, y, k in base):
-            found.append((start, end, kind))
+    found = set()
+    for normal in readings(text):
+        if normal.text == text:
+            continue
+        for a, b, kind in base_spans(normal.text):
+            start, end, changed = normal.back(a, b)
+            if changed and not any(x <= start and end <= y and k == kind for x, y, k in base):
+                found.add((start, end, kind))
     return sorted({*base, *found}, key=lambda x: (x[0], KINDS.index(x[2]), x[1])) if found else base
 
 

@@ -63,6 +63,68 @@ def test_a_span_of_another_kind_does_not_hide_a_disguised_one():
     assert [(k, text[a:b]) for a, b, k in p.spans(text, p.base_spans(text))] == [("email", text), ("card", "4111111111111111")]
 
 
+@pytest.mark.parametrize("sign", ["{@}", "<@>", "[ @ ]", " [ @ ] ", "( @ )", " { @ } ", "[at]", "( at )", "<AT >"])
+def test_each_bracketed_at_is_found_alone(sign):
+    text = f"jane{sign}example.com"
+    assert ("email", text) in {(k, text[a:b]) for a, b, k in p.spans(text, p.base_spans(text))}
+
+
+@pytest.mark.parametrize("sign", ["{.}", "<.>", "[ . ]", " ( . ) ", "[.]", "(dot)", "< DOT >", " dot "])
+def test_each_bracketed_dot_is_found_alone(sign):
+    for kind, text in (("ip", sign.join(["10", "0", "0", "1"])), ("email", f"jane@example{sign}com")):
+        assert (kind, text) in {(k, text[a:b]) for a, b, k in p.spans(text, p.base_spans(text))}
+
+
+@pytest.mark.parametrize(
+    ("kind", "text"),
+    [
+        ("email", "john.smith at example.com"),
+        ("email", "john_smith at mail.example.com"),
+        ("email", "john dot smith at example.com"),
+        ("email", "john at mail.example dot com"),
+        ("email", "john at mail.example[.]co.uk"),
+        ("ip", "one nine two dot one six eight dot one dot one"),
+        ("ip", "10 dot zero dot zero dot one"),
+        ("ip", "10.zero.zero.one"),
+        ("ip", "one.two.three.four"),
+        ("ip", "one nine two.one six eight.one.two five"),
+        ("card", "4111 1111 1111 111 one"),
+        ("phone", "plus one 555 123 4567"),
+        ("phone", "plus one (five five five) five five five two three four five"),
+    ],
+)
+def test_spaced_at_and_short_digit_runs(kind, text):
+    for around in ("{}", "x, {}; y"):
+        whole = around.format(text)
+        assert (kind, text) in {(k, whole[a:b]) for a, b, k in p.spans(whole, p.base_spans(whole))}
+
+
+def test_a_digit_word_behind_does_not_hide_an_identifier():
+    text = "card ４１１１ １１１１ １１１１ １１１１ one of two"
+    assert ("card", "４１１１ １１１１ １１１１ １１１１") in {(k, text[a:b]) for a, b, k in p.spans(text, p.base_spans(text))}
+
+
+def test_quick_tests_miss_nothing():
+    rng = random.Random(2)
+    bits = [*"()[]{}<> @.,-17aZ", "at", "AT", "dot", "Dot", " at ", " dot ", "one", "Two", "oh", "zero", "plus ", "x.y", "İ", "ſ"]
+    seen = 0
+    for _ in range(60_000):
+        text = "".join(rng.choices(bits, k=rng.randrange(2, 9)))
+        if p.Normalised(text, short=True).text != text.translate(p.ALIKE):
+            seen += 1
+            assert p.shortened(text) or p.rewritable(text), text
+        if p.REWRITES.search(text):
+            assert p.rewritable(text), text
+        short = [m for m in p.SHORT_TOO.finditer(text) if m["run"] and p.counts(text, m)]
+        assert not short or p.shortened(text) or all(len(p.RUN_PARTS.findall(m["run"])) > 2 for m in short), text
+    assert seen > 1000
+
+
+def test_prose_with_at_stays_clean():
+    for text in ("meet us at example.com today", "one of 10 and two or 3 of them", "they met. at example.com", "part one.Two of them at home"):
+        assert p.spans(text, p.base_spans(text)) == []
+
+
 def test_plain_prose_stays_clean():
     for text in ("see you at the dot. one two three of them", "one two three four five six seven eight nine", "à la carte at noon", "at dot com"):
         assert p.spans(text, p.base_spans(text)) == []
