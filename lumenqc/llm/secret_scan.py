@@ -3,7 +3,8 @@
 One pass of an Aho-Corasick automaton over the ASCII-lowered text yields keyword hits; only there is an
 expression tried, anchored at the hit.  ``AUTOMATON`` holds the keywords of every kind and, for hexadecimal
 runs, all four-digit hexadecimal strings (generated by rule).  Tokens that embed a checksum or a checkable
-structure count only if it holds.
+structure count only if it holds: private keys by their DER or OpenSSH lengths, those enciphered under PEM headers
+(Proc-Type, DEK-Info) by whole cipher blocks.
 
 Results for special cases: a null text counts as empty (no spans); an empty table gives an empty result;
 rows are independent, so repeated rows repeat their result; other columns of the input are ignored.
@@ -31,7 +32,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 FORGE = re.compile(r"(gh[pousr]|npm)_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+")
-PEM = re.compile(r"-----BEGIN ((?:[A-Z]+ )?PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+PEM_HEADER = r"(?:(?:Proc-Type|DEK-Info):\s*+\S++\s*+|[A-Za-z][A-Za-z0-9-]*+:[^\r\n]*+(?:\r?\n[\x20\t]++[^\r\n]*+)*+\s++)"
+PEM = re.compile(rf"-----BEGIN (?P<label>(?:[A-Z]+ )?PRIVATE KEY)-----\s*+(?P<head>{PEM_HEADER}*+)(?P<body>[A-Za-z0-9+/=\s]+)-----END (?P=label)-----")
+ENCRYPTED = re.compile(r"Proc-Type:\s*4,ENCRYPTED\s")
+DEK = re.compile(r"DEK-Info:\s*([A-Za-z0-9-]+),((?:[0-9A-Fa-f]{2})+)\s")
+OPENSSH = b"openssh-key-v1\0"
+TAGGED = (b"aes128-gcm@openssh.com", b"aes256-gcm@openssh.com", b"chacha20-poly1305@openssh.com")  # 16 bytes of tag follow the key
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "forge", "jwt", "pem")
 KEYWORDS = {
@@ -82,12 +88,8 @@ def jwt_header(m: re.Match) -> bool:
     return isinstance(head, dict) and "alg" in head
 
 
-def der_length(m: re.Match) -> bool:
-    """The body decodes to one DER sequence whose embedded length is the body's own."""
-    try:
-        body = base64.b64decode("".join(m[2].split()), validate=True)
-    except (ValueError, binascii.Error):
-        return False
+def der_length(body: bytes) -> bool:
+    """One DER sequence whose embedded length is the body's own."""
     if len(body) < 4 or body[0] != 0x30:
         return False
     if body[1] < 0x80:
@@ -96,6 +98,44 @@ def der_length(m: re.Match) -> bool:
     return 1 <= n <= 4 and 2 + n + int.from_bytes(body[2 : 2 + n], "big") == len(body)
 
 
+def openssh_lengths(body: bytes) -> bool:
+    """The magic, then cipher, derivation, its options, a count, so many public keys and the private part, which fill the body by their lengths."""
+    at = len(OPENSSH)
+
+    def field() -> bytes | None:
+        nonlocal at
+        start = at + 4
+        at = start + int.from_bytes(body[at:start], "big")
+        return body[start:at] if start <= len(body) and at <= len(body) else None
+
+    head = [field() for _ in range(3)]
+    if not body.startswith(OPENSSH) or None in head:
+        return False
+    keys = int.from_bytes(body[at : at + 4], "big")
+    at += 4
+    for _ in range(keys + 1):
+        if not field():
+            return False
+    return keys > 0 and at + 16 * (head[0] in TAGGED) == len(body)
+
+
+def enciphered(head: str, body: bytes) -> bool:
+    """The headers name a cipher and its start value, and the body is whole blocks, where the cipher makes such."""
+    m = DEK.search(head)
+    return bool(m and body) and (not m[1].upper().endswith("-CBC") or len(body) % (len(m[2]) // 2) == 0)
+
+
+def private_key(m: re.Match) -> bool:
+    """The body decodes to what its headers or its own lengths say."""
+    try:
+        body = base64.b64decode("".join(m["body"].split()), validate=True)
+    except (ValueError, binascii.Error):
+        return False
+    if ENCRYPTED.search(m["head"]):
+        return enciphered(m["head"], body)
+    return der_length(body) or openssh_lengths(body)
+
+
 #: Kind: anchored pattern and what a match must pass.
 RULES = {
     "assign": (ASSIGN, lambda m: len(m[1]) >= 8),
@@ -103,7 +143,7 @@ RULES = {
     "hex": (HEX, lambda m: m.end() - m.start() >= 32),
     "forge": (FORGE, forge_checksum),
     "jwt": (JWT, jwt_header),
-    "pem": (PEM, der_length),
+    "pem": (PEM, private_key),
 }
 
 

@@ -43,6 +43,46 @@ def test_checksums_decide():
         assert ("pem" in [x[2] for x in s.scan(text)]) == there
 
 
+def pem(label, data, head="", line="\n"):
+    body = base64.b64encode(data).decode()
+    return f"-----BEGIN {label}-----{line}{head}{line.join(body[i : i + 64] for i in range(0, len(body), 64))}{line}-----END {label}-----"
+
+
+def openssh(cipher=b"none", after=b"", keys=1):
+    field = lambda b: len(b).to_bytes(4, "big") + b
+    return b"openssh-key-v1\0" + field(cipher) + field(b"none") + field(b"") + keys.to_bytes(4, "big") + field(b"p" * 51) * keys + field(b"k" * 144) + after
+
+
+def whole(text):
+    return s.redact(f"a {text} b", s.scan(f"a {text} b")) == "a [pem] b"
+
+
+def test_openssh_keys_count_by_their_lengths():
+    label = "OPENSSH PRIVATE KEY"
+    for good in (openssh(), openssh(keys=2), openssh(b"aes256-ctr"), openssh(b"aes256-gcm@openssh.com", b"t" * 16)):
+        assert whole(pem(label, good)) and whole(pem(label, good, line="\r\n"))
+        for bad in (good[:-1], good + b"x", b"o" + good, good[:15], good[:40]):
+            assert "pem" not in [x[2] for x in s.scan(pem(label, bad))]
+    assert "pem" not in [x[2] for x in s.scan(pem(label, openssh(keys=0)))]
+
+
+def test_enciphered_keys_with_headers_count():
+    for cipher, iv in (("AES-128-CBC", 16), ("DES-EDE3-CBC", 8)):
+        for line in ("\n", "\r\n", " ", "\n    "):
+            head = f"Proc-Type: 4,ENCRYPTED{line}DEK-Info: {cipher},{'A7' * iv}{line}{line}"
+            assert whole(pem("RSA PRIVATE KEY", b"e" * 608, head, line))
+            assert "pem" not in [x[2] for x in s.scan(pem("RSA PRIVATE KEY", b"e" * 607, head, line))]
+    assert "pem" not in [x[2] for x in s.scan(pem("RSA PRIVATE KEY", b"e" * 608, "Proc-Type: 4,ENCRYPTED\n\n"))]
+    der = b"\x30\x82\x01\x00" + bytes(256)
+    assert whole(pem("PRIVATE KEY", der, "Comment: made by\n hand: here\nX-Note: x\n\n"))
+    assert not whole(pem("PRIVATE KEY", der[:-1], "Comment: made by hand\n\n"))
+
+
+def test_many_headers_take_linear_time():
+    for text in ("-----BEGIN PRIVATE KEY-----\n" + "a: b\n" * 50_000, "-----BEGIN PRIVATE KEY-----" + "a" * 300_000, "-----BEGIN PRIVATE KEY-----" + " \n" * 150_000):
+        assert "pem" not in [x[2] for x in s.scan(text)]
+
+
 def test_odd_rows(docs, none):
     rows = s.find_secrets(docs).collect()
     assert len(rows) == docs.count()
