@@ -229,12 +229,12 @@ class Scorer:
 
     def __init__(self, model: Model) -> None:
         self.model, self.known = model, {}
-        self.scores, self.counts = np.zeros((1024, len(model.langs))), np.zeros(1024)
+        self.scores, self.counts, self.letters = np.zeros((1024, len(model.langs))), np.zeros(1024), np.zeros(1024)
 
     def learn(self, new: list[str]) -> None:
         first, end = len(self.known), len(self.known) + len(new)
         while end > len(self.counts):
-            self.scores, self.counts = np.concatenate((self.scores, np.zeros_like(self.scores))), np.concatenate((self.counts, np.zeros_like(self.counts)))
+            self.scores, self.counts, self.letters = (np.concatenate((x, np.zeros_like(x))) for x in (self.scores, self.counts, self.letters))
         found = [words(c) for c in new]
         of = np.repeat(np.arange(len(new)), list(map(len, found)))
         flat = {w: i for i, w in enumerate(dict.fromkeys(w for x in found for w in x))}
@@ -243,10 +243,11 @@ class Scorer:
         for k in range(len(self.model.langs)):
             self.scores[first:end, k] = np.bincount(of, each[:, k], len(new))
         self.counts[first:end] = np.bincount(of, minlength=len(new))
+        self.letters[first:end] = np.bincount(of, np.fromiter((len(w) for x in found for w in x), float, len(of)), len(new))
         self.known.update(zip(new, range(first, end), strict=True))
 
-    def judge(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
-        """(language, score) of each text."""
+    def judge(self, texts: list[str | None]) -> Iterator[tuple[str, float, float]]:
+        """(language, score, log-likelihood per letter and word mark) of each text."""
         for lot in lots(texts):
             split = [text.split() if text else [] for text in lot]
             if len(self.known) > CACHE:
@@ -256,12 +257,12 @@ class Scorer:
             for chunks in split:
                 at = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
                 if not (total := self.counts[at].sum()):
-                    yield "und", 0.0
+                    yield "und", 0.0, -np.inf
                     continue
                 sums = self.scores[at].sum(axis=0)
                 best = int(np.argmax(sums))
                 even = np.exp((sums - sums[best]) * (min(total, 20.0) / total))
-                yield self.model.langs[best], float(1 / even.sum())
+                yield self.model.langs[best], float(1 / even.sum()), float(sums[best] / self.letters[at].sum())
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -271,20 +272,25 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model) if model else None
         for batch in batches:
-            found = list(scorer.judge(batch.column(1).to_pylist())) if scorer else [("und", 0.0)] * len(batch)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())], names=[id_col, "lang_pred", "score"])
+            found = list(scorer.judge(batch.column(1).to_pylist())) if scorer else [("und", 0.0, -np.inf)] * len(batch)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _, _ in found], pa.string()), pa.array([y for _, y, _ in found], pa.float64())], names=[id_col, "lang_pred", "score"])
 
     return kept.mapInArrow(run, f"`{id_col}` {kept.schema[id_col].dataType.simpleString()}, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, model: Model | None, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """``docs`` without those whose language is ``und`` or scores under ``least``; all columns stay."""
+def keep_known(docs: DataFrame, model: Model | None, least: float = 0.5, text_col: str = "text", fit: float = -np.inf) -> DataFrame:
+    """``docs`` without those whose language is ``und``, scores under ``least``, or fits under ``fit``; all columns stay.
+
+    The score compares the learned languages only, so a text in another one can reach 1.  The fit is absolute: the
+    best language's log-likelihood per letter.  Without a model nothing can be judged and all documents stay.
+    """
+    if model is None:
+        return docs
     where = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model) if model else None
+        scorer = Scorer(model)
         for batch in batches:
-            if scorer:
-                yield batch.filter(pa.array([x != "und" and y >= least for x, y in scorer.judge(batch.column(where).to_pylist())], pa.bool_()))
+            yield batch.filter(pa.array([x != "und" and y >= least and z >= fit for x, y, z in scorer.judge(batch.column(where).to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

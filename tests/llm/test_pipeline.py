@@ -1,8 +1,10 @@
 import itertools
 import random
 
+from public_tokenizers import path
+
 import corpus_pipeline as c
-from lumenqc.llm import secret_scan, simhash
+from lumenqc.llm import language, secret_scan, simhash
 from lumenqc.llm.common import table
 from tests.llm.test_language import WORDS
 from tests.llm.test_simhash import plain, smallest
@@ -42,3 +44,20 @@ def test_stages_against_brute_force(spark, tmp_path):
             at += r.length
     assert sorted(map(tuple, c.run(spark, str(tmp_path)).select("doc_id", "length", "ids_crc32").collect())) == sorted((r.doc_id, r.length, r.ids_crc32) for r in packed)
     assert simhash.keep_one(steps[1]).count() == steps[1].count()
+
+
+def test_unlearned_languages_go(spark, tmp_path):
+    rng = random.Random(4)
+    known = [(i, " ".join(rng.choices(WORDS[lang], k=30)), lang) for i in range(90) for lang in [rng.choice(list(WORDS))]]
+    known += [(90, "the water and the house", None), (91, "mit leute und wasser", None)]
+    strange = ["talo ja vesi ovat täällä ihmisten kanssa jotka tulivat eilen", "дом и вода здесь с людьми которые пришли вчера", "Το σπίτι και το νερό είναι εδώ με τους ανθρώπους", "这是一个房子和水", "kuća i voda ovdje s ljudima koji dolaze"]
+    docs = spark.createDataFrame([*known, *((100 + i, t * 3, None) for i, t in enumerate(strange))], "doc_id long, text string, lang string")
+    model = language.train(docs, path("piece_bpe_32k.model"))
+    score = {r.doc_id: r.score for r in language.predict(docs, model).collect()}
+    assert sum(score[100 + i] >= c.LEAST_SCORE for i in range(len(strange))) >= 3  # the share alone lets them pass
+    assert {r.doc_id for r in c.language_id(spark, docs, "").collect()} == {i for i, _, _ in known}
+
+
+def test_without_a_model_all_stay(spark):
+    docs = spark.createDataFrame([(1, "the house", None), (2, None, None)], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in c.language_id(spark, docs, "").collect()} == {1, 2}
