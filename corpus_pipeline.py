@@ -37,7 +37,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' ids, in sequences of 4096."""
+    """The documents' ids by piece, each with its place in the sequences of 4096."""
     return packing.pack(docs, tokenizer_file("word_bpe_49k.json"))
 
 

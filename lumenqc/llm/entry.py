@@ -41,7 +41,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
+    return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER).drop("ids")
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

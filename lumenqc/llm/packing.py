@@ -129,28 +129,33 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_
         seen = np.zeros(capacity + 1, np.int64)
         end = np.array([end_id], "<u4")
         for batch in batches:
-            which, piece, start, length, crc, rank = [], [], [], [], [], []
-            for k, ids in enumerate(x for lot in lots(batch.column(1).to_pylist()) for x in encode(lot)):
-                ids = np.concatenate((ids, end))
-                for p, at in enumerate(range(0, len(ids), capacity)):
-                    cut = ids[at : at + capacity]
-                    which.append(k)
-                    piece.append(p)
-                    start.append(at)
-                    length.append(len(cut))
-                    crc.append(zlib.crc32(cut))
-                    rank.append(seen[len(cut)])
-                    seen[len(cut)] += 1
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(which, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc)), pa.array([task] * len(which), pa.int32()), pa.array(rank, pa.int64())],
-                names=[id_col, "piece", "start", "length", "ids_crc32", "task", "rank"],
-            )
-
-    return kept.mapInArrow(run, f"`{id_col}` {kept.schema[id_col].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, task int, rank long")
+            done = 0
+            for lot in lots(batch.column(1).to_pylist()):
+                which, piece, start, length, crc, rank, cuts = [], [], [], [], [], [], []
+                for k, ids in enumerate(encode(lot), done):
+                    ids = np.concatenate((ids, end))
+                    for p, at in enumerate(range(0, len(ids), capacity)):
+                        cut = ids[at : at + capacity]
+                        which.append(k)
+                        piece.append(p)
+                        start.append(at)
+                        length.append(len(cut))
+                        crc.append(zlib.crc32(cut))
+                        rank.append(seen[len(cut)])
+                        seen[len(cut)] += 1
+                        cuts.append(cut)
+                done += len(lot)
+                held = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *length]), pa.int32()), pa.array(np.concatenate(cuts).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(which, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc)), pa.array([task] * len(which), pa.int32()), pa.array(rank, pa.int64()), held],
+                    names=[id_col, "piece", "start", "length", "ids_crc32", "task", "rank", "ids"],
+                )
+
+    return kept.mapInArrow(run, f"`{id_col}` {kept.schema[id_col].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, task int, rank long, ids array<int>")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece with its sequence and its place there."""
+    """One row per piece with its sequence, its place there and its ids: a sequence is its pieces' ids by offset."""
     cut = written(pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col), "pieces")
     by_task = written(cut.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n")), "lengths")
     counts = np.zeros(capacity + 1, np.int64)
@@ -159,7 +164,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
     made = plan(counts, capacity)
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # a row a task
     firsts = by_task.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    ranked = cut.join(firsts, ["length", "task"]).select(id_col, "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("first")).alias("rank"))
+    ranked = cut.join(firsts, ["length", "task"]).select(id_col, "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("first")).alias("rank"), "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,6 +174,6 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
             for at in np.split(order, np.flatnonzero(np.diff(length[order])) + 1):
                 if len(at):
                     sequence[at], offset[at] = made.place(int(length[at[0]]), rank[at])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], names=[*batch.schema.names[:5], "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset), batch.column(6)], names=[*batch.schema.names[:5], "sequence_id", "offset", "ids"])
 
-    return ranked.mapInArrow(run, f"`{id_col}` {cut.schema[id_col].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(run, f"`{id_col}` {cut.schema[id_col].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, ids array<int>")

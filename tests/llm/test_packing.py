@@ -106,3 +106,16 @@ def test_pack_against_brute_force(docs, none):
         assert [o for o, _ in sorted(found)] == np.cumsum([0, *(n for _, n in sorted(found))])[:-1].tolist()
     assert len(place) <= -(-sum(r.length for r in rows) // 64) + 1
     assert k.pack(none, TOKENIZER).count() == 0
+
+
+def test_pack_keeps_the_ids(docs):
+    rows = k.pack(docs, TOKENIZER, capacity=64).collect()
+    t = Tokenizer.from_file(TOKENIZER)
+    want = {r.doc_id: [*t.encode(r.text or "", add_special_tokens=False).ids, 1] for r in docs.select("doc_id", "text").collect()}
+    sequences = defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.ids == want[r.doc_id][r.start : r.start + 64]
+        assert (r.length, r.ids_crc32) == (len(r.ids), zlib.crc32(np.array(r.ids, "<u4")))
+        assert r.offset == len(sequences[r.sequence_id])
+        sequences[r.sequence_id] += r.ids
+    assert sum(map(len, sequences.values())) == sum(len(want[r.doc_id]) for r in docs.select("doc_id").collect())

@@ -2,6 +2,7 @@ import itertools
 import random
 
 from public_tokenizers import path
+from tokenizers import Tokenizer
 
 import corpus_pipeline as c
 from lumenqc.llm import language, secret_scan, simhash
@@ -61,3 +62,9 @@ def test_unlearned_languages_go(spark, tmp_path):
 def test_without_a_model_all_stay(spark):
     docs = spark.createDataFrame([(1, "the house", None), (2, None, None)], "doc_id long, text string, lang string")
     assert {r.doc_id for r in c.language_id(spark, docs, "").collect()} == {1, 2}
+
+
+def test_the_ids_come_out(spark):
+    docs = spark.createDataFrame([(1, "the house"), (2, None)], "doc_id long, text string")
+    ids = {r.doc_id: r.ids for r in c.best_fit_packing(spark, docs, "").collect()}
+    assert ids == {1: [*Tokenizer.from_file(path("word_bpe_49k.json")).encode("the house", add_special_tokens=False).ids, 1], 2: [1]}
