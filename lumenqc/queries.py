@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenqc import oracles
 from lumenqc.functions import neighbourhood, raster, scores, tags, text
 from lumenqc.operators import analytics, batch
-from lumenqc.plans import decision, extraction, gates, profiles
+from lumenqc.plans import decision, extraction, gates, profiles, schemas
 from lumenqc.streaming import resume
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -442,8 +443,6 @@ def pixel_math(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def items_of_rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decision items measured on the rasters: each vector is a product's alpha, its successor the finished picture."""
-    from lumenqc.plans import schemas
-
     both = neighbours(spark, sf_dir).select("vec_id", "x", "y", *(c.alias(n) for n, c in alpha_measures(F.col("x")).items()))
     kept = raster.iou(F.col("x"), F.col("y"), 128.0)
     gap = raster.mean_difference(F.col("x"), F.col("y"))
@@ -461,19 +460,41 @@ def items_of_rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(F.col("vec_id").cast("string").alias("filename"), (F.col("vec_id") % 2 == 0).alias("after_rescue"), *(block(n).alias(n) for n in schemas.MEASURES))
 
 
-@query()
+def _block_sql(name: str, values: dict[str, str]) -> str:
+    """A struct of a block's fields, null where no value is given."""
+    kinds = {"double": "DOUBLE", "string": "VARCHAR", "array<string>": "VARCHAR[]"}
+    return "{" + ", ".join(f"'{f.name}': ({values.get(f.name, 'NULL')})::{kinds[f.dataType.simpleString()]}" for f in schemas.block(name)) + "}"
+
+
+_ITEM_VALUES = {
+    "mask": {"soft_coverage": "solid", "solid_of_soft": "solid / greatest(0.01, solid + unsure)", "fog_ratio": "unsure", "mean_alpha_soft": "255 * interior", "roi_fill": "solid + 0.1", "main_component_frac": "0.9", "bads": oracles.raised(("solid < 0.05", "empty_mask"))},
+    "cutout": {"fog_of_fg": "unsure", "visibility": "gap", "solid_std": "gap", "warns": oracles.raised(("unsure > 0.8", "foggy_alpha_edges"))},
+    "studio": {"product_mean": "255 * interior", "light_grey_frac": "solid", "bg_dirty_frac": "ghost / 1000", "posits": oracles.raised(("solid > 0.3", "dark_on_white"))},
+    "structure": {"structure_loss": "0.3 * (1 - kept)", "edge_drop": "0.2 * (1 - kept)", "posits": oracles.raised(("kept > 0.3", "structure_preserved"))},
+    "raw_final": {
+        "structure_preservation_score": "60 + 40 * kept", "detail_retention_score": "65 + 40 * kept", "raw_final_edge_consistency_score": "70 + 30 * kept", "foreground_overexposure_score": "100 - gap / 3",
+        "spatial_evidence_confidence": "'MEDIUM'", "bads": oracles.raised(("kept < 0.02", "product_structure_destroyed")),
+    },
+}
+ENGINE_SQL = f"""{MEASURES_SQL}, {NEIGHBOURS_SQL}, both_sides AS (SELECT m.*, len(list_filter(z, lambda p: p[1] >= 128 AND p[2] >= 128)) / greatest(len(list_filter(z, lambda p: p[1] >= 128 OR p[2] >= 128)), 1)::DOUBLE AS kept,
+list_sum(list_transform(z, lambda p: abs(p[1] - p[2]))) / 64.0 AS gap FROM n JOIN m USING (vec_id)),
+items AS (SELECT vec_id::VARCHAR AS filename, vec_id % 2 = 0 AS after_rescue, {", ".join(f"{_block_sql(b, v)} AS {b}" for b, v in _ITEM_VALUES.items())} FROM both_sides),
+{oracles.engine_sql("items")}"""
+
+
+@query(f"""WITH {ENGINE_SQL} SELECT filename, decision, zone, round(final_score, 1) AS final_score, round(core_score, 1) AS core_score, round(aesthetic_score, 1) AS aesthetic_score, processing_profile, reason, array_to_string(triggered_rules, ';') AS triggered,
+CASE WHEN decision = 'pass' THEN '' ELSE array_to_string({oracles.distinct("(bads || triggered_rules)")}, ';') END AS explained FROM reports""")
 def decision_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole engine on every raster."""
     found = decision.decide(items_of_rasters(spark, sf_dir))
-    return found.select("filename", "decision", "zone", "final_score", "core_score", "aesthetic_score", "processing_profile", "reason", text.joined(F.col("triggered_rules")).alias("triggered"), text.joined(decision.explained(F.col("bads"), F.col("triggered_rules"), F.col("decision"))).alias("explained"))
+    return found.select("filename", "decision", "zone", *(r(f"{k}_score", 1).alias(f"{k}_score") for k in ("final", "core", "aesthetic")), "processing_profile", "reason", text.joined(F.col("triggered_rules")).alias("triggered"), text.joined(decision.explained(F.col("bads"), F.col("triggered_rules"), F.col("decision"))).alias("explained"))
 
 
-@query()
+@query(f"""WITH {ENGINE_SQL}, t AS (SELECT decision, unnest(triggered_rules) AS tag FROM reports), c AS (SELECT decision, tag, count(*) AS n FROM t GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY decision ORDER BY n DESC, tag) AS rank FROM c""")
 def decision_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions and their tags, counted."""
     found = decision.decide(items_of_rasters(spark, sf_dir))
-    return analytics.tag_counts(found, "decision", F.col("triggered_rules"))
-
+    return analytics.tag_counts(found, "decision", F.col("triggered_rules")).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(f"""WITH g AS (SELECT vec_id, {GREY_SQL} AS x FROM embeddings), p AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, v FROM (SELECT vec_id, unnest(range(64)) AS i, unnest(x) AS v FROM g)),
@@ -494,7 +515,21 @@ def raster_morphology(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masks.select("vec_id", area(m).alias("area"), area(n.dilated(m, 8)).alias("dilated"), area(n.eroded(m, 8)).alias("eroded"), r(n.border_share(m, 8), 6).alias("border"), n.box(m, 8).alias("b")).select("vec_id", "area", "dilated", "eroded", "border", F.col("b.top").alias("top"), F.col("b.right").alias("right_most"))
 
 
-@query()
+def _labels_sql(name: str, cells: str) -> str:
+    """Table ``name`` (vec_id, root, n): components, by 4 neighbours, of the cells (vec_id, y, x) of table ``cells``."""
+    return f"""{name}_reach AS (SELECT vec_id, y, x, y * 100 + x AS root FROM {cells} UNION SELECT c.vec_id, c.y, c.x, r.root FROM {name}_reach r JOIN {cells} c ON c.vec_id = r.vec_id AND abs(c.y - r.y) + abs(c.x - r.x) = 1),
+{name}_cells AS (SELECT vec_id, y, x, min(root) AS root FROM {name}_reach GROUP BY ALL), {name} AS (SELECT vec_id, root, count(*) AS n FROM {name}_cells GROUP BY ALL)"""
+
+
+def _mask_sql(bar: int) -> str:
+    """Components ``k`` of the mask of values from ``bar`` on, and ``h``: its holes' pixels, background that doesn't reach the frame around the raster."""
+    return f"""px AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, v FROM (SELECT vec_id, unnest(range(64)) AS i, unnest({GREY_SQL}) AS v FROM embeddings)),
+fore AS (SELECT vec_id, y, x FROM px WHERE v >= {bar}), back AS (SELECT vec_id, y, x FROM px WHERE v < {bar} UNION ALL SELECT vec_id, f // 10 - 1 AS y, f % 10 - 1 AS x FROM (SELECT vec_id, unnest(range(100)) AS f FROM embeddings) WHERE f // 10 IN (0, 9) OR f % 10 IN (0, 9)),
+{_labels_sql("k", "fore")}, {_labels_sql("b", "back")}, h AS (SELECT vec_id, coalesce(sum(n) FILTER (WHERE root <> -101), 0) AS holes FROM b GROUP BY 1)"""
+
+
+@query(f"""WITH RECURSIVE {_mask_sql(150)}, s AS (SELECT vec_id, count(*) AS n, max(n) AS largest FROM k GROUP BY 1)
+SELECT vec_id, coalesce(s.n, 0)::INT AS n_components, coalesce(largest, 0)::INT AS largest, holes::BIGINT AS hole_pixels FROM h LEFT JOIN s USING (vec_id)""")
 def raster_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of each mask and its holes."""
     masks = read(spark, sf_dir, "embeddings").select("vec_id", grey().alias("g")).select("vec_id", F.transform("g", lambda v: F.when(v >= 150, 1.0).otherwise(0.0)).alias("m"))
@@ -547,12 +582,40 @@ def structure_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.groupBy(verdict.alias("verdict"), tags.has(F.col("posits"), "structure_preserved").alias("kept")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+def _spoken_sql(groups: list[list[tuple[str, str, str]]]) -> str:
+    """bads, warns and posits, joined: of a group the first rule that holds speaks."""
+    said = ", ".join("CASE " + " ".join(f"WHEN {w} THEN '{kind}:{tag}'" for w, kind, tag in group) + " END" for group in groups)
+    return ", ".join(f"array_to_string(list_transform(list_filter([{said}], lambda x: starts_with(x, '{kind}:')), lambda x: x[{len(kind) + 2}:]), ';') AS {name}" for name, kind in (("bads", "bad"), ("warns", "warn"), ("posits", "good")))
+
+
+_FRAG = "foreground_fragmented"
+_SPRAY, _EXTREME, _SEVERAL = "(pieces >= 5 AND main < 0.40 AND tiny >= 12)", "(every >= 25 AND pieces <= 3 AND tiny >= 15)", "(pieces BETWEEN 2 AND 12 AND tiny <= greatest(8, pieces * 2) AND main >= 0.08)"
+_FINE = f"({_SEVERAL} AND NOT {_SPRAY} AND NOT {_EXTREME})"
+_MASK_RULES = [
+    [("soft < 0.008", "bad", "weak_mask_small_area")], [("strong < 0.004", "bad", "weak_mask_low_opacity")], [("soft > 0.55", "bad", "mask_near_full_frame"), ("soft > 0.45", "warn", "mask_near_full_frame")],
+    [("soft > 0.42 AND fill > 0.72", "warn", "mask_near_full_frame")], [("fill < 0.08 AND soft < 0.015", "bad", _FRAG), ("fill < 0.22", "warn", _FRAG)],
+    [("1 - solid >= 0.65 AND solid < 0.35", "bad", "foggy_soft_mask"), ("1 - solid >= 0.50 AND solid < 0.42", "warn", "foggy_soft_mask")], [("solid < 0.18", "bad", "weak_mask_low_opacity"), ("solid < 0.30", "warn", "weak_mask_low_opacity")],
+    [("alpha < 75", "bad", "weak_mask_mean_alpha"), ("alpha < 100", "warn", "weak_mask_mean_alpha")], [("aspect > 16 AND soft < 0.06", "bad", "bbox_implausibly_thin")], [(_FINE, "good", "multi_object_ok")],
+    [(f"{_FINE} AND pieces >= 6 AND main < 0.25", "warn", _FRAG), (_FINE, "-", ""), (f"{_SPRAY} OR {_EXTREME} OR (pieces >= 5 AND main < 0.22 AND tiny >= 14)", "bad", _FRAG), ("(pieces >= 3 AND main < 0.30 AND tiny >= 8) OR (pieces >= 4 AND main < 0.28)", "warn", _FRAG)],
+    [(f"(main >= 0.85 AND pieces <= 2) OR {_SEVERAL}", "good", "strong_main_component")],
+    [("hole_frac BETWEEN 0.05 AND 0.55 AND holes >= 200 AND solid >= 0.45", "good", "legitimate_holes"), ("hole_frac >= 0.22 AND holes >= 25000 AND solid < 0.40", "bad", _FRAG), ("hole_frac >= 0.45 AND holes >= 12000 AND solid < 0.45", "warn", _FRAG)],
+    [("solid >= 0.70 AND alpha >= 160", "good", "opaque_core")], [("soft BETWEEN 0.04 AND 0.45 AND solid >= 0.65", "good", "plausible_coverage")],
+]
+
+
+@query(f"""WITH RECURSIVE {_mask_sql(150)}, f AS (SELECT vec_id, count(*) FILTER (WHERE v >= 32) AS n_soft, count(*) FILTER (WHERE v >= 150) AS n_solid, coalesce(avg(v) FILTER (WHERE v >= 32), 0) AS alpha,
+max(y) FILTER (WHERE v >= 32) - min(y) FILTER (WHERE v >= 32) + 1 AS height, max(x) FILTER (WHERE v >= 32) - min(x) FILTER (WHERE v >= 32) + 1 AS width FROM px GROUP BY 1),
+c AS (SELECT vec_id, count(*) AS every, max(n) AS largest, count(*) FILTER (WHERE n >= 0.12 * n_solid) AS pieces, count(*) FILTER (WHERE n < 0.02 * n_solid) AS tiny FROM k JOIN f USING (vec_id) GROUP BY 1),
+w AS (SELECT vec_id, n_soft / 64.0 AS soft, n_solid / 64.0 AS strong, n_solid / greatest(n_soft, 1)::DOUBLE AS solid, coalesce(n_soft / (height * width)::DOUBLE, 0.0) AS fill, alpha, coalesce(greatest(height, width) / least(height, width)::DOUBLE, 1.0) AS aspect,
+coalesce(largest, 0) / greatest(n_solid, 1)::DOUBLE AS main, coalesce(pieces, 0) AS pieces, coalesce(tiny, 0) AS tiny, coalesce(every, 0) AS every, holes, holes / greatest(holes + n_solid, 1)::DOUBLE AS hole_frac FROM f JOIN h USING (vec_id) LEFT JOIN c USING (vec_id)),
+t AS (SELECT vec_id, soft, fill, hole_frac, {_spoken_sql(_MASK_RULES)} FROM w)
+SELECT vec_id, round(fill, 6) AS roi_fill, round(hole_frac, 6) AS hole_frac, CASE WHEN soft <= 0 THEN 'empty_mask' ELSE bads END AS bads, CASE WHEN soft <= 0 THEN '' ELSE warns END AS warns, CASE WHEN soft <= 0 THEN '' ELSE posits END AS posits FROM t""")
 def mask_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mask gate on every raster: measured, tagged, without a shuffle."""
     n, x = neighbourhood, F.col("x")
+    over = lambda raster_, bar: F.transform(raster_, lambda v: F.when(v >= bar, 1.0).otherwise(0.0))
     base = read(spark, sf_dir, "embeddings").select("vec_id", grey().alias("x"))
-    masks = base.select("vec_id", "x", *(F.transform("x", lambda v, t=t: F.when(v >= t, 1.0).otherwise(0.0)).alias(k) for k, t in (("soft", 32), ("solid", 150))))
+    masks = base.select("vec_id", "x", over("x", 32).alias("soft"), over("x", 150).alias("solid"))
     found = masks.select("vec_id", "x", "soft", "solid", n.box(F.col("soft"), 8).alias("b"), n.sizes(n.components(F.col("solid"), 8)).alias("sizes"), raster.total(n.filled(F.col("solid"), 8)).alias("full"), raster.total(F.col("soft")).alias("n_soft"), raster.total(F.col("solid")).alias("n_solid"))
     height, width = F.col("b.bottom") - F.col("b.top") + 1, F.col("b.right") - F.col("b.left") + 1
     one, largest = F.lit(1.0), F.coalesce(F.get("sizes", F.lit(0)), F.lit(0))
