@@ -43,3 +43,9 @@ def survival(raw: Column, final: Column, keep: float) -> tuple[Column, Column]:
     pairs = F.filter(F.zip_with(raw, final, lambda r, f: F.struct(r.alias("r"), f.alias("f"))), lambda p: p["r"] > 0)
     lost = F.size(F.filter(pairs, lambda p: p["f"] < keep * p["r"]))
     return 1.0 - lost / F.greatest(F.size(pairs), F.lit(1)), lost
+
+
+def corner_share(x: Column, side: int, corner: int, bar: float) -> Column:
+    """The share of the first corner's pixels that reach ``bar``."""
+    inside = F.filter(F.transform(x, lambda v, i: F.when((F.floor(i / side) < corner) & (i % side < corner), v)), lambda v: v.isNotNull())
+    return share(inside, lambda v: v >= bar)

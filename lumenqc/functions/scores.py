@@ -58,6 +58,12 @@ def chroma(r: Column, g: Column, b: Column) -> Column:
     return F.greatest(r, g, b) - F.least(r, g, b)
 
 
+def saturation(r: Column, g: Column, b: Column) -> Column:
+    """Chroma by the largest channel; 0 for black."""
+    most = F.greatest(r, g, b)
+    return F.when(most > 1e-3, chroma(r, g, b) / F.greatest(most, F.lit(1e-3))).otherwise(0.0)
+
+
 def smoothstep(x: Column, low: float = 0.20, high: float = 0.78) -> Column:
     t = clamp((x - low) / (high - low), 0.0, 1.0)
     return t * t * (3.0 - 2.0 * t)

@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenqc.operators import scale
+
+
+#: Under this name a map of timings also counts its item.
+ITEMS = "\0items"
+
 
 def tag_counts(items: DataFrame, group: str, tags: Column, most: int | None = None) -> DataFrame:
     """How often each tag occurs in each group, by (-count, tag); the ``most`` first of a group, or all."""
@@ -16,7 +22,15 @@ def tag_counts(items: DataFrame, group: str, tags: Column, most: int | None = No
 
 def summary(items: DataFrame, group: str, value: str) -> DataFrame:
     """n, mean, median, minimum and maximum of a value by group."""
-    return items.groupBy(group).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.min(value).alias("least"), F.max(value).alias("most"))
+    at = items.groupBy(group).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"))
+    ranks, median = scale.interpolated("median", 0.5)
+    return with_quantiles(at, items, group, value, ranks).select(group, "n", "mean", median(F.col("n")).alias("median"), "least", "most")
+
+
+def with_quantiles(at: DataFrame, items: DataFrame, group: str, value: str, ranks: dict) -> DataFrame:
+    """A row per group joined with the values at ``ranks``; groups without a value have nulls there."""
+    found = scale.quantiles(items, group, value, ranks).withColumnRenamed(group, "q_group")
+    return at.join(found, at[group].eqNullSafe(found["q_group"]), "left").drop("q_group")
 
 
 def co_occurrence(items: DataFrame, rules: dict[str, Column]) -> DataFrame:
@@ -42,20 +56,28 @@ def confusion(items: DataFrame, good: Column, passed: Column) -> DataFrame:
 
 def stage_profile(timings: DataFrame, stage: str, seconds: str) -> DataFrame:
     """Mean, median and three kinds of 95th percentile: interpolated, nearest rank, and the rank cut down."""
-    at = timings.groupBy(stage).agg(F.count(seconds).alias("n"), F.avg(seconds).alias("mean"), F.percentile(seconds, 0.95).alias("p95"), F.median(seconds).alias("median"), F.min(seconds).alias("least"), F.max(seconds).alias("most"))
-    # ranks by window: a stage's values are sorted in a shuffle, not gathered into one array
-    ranked = timings.where(F.col(seconds).isNotNull()).select(stage, seconds, F.row_number().over(Window.partitionBy(stage).orderBy(seconds)).alias("k")).join(at.select(stage, "n"), stage)
-    nearest, cut = F.least(F.col("n"), F.greatest(F.lit(1), F.round(0.95 * (F.col("n") - 1)) + 1)), F.greatest(F.lit(1), F.floor(0.95 * F.col("n")))
-    picked = ranked.groupBy(stage).agg(F.max(F.when(F.col("k") == nearest, F.col(seconds))).alias("p95_nearest"), F.max(F.when(F.col("k") == cut, F.col(seconds))).alias("p95_cut"))
-    return at.join(picked, stage)
+    at = timings.groupBy(stage).agg(F.count(seconds).alias("n"), F.avg(seconds).alias("mean"), F.min(seconds).alias("least"), F.max(seconds).alias("most"))
+    (ranks, median), (p95_ranks, p95) = scale.interpolated("median", 0.5), scale.interpolated("p95", 0.95)
+    ranks |= p95_ranks | {
+        "p95_nearest": lambda n: F.least(n, F.greatest(F.lit(1), F.round(0.95 * (n - 1)) + 1)),
+        "p95_cut": lambda n: F.greatest(F.lit(1), F.floor(0.95 * n)),
+    }
+    n = F.col("n")
+    return with_quantiles(at, timings, stage, seconds, ranks).select(stage, "n", "mean", p95(n).alias("p95"), median(n).alias("median"), "least", "most", "p95_nearest", "p95_cut")
 
 
 def stage_means(items: DataFrame, timings: str, part: str) -> DataFrame:
     """From a map of stage seconds an item: sum and mean by stage over items with any timing, and ``part``'s share of all in percent."""
-    n = items.where(F.size(timings) > 0).agg(F.count(F.lit(1)).alias("items"))
-    sums = items.select(F.explode(timings).alias("stage", "seconds")).groupBy("stage").agg(F.sum("seconds").alias("seconds"))
-    whole = sums.agg(F.sum("seconds").alias("whole"), F.sum(F.when(F.col("stage") == part, F.col("seconds"))).alias("part"))
-    return sums.join(n, how="cross").join(whole, how="cross").select("stage", "seconds", (F.col("seconds") / F.greatest("items", F.lit(1))).alias("mean"), (100.0 * F.col("part") / F.col("whole")).alias("part_percent"))
+    number = F.map_filter(F.transform_values(timings, lambda _, v: v.try_cast("double")), lambda _, v: v.isNotNull())  # what isn't a number doesn't count
+    parts = items.select(number.alias("timings")).where(F.size("timings") > 0).select(F.explode(F.map_concat("timings", F.create_map(F.lit(ITEMS), F.lit(1.0)))).alias("stage", "seconds"))
+    sums = parts.groupBy("stage").agg(F.sum("seconds").alias("seconds"))
+    total = Window.partitionBy(F.lit(1))  # a row a stage
+    over = lambda x: F.sum(x).over(total)
+    made = sums.select(
+        "stage", "seconds", (F.col("seconds") / over(F.when(F.col("stage") == ITEMS, F.col("seconds")))).alias("mean"),
+        (100.0 * over(F.when(F.col("stage") == part, F.col("seconds"))) / over(F.when(F.col("stage") != ITEMS, F.col("seconds")))).alias("part_percent"),
+    )
+    return made.where(F.col("stage") != ITEMS)
 
 
 def production(items: DataFrame, status: str, statuses: list[str], attempted: list[str]) -> DataFrame:
@@ -72,6 +94,20 @@ def alarms(items: DataFrame, window: Column, review: Column, passed: Column, lea
     return rates.withColumn("alarm", (F.col("n") >= least) & (F.col("review_rate") > reviews) & (F.col("pass_rate") < passes))
 
 
+def bench_summary(rows: DataFrame, seconds: str, rescued: Column, status: str, statuses: list[str]) -> DataFrame:
+    """A run as one row: how many, mean, median and 95th percentile of the seconds, the rescue rate and counts by status."""
+    one = rows.withColumn("run", F.lit(0))
+    at = one.groupBy("run").agg(F.count(F.lit(1)).alias("rows"), F.count(seconds).alias("n"), F.avg(seconds).alias("mean"), F.count_if(rescued).alias("rescued"), *(F.count_if(F.col(status) == s).alias(f"n_{s}") for s in statuses))
+    (ranks, p50), (p95_ranks, p95) = scale.interpolated("p50", 0.5), scale.interpolated("p95", 0.95)
+    found, n = with_quantiles(at, one, "run", seconds, ranks | p95_ranks), F.col("n")
+    return found.select(F.col("rows").alias("n"), "mean", p50(n).alias("p50"), p95(n).alias("p95"), (F.col("rescued") / F.greatest("rows", F.lit(1))).alias("rescue_rate"), *(f"n_{s}" for s in statuses))
+
+
+def flips(items: DataFrame, old: str, new: str, was: str, now: str, order: list[Column], most: int = 8) -> DataFrame:
+    """The first items, for a report, whose decision went from ``was`` to ``now``."""
+    return best_of(items, (F.col(old) == was) & (F.col(new) == now), order, most)
+
+
 def engine_summary(rows: DataFrame, engine: str, ok: Column, seconds: str) -> DataFrame:
     """By engine: rows that worked, their mean seconds, the peak, and the accept rate."""
     return rows.groupBy(engine).agg(

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenqc.functions import text
+from lumenqc.functions import scores, text
+from lumenqc.operators import scale
 
 
 def pending(items: DataFrame, cache: DataFrame, key: str = "key", fingerprint: str = "fp") -> DataFrame:
@@ -20,16 +21,18 @@ def insert_once(new: DataFrame, old: DataFrame, key: str, order: list[Column]) -
     return old.unionByName(fresh)
 
 
-def upsert(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    """The last row of each key."""
-    last = Window.partitionBy(key).orderBy(*order)
-    return rows.withColumn("place", F.row_number().over(last)).where("place = 1").drop("place")
+def upsert(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The row of each key that is last by the columns ``order``; combined before the shuffle, so no key's rows meet in one place."""
+    return rows.groupBy(key).agg(F.max_by(F.struct(*(c for c in rows.columns if c != key)), F.struct(*order)).alias("row")).select(key, "row.*").select(*rows.columns)
 
 
-def best_match(left: DataFrame, right: DataFrame, on: str, ranks: list[Column], key: str) -> DataFrame:
-    """Left join that keeps, of each left row's partners, the first by ``ranks``."""
-    first = Window.partitionBy(key).orderBy(*ranks)
-    return left.join(right, on, "left").withColumn("place", F.row_number().over(first)).where("place = 1").drop("place")
+def best_match(left: DataFrame, right: DataFrame, on: str, ranks: list[Column]) -> DataFrame:
+    """Left join that keeps, of each left row's partners, the first by ``ranks``, none of which is null.
+
+    Of the partners of one value of ``on`` the best is found first, in partial aggregates, so the join adds no rows.
+    """
+    best = right.groupBy(on).agg(F.min_by(F.struct(*(c for c in right.columns if c != on)), F.struct(*ranks)).alias("best")).select(on, "best.*")
+    return left.join(best, on, "left")
 
 
 def winner(attempts: DataFrame, key: str, attempt: str, gate: Column, candidate: Column) -> DataFrame:
@@ -50,17 +53,28 @@ def spent(attempts: DataFrame, key: str, attempt: str, gate: Column, seconds: Co
     return attempts.join(stop, key).where(F.col("stop").isNull() | (F.col(attempt) <= F.col("stop"))).groupBy(key).agg(F.sum(seconds).alias("seconds"), F.count(F.lit(1)).alias("ran"))
 
 
-def rolling_rate(items: DataFrame, group: str, order: list[Column], seconds: str, size: int = 40) -> DataFrame:
+def rolling_rate(items: DataFrame, group: str, order: list[str], seconds: str, size: int = 40) -> DataFrame:
     """The mean seconds of the last ``size`` items with a time over 0, how many remain, and the time that they will take."""
-    timed, ordered = items.where(F.col(seconds) > 0), Window.partitionBy(group).orderBy(*order)
-    whole = Window.partitionBy(group)
-    mean = F.avg(seconds).over(ordered.rowsBetween(-(size - 1), 0))
-    return timed.withColumns({"mean": mean, "left": F.count(F.lit(1)).over(whole) - F.row_number().over(ordered)}).withColumns({"eta": F.col("mean") * F.col("left"), "per_minute": 60.0 / F.col("mean")})
+    placed = scale.numbered(items.where(F.col(seconds) > 0), group, order)
+    timed = scale.last_rows(placed, group, size, lambda last: {"mean": F.avg(seconds).over(last)})
+    return timed.withColumn("left", F.col("of") - F.col("place")).withColumns({"eta": F.col("mean") * F.col("left"), "per_minute": 60.0 / F.col("mean")}).drop("place", "of")
+
+
+def timing(state: DataFrame) -> DataFrame:
+    """Seconds an item, time left and items a minute of a batch: (total, processed, edited, elapsed, mean_edit, ...).
+
+    By the mean of the last edits if there were any, else by all edited items, else by all processed ones; nothing done gives zeros.
+    """
+    done, left = F.col("processed"), F.greatest(F.lit(0), F.col("total") - F.col("processed"))
+    by = lambda n: (F.col(n) > 0) & (F.col("elapsed") > 0)
+    each = F.when(F.col("mean_edit").isNotNull(), F.col("mean_edit")).when(by("edited"), F.col("elapsed") / F.col("edited")).when(by("processed"), F.col("elapsed") / done).otherwise(0.0)
+    timed = state.withColumns({"remaining": left, "per_item": each}).withColumns({"eta": F.col("remaining") * F.col("per_item"), "per_minute": F.when(F.col("per_item") > 0, 60.0 / F.col("per_item")).otherwise(0.0)})
+    return timed.withColumn("eta_text", F.when(done > 0, scores.duration(F.col("eta"))).otherwise("--:--"))
 
 
-def progress(items: DataFrame, group: str, order: list[Column]) -> DataFrame:
-    ordered = Window.partitionBy(group).orderBy(*order)
-    return items.withColumn("percent", 100.0 * F.row_number().over(ordered) / F.count(F.lit(1)).over(Window.partitionBy(group)))
+def progress(items: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """How much of the group is done with each row, in percent."""
+    return scale.numbered(items, group, order).withColumn("percent", 100.0 * F.col("place") / F.col("of")).drop("place", "of")
 
 
 def largest_until(parts: DataFrame, group: str, size: str, key: str, share: float, most: int) -> DataFrame:
@@ -71,12 +85,10 @@ def largest_until(parts: DataFrame, group: str, size: str, key: str, share: floa
     return ranked.where((F.col("rank") <= most) & (F.col("before") < share * F.col("whole")))
 
 
-def every_kth(items: DataFrame, group: str, order: list[Column], take: int) -> DataFrame:
+def every_kth(items: DataFrame, group: str, order: list[str], take: int) -> DataFrame:
     """A systematic sample of each group: every k-th row in order, ``take`` at the most, where k is the group's rows by ``take``."""
-    ordered = Window.partitionBy(group).orderBy(*order)
-    ranked = items.withColumns({"at": F.row_number().over(ordered) - 1, "of": F.count(F.lit(1)).over(Window.partitionBy(group))})
-    step = F.greatest(F.lit(1), F.floor(F.col("of") / take))
-    return ranked.where((F.col("at") % step == 0) & (F.col("at") / step < take)).drop("of")
+    at, step = F.col("place") - 1, F.greatest(F.lit(1), F.floor(F.col("of") / take))
+    return scale.numbered(items, group, order).where((at % step == 0) & (at / step < take)).drop("place", "of")
 
 
 def ids_of(*columns: tuple[DataFrame, str]) -> DataFrame:

@@ -2,9 +2,58 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lumenqc.functions import raster
+
+#: Engines by name: from a picture's luma, an array, to its alpha.
+ENGINES: dict[str, Callable[[Column], Column]] = {}
+
+
+def engine(name: str) -> Callable:
+    """Registers an engine; another of the same name takes its place."""
+
+    def keep(f: Callable[[Column], Column]) -> Callable[[Column], Column]:
+        ENGINES[name] = f
+        return f
+
+    return keep
+
+
+@engine("luma")
+def luma_threshold(luma: Column, bar: float = 200.0) -> Column:
+    """What is darker than a white background is the product."""
+    return F.transform(luma, lambda v: F.when(v < bar, 255.0).otherwise(0.0))
+
+
+@engine("soft")
+def luma_slope(luma: Column, low: float = 120.0, high: float = 220.0) -> Column:
+    """Alpha falls with luma from ``low`` to ``high``."""
+    return F.transform(luma, lambda v: F.greatest(F.lit(0.0), F.least(F.lit(255.0), 255.0 * (high - v) / (high - low))))
+
+
+def extract(luma: Column, name: Column) -> Column:
+    """The alpha that each row's own engine makes; an engine that isn't registered makes none."""
+    out = F.lit(None).cast("array<double>")
+    for key, made in ENGINES.items():
+        out = F.when(name == key, made(luma)).otherwise(out)
+    return out
+
+
+def ensemble(a: Column, b: Column, a_sure: Column, b_sure: Column, agree: float = 0.72) -> dict[str, Column]:
+    """Two masks as one: where they agree the larger alpha, of pixels solid in both the mean; else the surer mask, trusted less."""
+    same = raster.iou(a, b, 128.0)
+    merged = F.zip_with(a, b, lambda x, y: F.when((x >= 128) & (y >= 128), F.floor(0.5 * x + 0.5 * y).cast("double")).otherwise(F.greatest(x, y)))
+    first, one = b.isNull() | (a_sure >= b_sure), b.isNull()
+    return {
+        "iou": F.when(~one, same), "mask": F.when(one, a).when(same >= agree, merged).when(first, a).otherwise(b),
+        "confidence": F.when(one, a_sure).when(same >= agree, 0.5 * F.greatest(a_sure, b_sure) + 0.5 * F.least(a_sure, b_sure)).otherwise(0.9 * F.greatest(a_sure, b_sure)),
+        "how": F.when(one, "alone").when(same >= agree, "ensemble_max").otherwise("selected_by_confidence"),
+    }
+
 
 def quality(solid: Column, uncertain: Column, interior: Column, border: Column, ghost: Column, pieces: Column) -> Column:
     """1 less a penalty for each sign of a poor alpha mask."""
@@ -18,9 +67,9 @@ def gate(solid: Column, uncertain: Column, interior: Column, border: Column, gho
     return F.when(invalid, "INVALID").when(unsure, "UNCERTAIN").otherwise("GOOD")
 
 
-def needs_rescue(state: Column) -> Column:
-    """A failed extraction counts as an invalid one."""
-    return state.isin("INVALID", "UNCERTAIN", "FAILED")
+def needs_rescue(state: Column, mode: str = "adaptive") -> Column:
+    """A failed extraction counts as an invalid one; in mode ``fast`` an uncertain one is let be."""
+    return state.isin("INVALID", "FAILED", *["UNCERTAIN"] * (mode != "fast"))
 
 
 def choose(state: Column, p: Column, r: Column, p_unsure: Column, r_unsure: Column, p_inside: Column, r_inside: Column) -> tuple[Column, Column]:

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from lumenqc import oracles
 from lumenqc.functions import neighbourhood, raster, scores, tags, text
-from lumenqc.operators import analytics, batch
-from lumenqc.plans import decision, extraction, gates, profiles, schemas
+from lumenqc.operators import analytics, batch, cases
+from lumenqc.plans import decision, extraction, gates, profiles, schemas, spatial
 from lumenqc.streaming import resume
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -158,7 +158,7 @@ def config_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 count(*) OVER (PARTITION BY event_type) - row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS remaining FROM events WHERE value > 0)
 SELECT event_id, round(mean, 8) AS mean, remaining, round(mean * remaining, 8) AS eta, round(60.0 / mean, 8) AS per_minute FROM t""")
 def rolling40_eta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rates = batch.rolling_rate(read(spark, sf_dir, "events"), "event_type", [F.col("ts"), F.col("event_id")], "value")
+    rates = batch.rolling_rate(read(spark, sf_dir, "events"), "event_type", ["ts", "event_id"], "value")
     return rates.select("event_id", r("mean", 8).alias("mean"), F.col("left").alias("remaining"), r("eta", 8).alias("eta"), r("per_minute", 8).alias("per_minute"))
 
 
@@ -250,14 +250,17 @@ def resume_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT p_partkey, l_orderkey, l_linenumber, l_suppkey FROM j WHERE k = 1""")
 def raw_pairing_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
     left, right = read(spark, sf_dir, "part").select("p_partkey", F.col("p_partkey").alias("l_partkey")), read(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag", "l_extendedprice")
-    ranks = [F.col("l_returnflag").asc_nulls_last(), F.desc_nulls_last("l_extendedprice"), F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_suppkey")]
-    return batch.best_match(left, right, "l_partkey", ranks, "p_partkey").select("p_partkey", "l_orderkey", "l_linenumber", "l_suppkey")
+    ranks = [F.col("l_returnflag"), -F.col("l_extendedprice"), F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_suppkey")]
+    return batch.best_match(left, right, "l_partkey", ranks).select("p_partkey", "l_orderkey", "l_linenumber", "l_suppkey")
 
 
 @query("""SELECT c_custkey, min(n_nationkey) AS n_nationkey, count(n_nationkey) AS n_matches FROM customer LEFT JOIN nation ON c_name LIKE '%' || substr(n_name, 8) || '%' GROUP BY 1""")
 def like_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A theta join: the nations whose number is part of a customer's name.  A fixed list of nations is broadcast; customers stay where they are."""
-    nations = F.broadcast(read(spark, sf_dir, "nation").select("n_nationkey", F.expr("substr(n_name, 8)").alias("needle")))
+    nations = read(spark, sf_dir, "nation").select("n_nationkey", F.expr("substr(n_name, 8)").alias("needle"))
+    if nations.limit(10_001).count() > 10_000:
+        raise ValueError("a theta join with so many patterns would compare every customer with each of them")
+    nations = F.broadcast(nations)
     found = read(spark, sf_dir, "customer").join(nations, F.col("c_name").contains(F.col("needle")), "left")
     return found.groupBy("c_custkey").agg(F.min("n_nationkey").alias("n_nationkey"), F.count("n_nationkey").alias("n_matches"))
 
@@ -291,7 +294,7 @@ def sum_to_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT conv_id, turn, round(100.0 * row_number() OVER (PARTITION BY conv_id ORDER BY turn) / count(*) OVER (PARTITION BY conv_id), 4)::DOUBLE AS percent FROM conversations""")
 def progress_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return batch.progress(read(spark, sf_dir, "conversations"), "conv_id", [F.col("turn")]).select("conv_id", "turn", r("percent").alias("percent"))
+    return batch.progress(read(spark, sf_dir, "conversations"), "conv_id", ["turn"]).select("conv_id", "turn", r("percent").alias("percent"))
 
 
 def grey(x: str = "embedding") -> Column:
@@ -336,13 +339,13 @@ def gated(df: DataFrame) -> DataFrame:
     return scored.withColumn("gate", extraction.gate(c("solid"), c("unsure"), c("interior"), zero, c("ghost"), c("score")))
 
 
-@query(f"WITH {MEASURES_SQL}, q AS (SELECT *, {QUALITY_SQL} AS score FROM m) SELECT vec_id, round(score, 6) AS score, {GATE_SQL} AS gate, ({GATE_SQL}) <> 'GOOD' AS rescue FROM q")
+@query(f"WITH {MEASURES_SQL}, q AS (SELECT *, {QUALITY_SQL} AS score FROM m) SELECT vec_id, round(score, 6) AS score, {GATE_SQL} AS gate, ({GATE_SQL}) <> 'GOOD' AS rescue, ({GATE_SQL}) = 'INVALID' AS rescue_fast FROM q")
 def extraction_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gated(measured(spark, sf_dir)).select("vec_id", r("score", 6).alias("score"), "gate", extraction.needs_rescue(F.col("gate")).alias("rescue"))
+    return gated(measured(spark, sf_dir)).select("vec_id", r("score", 6).alias("score"), "gate", extraction.needs_rescue(F.col("gate")).alias("rescue"), extraction.needs_rescue(F.col("gate"), "fast").alias("rescue_fast"))
 
 
 @query(f"""WITH {MEASURES_SQL}, q AS (SELECT *, {QUALITY_SQL} AS score FROM m), g AS (SELECT *, {GATE_SQL} AS gate FROM q),
-j AS (SELECT coalesce(p.vec_id, r.vec_id - 1) AS id, p.gate, p.solid AS p, r.solid AS r, p.unsure AS pu, r.unsure AS ru, p.interior AS pi, r.interior AS ri FROM (SELECT * FROM g WHERE vec_id % 2 = 0) p FULL JOIN (SELECT * FROM g WHERE vec_id % 2 = 1 AND vec_id % 7 <> 0) r ON p.vec_id = r.vec_id - 1),
+j AS (SELECT coalesce(p.vec_id, r.vec_id - 1) AS id, p.gate, p.solid AS p, r.solid AS r, p.unsure AS pu, r.unsure AS ru, p.interior AS pi, r.interior AS ri FROM (SELECT * FROM g WHERE vec_id % 2 = 0) p FULL JOIN (SELECT * FROM g WHERE vec_id % 2 = 1 AND solid >= 0.24) r ON p.vec_id = r.vec_id - 1),
 w AS (SELECT id, CASE WHEN p IS NULL AND r IS NULL THEN 'no_candidate' WHEN p IS NULL THEN 'primary_missing' WHEN r IS NULL THEN 'rescue_missing' WHEN gate <> 'INVALID' AND r < 0.72 * p AND p >= 0.02 THEN 'rescue_lost_product'
 WHEN (gate = 'INVALID' OR p < 0.02) AND r > greatest(0.03, 1.2 * p) THEN 'rescue_recovered_product' WHEN abs(r - p) / greatest(p, r, 0.0001) < 0.18 AND ru + 0.025 < pu AND ri + 0.02 >= pi THEN 'rescue_cleaner_edges'
 WHEN abs(r - p) / greatest(p, r, 0.0001) < 0.18 THEN 'primary_comparable_keep' WHEN r > 1.15 * p AND ri >= least(0.75, pi) THEN 'rescue_more_complete' ELSE 'primary_default' END AS why FROM j)
@@ -350,7 +353,7 @@ SELECT id, CASE WHEN why IN ('primary_missing', 'rescue_recovered_product', 'res
 def candidate_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = gated(measured(spark, sf_dir)).select("vec_id", "gate", "solid", "unsure", "interior")
     p = g.where("vec_id % 2 = 0").withColumnsRenamed({"vec_id": "id"})
-    other = g.where("vec_id % 2 = 1 and vec_id % 7 <> 0").select((F.col("vec_id") - 1).alias("id"), F.col("solid").alias("r"), F.col("unsure").alias("ru"), F.col("interior").alias("ri"))
+    other = g.where("vec_id % 2 = 1 and solid >= 0.24").select((F.col("vec_id") - 1).alias("id"), F.col("solid").alias("r"), F.col("unsure").alias("ru"), F.col("interior").alias("ri"))
     side, why = extraction.choose(F.col("gate"), F.col("solid"), F.col("r"), F.col("unsure"), F.col("ru"), F.col("interior"), F.col("ri"))
     return p.join(other, "id", "full").select("id", side.alias("chosen"), why.alias("why"))
 
@@ -400,7 +403,7 @@ def lab_delta_e(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH k AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS place, greatest(1, floor(count(*) OVER (PARTITION BY p_brand) / 7.0)) AS step FROM part) SELECT p_partkey, p_brand FROM k WHERE place % step = 0 AND place / step < 7""")
 def systematic_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return batch.every_kth(read(spark, sf_dir, "part"), "p_brand", [F.col("p_partkey")], 7).select("p_partkey", "p_brand")
+    return batch.every_kth(read(spark, sf_dir, "part"), "p_brand", ["p_partkey"], 7).select("p_partkey", "p_brand")
 
 
 @query("""WITH s AS (SELECT l_suppkey, l_partkey, sum(l_quantity)::BIGINT AS q FROM lineitem GROUP BY ALL), k AS (SELECT *, row_number() OVER w AS rank, coalesce(sum(q) OVER (PARTITION BY l_suppkey ORDER BY q DESC, l_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
@@ -421,7 +424,7 @@ def manifest_insert_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1""")
 def qc_upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return batch.upsert(read(spark, sf_dir, "events"), "user_id", [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_type", "event_id", "value")
+    return batch.upsert(read(spark, sf_dir, "events"), "user_id", ["ts", "event_id"]).select("user_id", "event_type", "event_id", "value")
 
 
 @query("""WITH s AS (SELECT user_id, floor(sum(value))::BIGINT AS s FROM events GROUP BY 1) SELECT user_id, CASE WHEN s >= 3600 THEN format('{}:{:02d}:{:02d}', s // 3600, s % 3600 // 60, s % 60) ELSE format('{}:{:02d}', s // 60, s % 60) END AS spent FROM s""")
@@ -430,13 +433,15 @@ def duration_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(CASE WHEN l_quantity / 50 <= 0.2 THEN 0 WHEN l_quantity / 50 >= 0.78 THEN 1 ELSE pow((l_quantity / 50 - 0.2) / 0.58, 2) * (3 - 2 * (l_quantity / 50 - 0.2) / 0.58) END, 6)::DOUBLE AS smooth,
-round_even(l_quantity * 5 * (1 - l_discount) + 255 * l_discount, 0) AS white, round(0.299 * l_quantity + 0.587 * l_discount * 100 + 0.114 * l_tax * 100, 4) AS luma,
+CASE WHEN floor(l_discount * 12) / 1.2 <= 0 THEN 255.0 ELSE round_even(l_quantity * 5 * (floor(l_discount * 12) / 1.2) + 255 * (1 - floor(l_discount * 12) / 1.2), 0) END AS white,
+round(CASE WHEN l_discount * 10 > 0.05 AND l_discount * 10 < 0.95 THEN greatest(0.0, least(255.0, (l_quantity * 5 - (1 - l_discount * 10) * 255.0) / (l_discount * 10))) ELSE l_quantity * 5 END, 4) AS unmixed, round(0.299 * l_quantity + 0.587 * l_discount * 100 + 0.114 * l_tax * 100, 4) AS luma, round((greatest(l_quantity, l_discount * 100, l_tax * 100) - least(l_quantity, l_discount * 100, l_tax * 100)) / greatest(l_quantity, l_discount * 100, l_tax * 100), 6) AS saturation,
 round(greatest(l_quantity, l_discount * 100, l_tax * 100) - least(l_quantity, l_discount * 100, l_tax * 100), 4) AS chroma, round(l_extendedprice / greatest(l_tax * 100, 1), 6) AS ratio FROM lineitem""")
 def pixel_math(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, d, t = F.col("l_quantity"), F.col("l_discount"), F.col("l_tax")
-    white = F.bround(q * 5 * (1 - d) + 255 * d, 0)
+    white = scores.over_white(q * 5, F.floor(d * 12) / 1.2)
+    own = scores.unmixed(q * 5, F.lit(255.0), d * 10)
     return read(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", r(scores.smoothstep(q / 50), 6).alias("smooth"), white.alias("white"),
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", r(scores.smoothstep(q / 50), 6).alias("smooth"), white.alias("white"), r(own).alias("unmixed"), r(scores.saturation(q, d * 100, t * 100), 6).alias("saturation"),
         r(scores.luma(q, d * 100, t * 100)).alias("luma"), r(scores.chroma(q, d * 100, t * 100)).alias("chroma"), r(scores.ratio(F.col("l_extendedprice"), t * 100), 6).alias("ratio"),
     )
 
@@ -684,3 +689,205 @@ def interpolated_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = read(spark, sf_dir, "part")
     fitted = scores.fit_side(F.col("p_retailprice"), F.col("p_size") * 30.0, 600)
     return parts.select("p_partkey", r(scores.line(F.col("p_size"), 10, 0.2, 40, 0.9), 6).alias("strength"), fitted["width"].alias("width"))
+
+
+SAID = ["mask_gate: empty_mask", "studio_gate:final_washed_out", "Cannot identify image file 'x'", "CUDA out of memory", "onnxruntime: bad node", "DmlFused 8007000E", "compose_failed at 3", "Unsupported pixel format", "mask_gate:", "low_object_contrast", "a plain remark"]
+STAGES = ["decode", "gate", ""]
+ERRORS = [None, "failed to decode: unsupported", "no such file x", "Permission denied", "OOM", "compose_failed", "mask_gate: empty_mask", "anything"]
+_low = "lower(bare)"
+_exhausted = "(" + " OR ".join(f"contains({{}}, '{x}')" for x in text.EXHAUSTED) + ")"
+
+
+def _picked_sql(values: list[str | None], at: str) -> str:
+    return f"[{', '.join('NULL' if v is None else chr(39) + v.replace(chr(39), chr(39) * 2) + chr(39) for v in values)}][{at}]"
+
+
+def _reason_sql(raw: str) -> str:
+    bare = f"trim(replace(replace({raw}, 'mask_gate:', ''), 'studio_gate:', ''))"
+    low, table = f"lower({bare})", " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in text.REASON_NAMES.items())
+    return f"""CASE WHEN contains({low}, 'failed to decode') OR contains({low}, 'cannot identify image') THEN 'decode_failed' WHEN contains({low}, 'unsupported') AND contains({low}, 'format') THEN 'unsupported_format'
+    WHEN {_exhausted.replace("{}", low)} THEN 'inference_oom' WHEN contains({low}, 'compose_failed') THEN 'compose_failed' ELSE coalesce(CASE {bare} {table} END, CASE WHEN contains({low}, 'onnxruntime') OR contains({low}, 'dmlfused') THEN 'inference_runtime_error'
+    WHEN {bare} = '' THEN 'segmentation_unreliable' ELSE substr({bare}, 1, 120) END) END"""
+
+
+def _picked(values: list[str | None], at: Column) -> Column:
+    return F.get(F.array(*map(F.lit, values)), at.cast("int"))
+
+
+@query(f"""WITH e AS (SELECT {_picked_sql([*SAID, *text.REASON_NAMES], f"event_id % {len(SAID) + len(text.REASON_NAMES)} + 1")} AS raw FROM events) SELECT {_reason_sql("raw")} AS reason, count(*) AS n FROM e GROUP BY 1""")
+def reason_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reasons by their one name: texts, tags and plain remarks."""
+    said = [*SAID, *text.REASON_NAMES]
+    named = read(spark, sf_dir, "events").select(text.qc_reason(_picked(said, F.col("event_id") % len(said))).alias("reason"))
+    return named.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH e AS (SELECT event_type, {_picked_sql(ERRORS, f"event_id % {len(ERRORS)} + 1")} AS error, {_picked_sql(STAGES, f"event_id // {len(ERRORS)} % {len(STAGES)} + 1")} AS stage FROM events),
+f AS (SELECT event_type, CASE WHEN error IS NULL THEN 'no_candidate' WHEN stage = 'decode' OR contains(lower(error), 'failed to decode') THEN CASE WHEN contains(lower(error), 'unsupported') THEN 'unsupported_format' ELSE 'decode_failed' END
+WHEN contains(lower(error), 'source not found') OR contains(lower(error), 'no such file') THEN 'source_unreadable' WHEN {_exhausted.replace("{}", "lower(error)")} THEN 'inference_oom' WHEN contains(lower(error), 'compose_failed') THEN 'compose_failed'
+WHEN contains(lower(error), 'permission') THEN 'final_save_failed' ELSE {_reason_sql("error")} END AS reason, coalesce({_exhausted.replace("{}", "lower(error)")}, false) AS exhausted FROM e) SELECT event_type, reason, count(*) AS n, count(*) FILTER (WHERE exhausted) AS n_exhausted FROM f GROUP BY ALL""")
+def failure_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why items failed, by error text and stage."""
+    at = F.col("event_id")
+    failed = read(spark, sf_dir, "events").select("event_type", _picked(ERRORS, at % len(ERRORS)).alias("error"), _picked(STAGES, F.floor(at / len(ERRORS)) % len(STAGES)).alias("stage"))
+    named = failed.select("event_type", text.failure_reason(F.col("error"), F.col("stage")).alias("reason"), text.is_exhaustion(F.col("error")).alias("exhausted"))
+    return named.groupBy("event_type", "reason").agg(F.count(F.lit(1)).alias("n"), F.count_if("exhausted").alias("n_exhausted"))
+
+
+CASE_SQL = "CASE p_partkey % 4 WHEN 0 THEN p_partkey::VARCHAR WHEN 1 THEN 'IMG_' || p_partkey WHEN 2 THEN 'img_' || p_partkey ELSE 'day_img_' || p_partkey END"
+FILE_SQL = "CASE o_orderkey % 3 WHEN 0 THEN '/raw/2024_IMG_' || o_orderkey || '.jpg' WHEN 1 THEN '/raw/day_img_' || o_orderkey || '.png' ELSE '/raw/IMG_' || o_orderkey || '.heic' END"
+
+
+@query(f"""WITH c AS (SELECT p_partkey, {CASE_SQL} AS stem FROM part), f AS (SELECT path, regexp_replace(list_last(string_split(path, '/')), '\\.[^.]*$', '') AS name FROM (SELECT {FILE_SQL} AS path FROM orders)),
+i AS (SELECT key, min(path) AS file FROM (SELECT name AS key, path FROM f UNION ALL SELECT 'IMG_' || list_last(string_split(upper(name), '_IMG_')), path FROM f WHERE contains(upper(name), '_IMG_') UNION ALL SELECT list_last(string_split(upper(name), '_IMG_')), path FROM f WHERE contains(upper(name), '_IMG_')) GROUP BY 1),
+k AS (SELECT p_partkey, stem, unnest([stem, upper(stem), upper(stem), upper(stem), replace(stem, 'IMG_', ''), upper(replace(stem, 'IMG_', '')), 'IMG_' || stem, upper('IMG_' || stem)]) AS key, unnest(range(8)) AS rank FROM c)
+SELECT p_partkey, stem, arg_min(file, rank) AS file FROM k JOIN i USING (key) GROUP BY ALL""")
+def case_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases and the files that they name, by the first of several keys."""
+    key, order = F.col("p_partkey").cast("string"), F.col("o_orderkey").cast("string")
+    stem = F.when(F.col("p_partkey") % 4 == 0, key).when(F.col("p_partkey") % 4 == 1, F.concat(F.lit("IMG_"), key)).when(F.col("p_partkey") % 4 == 2, F.concat(F.lit("img_"), key)).otherwise(F.concat(F.lit("day_img_"), key))
+    path = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("/raw/2024_IMG_"), order, F.lit(".jpg"))).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("/raw/day_img_"), order, F.lit(".png"))).otherwise(F.concat(F.lit("/raw/IMG_"), order, F.lit(".heic")))
+    return cases.resolved(read(spark, sf_dir, "part").select("p_partkey", stem.alias("stem")), read(spark, sf_dir, "orders").select(path.alias("path"))).drop("key")
+
+
+@query(f"""SELECT count(*) AS n, count(*) FILTER (WHERE ends_with(path, '.heic')) AS n_heic, count(DISTINCT substr(path, 6)) AS n_relative, min(sha256(path)) AS least_digest FROM (SELECT {FILE_SQL} AS path FROM orders)""")
+def listing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A listing's files: how many are HEIC, their paths below the folder, a digest of content."""
+    order = F.col("o_orderkey").cast("string")
+    path = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("/raw/2024_IMG_"), order, F.lit(".jpg"))).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("/raw/day_img_"), order, F.lit(".png"))).otherwise(F.concat(F.lit("/raw/IMG_"), order, F.lit(".heic")))
+    listed = read(spark, sf_dir, "orders").select(path.alias("path"))
+    return listed.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.lower("path").rlike(r"[.]hei[cf]$")).alias("n_heic"), F.count_distinct(text.relative_to(F.col("path"), F.lit("/raw/"))).alias("n_relative"), F.min(F.sha2("path", 256)).alias("least_digest"))
+
+
+@query("""WITH t AS (SELECT user_id, count(*) AS total, count(*) FILTER (WHERE event_type <> 'view') AS processed, count(*) FILTER (WHERE event_type IN ('click', 'error')) AS edited, CASE WHEN user_id % 3 > 0 THEN sum(value) ELSE 0 END AS elapsed,
+avg(value) FILTER (WHERE event_type = 'error' AND value > 20) AS mean_edit FROM events GROUP BY 1), e AS (SELECT *, CASE WHEN mean_edit IS NOT NULL THEN mean_edit WHEN edited > 0 AND elapsed > 0 THEN elapsed / edited WHEN processed > 0 AND elapsed > 0 THEN elapsed / processed ELSE 0 END AS per_item, total - processed AS remaining FROM t)
+SELECT user_id, remaining, round(per_item, 4)::DOUBLE AS per_item, round(remaining * per_item, 3)::DOUBLE AS eta, round(CASE WHEN per_item > 0 THEN 60.0 / per_item ELSE 0 END, 4)::DOUBLE AS per_minute, CASE WHEN processed > 0 THEN 'known' ELSE '--:--' END AS eta_kind FROM e""")
+def batch_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Time left by user, as if each were a batch: by edits, edited or processed items, whichever there are."""
+    kind, v = F.col("event_type"), F.col("value")
+    state = read(spark, sf_dir, "events").groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(kind != "view").alias("processed"), F.count_if(kind.isin("click", "error")).alias("edited"), F.sum(F.when(F.col("user_id") % 3 > 0, v).otherwise(0.0)).alias("elapsed"),
+        F.avg(F.when((kind == "error") & (v > 20), v)).alias("mean_edit"),
+    )
+    timed = batch.timing(state)
+    known = F.when(F.col("eta_text").rlike(r"^[0-9:]+$"), "known").otherwise(F.col("eta_text"))
+    return timed.select("user_id", "remaining", r("per_item").alias("per_item"), r("eta", 3).alias("eta"), r("per_minute").alias("per_minute"), known.alias("eta_kind"))
+
+
+@query("""WITH a AS (SELECT conv_id, turn, length(text) % 5 <> 0 AS gate, length(text) % 60 / 100.0 AS loss, 60.0 + length(text) % 30 AS score FROM conversations),
+s AS (SELECT *, max((loss >= 0.48)::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) = 1 AS seen FROM a),
+v AS (SELECT *, gate AND ((loss >= 0.48 AND score < 72) OR (seen AND loss >= 0.42 AND score < 76)) AS vetoed FROM s) SELECT conv_id, count(*) FILTER (WHERE vetoed) AS n_vetoed, min(turn) FILTER (WHERE gate AND NOT vetoed) AS winner FROM v GROUP BY 1""")
+def veto_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts of a ladder that passed their gate but are refused for the structure that they or an earlier one lost."""
+    n = F.length("text")
+    tried = read(spark, sf_dir, "conversations").select("conv_id", "turn", (n % 5 != 0).alias("gate"), (n % 60 / 100.0).alias("loss"), (60.0 + n % 30).alias("score"))
+    seen = batch.so_far(tried, "conv_id", "turn", F.col("loss") >= 0.48).withColumn("vetoed", decision.vetoed(F.col("gate"), F.col("loss"), F.col("score"), F.col("seen")))
+    return seen.groupBy("conv_id").agg(F.count_if("vetoed").alias("n_vetoed"), F.min(F.when(F.col("gate") & ~F.col("vetoed"), F.col("turn"))).alias("winner"))
+
+
+_OCC = "list_transform(range(16), lambda i: len(list_filter(range(4), lambda k: z[((i // 4) * 2 + k // 2) * 8 + (i % 4) * 2 + k % 2 + 1][{side}] >= {bar})) / 4.0)"
+LOSS_SQL = f"""{NEIGHBOURS_SQL}, o AS (SELECT vec_id, {_OCC.format(side=1, bar=140)} AS raw, {_OCC.format(side=2, bar=165)} AS fin FROM n), c AS (SELECT vec_id, i // 4 AS y, i % 4 AS x, r, f FROM (SELECT vec_id, unnest(range(16)) AS i, unnest(raw) AS r, unnest(fin) AS f FROM o)),
+lost AS (SELECT vec_id, y, x FROM c WHERE (r >= 0.34 AND f <= 0.10) OR (r >= 0.28 AND f <= 0.08 AND r >= 0.03)),
+reach AS (SELECT vec_id, y, x, y * 100 + x AS root FROM lost UNION SELECT l.vec_id, l.y, l.x, a.root FROM reach a JOIN lost l ON l.vec_id = a.vec_id AND abs(l.y - a.y) <= 1 AND abs(l.x - a.x) <= 1), root AS (SELECT vec_id, y, x, min(root) AS root FROM reach GROUP BY ALL),
+big AS (SELECT vec_id, max(n) AS largest FROM (SELECT vec_id, root, count(*) AS n FROM root GROUP BY ALL) GROUP BY 1), n_lost AS (SELECT vec_id, count(*) AS n_lost FROM lost GROUP BY 1),
+w AS (SELECT vec_id, count(*) FILTER (WHERE r >= 0.28) AS cells, avg(greatest(0.0, r - f)) FILTER (WHERE r >= 0.28) AS mean_short, quantile_cont(greatest(0.0, r - f), 0.75) FILTER (WHERE r >= 0.28) AS p75, sum(least(r, f)) / greatest(sum(r), 0.25) AS survival FROM c GROUP BY 1),
+s AS (SELECT vec_id, coalesce(n_lost, 0) AS n_lost, cells, coalesce(n_lost, 0) / greatest(cells, 1)::DOUBLE AS share, coalesce(largest, 0) / greatest(cells, 1)::DOUBLE AS largest, least(100.0, 100.0 * (0.45 * coalesce(mean_short, 0) + 0.55 * coalesce(p75, 0))) AS regional, survival,
+CASE vec_id % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END AS conf FROM w LEFT JOIN big USING (vec_id) LEFT JOIN n_lost USING (vec_id)),
+t AS (SELECT *, greatest(0.0, least(100.0, 100.0 * survival * (1 - 0.55 * largest))) AS survival_score, (largest >= 0.18 AND n_lost >= 4 AND 1 - survival >= 0.12 AND survival <= 0.88) OR (largest >= 0.28 AND n_lost >= 6 AND survival <= 0.92) OR (share >= 0.30 AND largest >= 0.15 AND 1 - survival >= 0.18)
+OR (conf = 'HIGH' AND survival <= 0.74 AND 1 - survival >= 0.20 AND 16 >= 400) AS candidate FROM s)"""
+
+
+def losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grids of each raster and its successor: what is lost between them."""
+    share = lambda x, bar: raster.cells(F.transform(x, lambda v: F.when(v >= bar, 1.0).otherwise(0.0)), 8, 2)
+    grids = neighbours(spark, sf_dir).select("vec_id", share(F.col("x"), 140).alias("raw"), share(F.col("y"), 165).alias("fin"))
+    cells = grids.withColumn("lost", spatial.lost_cells(F.col("raw"), F.col("fin"), F.col("raw")))
+    told = cells.select("vec_id", "raw", "fin", *(v.alias(k) for k, v in spatial.regional(F.col("raw"), F.col("fin"), F.col("lost"), 4).items()))
+    kept = raster.total(F.zip_with("raw", "fin", lambda a, b: F.least(a, b))) / F.greatest(raster.total(F.col("raw")), F.lit(0.25))
+    told = told.withColumns({"survival": kept, "conf": F.get(F.array(*map(F.lit, ("HIGH", "MEDIUM", "LOW"))), (F.col("vec_id") % 3).cast("int"))})
+    c = F.col
+    return told.withColumns({
+        "foreground_survival_score": spatial.survival_score(c("survival"), c("largest_missing_region_ratio")),
+        "candidate": spatial.is_candidate(c("survival"), 1 - c("survival"), c("largest_missing_region_ratio"), c("lost_cell_frac"), c("n_lost_cells"), F.lit(16), c("conf")),
+    })
+
+
+@query(f"""WITH RECURSIVE {LOSS_SQL} SELECT vec_id, n_lost::BIGINT AS n_lost, cells::BIGINT AS cells, round(share, 6) AS share, round(largest, 6) AS largest, round(regional, 4) AS regional, round(survival_score, 4) AS survival_score, candidate, candidate AND conf = 'HIGH' AS held FROM t""")
+def regional_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lost cells, the largest lost region and the loss by region of each raster against its successor."""
+    c = F.col
+    return losses(spark, sf_dir).select(
+        "vec_id", c("n_lost_cells").cast("long").alias("n_lost"), c("n_raw_cells").cast("long").alias("cells"), r("lost_cell_frac", 6).alias("share"), r("largest_missing_region_ratio", 6).alias("largest"), r("regional_structure_loss_score").alias("regional"),
+        r("foreground_survival_score").alias("survival_score"), "candidate", (c("candidate") & (c("conf") == "HIGH")).alias("held"),
+    )
+
+
+@query(f"""WITH RECURSIVE {LOSS_SQL}, v AS (SELECT *, 1000 + vec_id % 7 * 100 AS seen, vec_id % 5 * 150 AS missing, 1000 - vec_id % 11 * 60 AS same, vec_id % 4 * n_lost // 3 AS confirmed FROM t),
+x AS (SELECT *, candidate AND conf <> 'HIGH' AS asked, same / seen::DOUBLE >= 0.82 AND missing / seen::DOUBLE < 0.08 AS ground FROM v),
+y AS (SELECT *, asked AND NOT ground AND ((missing / seen::DOUBLE >= 0.12 AND missing >= 400) OR (confirmed / greatest(n_lost, 1)::DOUBLE >= 0.45 AND missing >= 200)) AS yes FROM x)
+SELECT vec_id, CASE WHEN yes OR (candidate AND conf = 'HIGH') THEN 1.0 ELSE 0.0 END::DOUBLE AS held, CASE WHEN candidate AND (yes OR NOT asked) THEN 1.0 ELSE 0.0 END::DOUBLE AS candidate, CASE WHEN yes THEN 1.0 WHEN asked THEN 0.0 END::DOUBLE AS verified,
+round(CASE WHEN asked AND NOT yes AND (conf = 'LOW' OR ground) THEN least(largest, 0.08) ELSE largest END, 6) AS largest, round(CASE WHEN asked AND NOT yes AND (conf = 'LOW' OR ground) THEN greatest(survival_score, 86.0) ELSE survival_score END, 4) AS survival_score,
+CASE WHEN yes THEN 'large_contiguous_foreground_loss' ELSE '' END AS bads, CASE WHEN asked AND NOT yes THEN 'spatial_product_loss_warn' ELSE '' END AS warns FROM y""")
+def loss_verifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suspected losses after a second look, whose counts are stood in for by ids."""
+    i, none = F.col("vec_id"), F.lit(None).cast("array<string>")
+    found = losses(spark, sf_dir).withColumns({
+        "spatial_evidence_confidence": F.col("conf"), "spatial_loss_candidate": F.when(F.col("candidate"), 1.0).otherwise(0.0), spatial.LARGE: F.when(F.col("candidate") & (F.col("conf") == "HIGH"), 1.0).otherwise(0.0), "bads": none, "warns": none, "triggered": none,
+    })
+    made = spatial.verified(F.col, 1000 + i % 7 * 100, i % 5 * 150, 1000 - i % 11 * 60, F.floor(i % 4 * F.col("n_lost_cells") / 3), F.col("n_lost_cells"))
+    told = found.select("vec_id", *(v.alias(k) for k, v in made.items()))
+    return told.select(
+        "vec_id", F.col(spatial.LARGE).alias("held"), F.col("spatial_loss_candidate").alias("candidate"), F.col("spatial_verified").alias("verified"), r("largest_missing_region_ratio", 6).alias("largest"), r("foreground_survival_score").alias("survival_score"),
+        text.joined(F.col("bads")).alias("bads"), text.joined(F.col("warns")).alias("warns"),
+    )
+
+
+@query(f"""WITH g AS (SELECT label, {GREY_SQL} AS c FROM embeddings), l AS (SELECT label, c[4] AS alpha, {_lab_sql(1)} AS lab FROM g) SELECT label, count(*) FILTER (WHERE alpha >= 80) AS n, round(avg(lab[1]) FILTER (WHERE alpha >= 80), 3) AS lightness,
+round(avg(lab[2]) FILTER (WHERE alpha >= 80), 3) AS a, round(avg(lab[3]) FILTER (WHERE alpha >= 80), 3) AS b FROM l GROUP BY 1""")
+def color_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean colour of each label's product pixels: a vector's first values as red, green, blue and alpha."""
+    pixels = read(spark, sf_dir, "embeddings").select("label", grey().alias("c"))
+    red, green, blue, alpha = (F.get("c", F.lit(i)) for i in range(4))
+    found = profiles.color_signature(pixels.select("label", red.alias("r"), green.alias("g"), blue.alias("b"), alpha.alias("alpha")), "label")
+    return found.select("label", "n", *(r(c, 3).alias(c) for c in ("lightness", "a", "b")))
+
+
+@query(f"""WITH g AS (SELECT vec_id, {GREY_SQL} AS x FROM embeddings) SELECT vec_id, round(len(list_filter(range(4), lambda i: x[(i // 2) * 8 + i % 2 + 1] >= 180)) / 4.0, 4)::DOUBLE AS bg_purity, round(len(list_filter(x, lambda v: v >= 40)) / 64.0, 4)::DOUBLE AS fg_share FROM g""")
+def compose_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How white the corner is and how much of the frame the product takes."""
+    return read(spark, sf_dir, "embeddings").select("vec_id", grey().alias("x")).select("vec_id", r(raster.corner_share(F.col("x"), 8, 2, 180.0)).alias("bg_purity"), r(raster.share(F.col("x"), lambda v: v >= 40)).alias("fg_share"))
+
+
+@query(f"""WITH g AS (SELECT vec_id, vec_id % 3 AS e, {GREY_SQL} AS x FROM embeddings), a AS (SELECT vec_id, e, CASE e WHEN 0 THEN list_transform(x, lambda v: CASE WHEN v < 200 THEN 255.0 ELSE 0.0 END) WHEN 1 THEN list_transform(x, lambda v: greatest(0.0, least(255.0, 255.0 * (220 - v) / 100))) END AS alpha FROM g)
+SELECT vec_id, CASE e WHEN 0 THEN 'luma' WHEN 1 THEN 'soft' ELSE 'absent' END AS engine, round(list_sum(alpha) / 64.0, 4)::DOUBLE AS mean_alpha FROM a""")
+def engine_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each raster by the engine that its row names."""
+    name = F.get(F.array(*map(F.lit, ("luma", "soft", "absent"))), (F.col("vec_id") % 3).cast("int"))
+    made = read(spark, sf_dir, "embeddings").select("vec_id", name.alias("engine"), grey().alias("x"))
+    return made.select("vec_id", "engine", extraction.extract(F.col("x"), F.col("engine")).alias("alpha")).select("vec_id", "engine", r(raster.total(F.col("alpha")) / 64).alias("mean_alpha"))
+
+
+@query(f"""WITH {NEIGHBOURS_SQL}, s AS (SELECT vec_id, CASE WHEN vec_id % 9 = 0 THEN NULL ELSE z END AS z, z AS own, vec_id % 10 / 10.0 AS p, vec_id % 7 / 7.0 AS q, len(list_filter(z, lambda p: p[1] >= 128 AND p[2] >= 128)) / greatest(len(list_filter(z, lambda p: p[1] >= 128 OR p[2] >= 128)), 1)::DOUBLE AS iou FROM n),
+m AS (SELECT *, CASE WHEN z IS NULL THEN list_transform(own, lambda p: p[1]) WHEN iou >= 0.35 THEN list_transform(z, lambda p: CASE WHEN p[1] >= 128 AND p[2] >= 128 THEN floor(0.5 * p[1] + 0.5 * p[2]) ELSE greatest(p[1], p[2]) END) WHEN p >= q THEN list_transform(z, lambda p: p[1]) ELSE list_transform(z, lambda p: p[2]) END AS mask FROM s)
+SELECT vec_id, round(list_sum(mask) / 64.0, 4) AS mean_alpha, round(CASE WHEN z IS NULL THEN p WHEN iou >= 0.35 THEN 0.5 * greatest(p, q) + 0.5 * least(p, q) ELSE 0.9 * greatest(p, q) END, 6)::DOUBLE AS confidence, CASE WHEN z IS NULL THEN 'alone' WHEN iou >= 0.35 THEN 'ensemble_max' ELSE 'selected_by_confidence' END AS how FROM m""")
+def mask_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each raster and its successor as two masks of one picture; some have no second."""
+    i = F.col("vec_id")
+    both = neighbours(spark, sf_dir).withColumn("y", F.when(i % 9 != 0, F.col("y")))
+    made = extraction.ensemble(F.col("x"), F.col("y"), i % 10 / 10.0, i % 7 / 7.0, 0.35)
+    told = both.select("vec_id", *(v.alias(k) for k, v in made.items()))
+    return told.select("vec_id", r(raster.total(F.col("mask")) / 64).alias("mean_alpha"), r("confidence", 6).alias("confidence"), "how")
+
+
+@query("""SELECT count(*) AS n, round(avg(value), 4) AS mean, round(median(value), 4) AS p50, round(quantile_cont(value, 0.95), 4) AS p95, round(count(*) FILTER (WHERE value > 80) / greatest(count(*), 1)::DOUBLE, 6) AS rescue_rate, count(*) FILTER (WHERE event_type = 'view') AS n_view, count(*) FILTER (WHERE event_type = 'error') AS n_error FROM events""")
+def bench_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = analytics.bench_summary(read(spark, sf_dir, "events"), "value", F.col("value") > 80, "event_type", ["view", "error"])
+    return found.withColumns({c: r(c) for c in ("mean", "p50", "p95")} | {"rescue_rate": r("rescue_rate", 6)})
+
+
+@query("""SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'P' AND o_totalprice / 5000 >= 76 ORDER BY o_totalprice DESC, o_orderkey LIMIT 8""")
+def flip_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of the first eight orders whose decision went from review to pass."""
+    old = F.when(F.col("o_orderstatus") == "F", "pass").when(F.col("o_orderstatus") == "O", "second_pass").otherwise("review")
+    both = read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", old.alias("was"), banded(F.col("o_totalprice") / 5000).alias("now"))
+    return analytics.flips(both, "was", "now", "review", "pass", [F.desc("o_totalprice"), F.col("o_orderkey")]).select("o_orderkey", "o_totalprice")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -9,15 +10,21 @@ from collections.abc import Callable, Iterable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lumenqc.operators import sinks
 
+#: The name of the observation that counts what comes in.
+COUNTER = "rows_in"
+
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share."""
+    """A new path in the folder that driver and executors share; only a local master gets a temporary one."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base}/{name}-{uuid.uuid4().hex}"
@@ -28,13 +35,36 @@ def arriving(spark: SparkSession, folder: str, schema, files: str = "*.parquet",
     return spark.readStream.schema(schema).option("pathGlobFilter", files).option("maxFilesPerTrigger", at_once).parquet(folder)
 
 
-def run_once(stream: DataFrame, step: Callable[[DataFrame], DataFrame], out: str, state: str, key: str) -> None:
-    """Processes what has arrived and stops.  A batch that is repeated after a loss adds nothing, as keys are written once."""
+def started(stream: DataFrame, step: Callable[[DataFrame], DataFrame], out: str, state: str, key: str) -> StreamingQuery:
+    """Processes what has arrived and then stops.  A batch that is repeated after a loss adds nothing, as keys are written once."""
+    own = hashlib.sha256(state.encode()).hexdigest()[:12]  # another state is another stream, whose batches count anew
+
+    def put(rows: DataFrame, batch: int) -> None:
+        sinks.append_once(step(rows), out, key, f"{own}-{batch}")
+
+    counted = stream.observe(COUNTER, F.count(F.lit(1)).alias("n"))
+    return counted.writeStream.foreachBatch(put).option("checkpointLocation", state).trigger(availableNow=True).start()
+
+
+def run_once(stream: DataFrame, step: Callable[[DataFrame], DataFrame], out: str, state: str, key: str, stop: Callable[[int], bool] | None = None) -> int:
+    """Runs the stream to its end and returns how many rows came in.
+
+    ``stop`` is asked between batches with the rows so far; once it says so the stream ends, and what hasn't been taken up stays for the
+    next run from the same ``state``.
+    """
+    query = started(stream, step, out, state, key)
+    if stop is None:
+        query.awaitTermination()
+    else:
+        while not query.awaitTermination(1):
+            if stop(rows_in(query)):
+                query.stop()
+    return rows_in(query)
 
-    def put(rows: DataFrame, _: int) -> None:
-        sinks.append_once(step(rows), out, key)
 
-    stream.writeStream.foreachBatch(put).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+def rows_in(query: StreamingQuery) -> int:
+    """Rows of the query's completed batches, as far as its progress reaches back."""
+    return sum(p.observedMetrics[COUNTER]["n"] for p in query.recentProgress if COUNTER in p.observedMetrics)
 
 
 def watch_alarms(stream: DataFrame, at: str, review: F.Column, passed: F.Column, width: str = "1 hour", late: str = "1 hour", least: int = 8) -> DataFrame:

@@ -62,7 +62,7 @@ def test_sinks(spark, tmp_path):
     for _ in range(2):
         sinks.append_once(rows, out, "id")
     sinks.append_once(spark.createDataFrame([("a", 9), ("c", 4)], "id string, n int"), out, "id")
-    assert sorted(map(tuple, spark.read.parquet(out).collect())) == [("a", 1), ("b", 3), ("c", 4)]
+    assert sorted(map(tuple, spark.read.parquet(out).select("id", "n").collect())) == [("a", 1), ("b", 3), ("c", 4)]
     versions = str(tmp_path / "versions")
     for n in (1, 2):
         sinks.append_version(spark.createDataFrame([("a", n)], "id string, n int"), versions)
@@ -90,6 +90,41 @@ def test_stream_resumes(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 80
 
 
+def test_a_stopped_stream_goes_on_where_it_was(spark, tmp_path):
+    source, out, state = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")
+    for k in range(6):
+        spark.range(k * 10, k * 10 + 10).selectExpr("id as event_id").coalesce(1).write.mode("append").parquet(source)
+    one = lambda: resume.arriving(spark, source, "event_id long", at_once=1)
+    took = resume.run_once(one(), lambda d: d, out, state, "event_id", stop=lambda n: n >= 10)
+    assert 10 <= took <= 60
+    rest = resume.run_once(one(), lambda d: d, out, state, "event_id")
+    assert rest >= 60 - took
+    assert spark.read.parquet(out).select("event_id").distinct().count() == spark.read.parquet(out).count() == 60
+
+
+def test_a_repeated_batch_replaces_what_it_left(spark, tmp_path):
+    out = str(tmp_path / "out")
+    rows = spark.createDataFrame([("a", 1), ("b", 3)], "id string, n int")
+    sinks.append_once(rows.where("id = 'a'"), out, "id", "x-0")  # cut off half-way
+    sinks.append_once(rows, out, "id", "x-0")
+    sinks.append_once(rows, out, "id", "x-1")
+    assert sorted(map(tuple, spark.read.parquet(out).select("id", "n", "part").collect())) == [("a", 1, "x-0"), ("b", 3, "x-0")]
+
+
+def test_logs_reports_and_soft_sinks(spark, tmp_path):
+    log, view = str(tmp_path / "log"), str(tmp_path / "view")
+    sinks.append_log(spark.createDataFrame([("a", 1.5, "more")], "id string, s double, other string"), log)
+    sinks.append_log(spark.createDataFrame([("b", None)], "id string, s double"), log)
+    spark.createDataFrame([("{broken",)], "value string").write.mode("append").text(log)
+    sinks.log_view(spark, log, view, "id string, s double")
+    assert sorted((r.id, r.s) for r in spark.read.option("header", "true").csv(view).collect()) == [("a", "1.5"), ("b", None)]
+    rows = spark.createDataFrame([(1,), (2,)], "n int")
+    sinks.harness_report(rows, rows.agg(F.sum("n").alias("total")), str(tmp_path / "run"))
+    assert spark.read.json(str(tmp_path / "run/summary")).first().total == 3
+    assert sinks.attempted(sinks.append_log, rows, log) is None
+    assert "AnalysisException" in sinks.attempted(sinks.append_failures, rows, log)
+
+
 def test_rolling_means_in_a_stream(spark, tmp_path):
     source = tmp_path / "in"
     spark.range(1, 101).selectExpr("id", "cast(id as double) value", "'k' kind").coalesce(1).write.parquet(str(source))
