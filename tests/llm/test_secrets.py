@@ -3,6 +3,7 @@ import hashlib
 import json
 import random
 import re
+import time
 import zlib
 
 from lumenqc.llm import secret_scan as s
@@ -94,3 +95,17 @@ def test_odd_rows(docs, none):
 def test_redaction():
     text = "a password=abcdefgh12 b"
     assert s.redact(text, s.scan(text)) == "a [assign] b"
+
+
+def test_hostile_texts_take_linear_time():
+    for x in ("eyJ", "eyJ.", "eyJa.eyJ", "-----BEGIN PRIVATE KEY-----A:", "-----BEGIN PRIVATE KEY-----Proc-Type: ", "token ", "AKIAa", "ghp_", " token" + " " * 50):
+        began = time.process_time()
+        s.scan(x * (1_000_000 // len(x)))
+        assert time.process_time() - began < 8, x
+
+
+def test_token_after_a_run_that_fails():
+    head = base64.urlsafe_b64encode(b'{"alg":"none"}').decode().rstrip("=")
+    text = f"eyJabceyJ-x {head}.eyJb.sig eyJqeyJr.eyJ.x.{head}.eyJz.s"
+    found = [text[a:b] for a, b, k in s.scan(text) if k == "jwt"]
+    assert found == [f"{head}.eyJb.sig", f"{head}.eyJz.s"]
