@@ -42,6 +42,35 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def is_small(df: DataFrame, rows: int = 500_000, size: int = 64 << 20) -> bool:
+    """Whether ``df`` was counted to have so few rows, of so many bytes (as JSON) together, that it may be broadcast."""
+    n = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("b")).first()
+    return n.n <= rows and (n.b or 0) <= size
+
+
+def joined(left: DataFrame, right: DataFrame, key: str, how: str = "left", rows: int = 500_000, shares: int = 10_000) -> DataFrame:
+    """``left`` joined with ``right`` by ``key``, of which ``left`` may hold very common values.
+
+    A small ``right`` is broadcast.  Else keys with over a ``shares``-th of the left rows, of which there are fewer than
+    ``shares``, meet their right rows where they are, if those are small; all others are shuffled.
+    """
+    if is_small(right, rows):
+        return left.join(F.broadcast(right), key, how)
+    total = left.count()
+    hot = written(left.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * shares > total).select(key), "hot-keys")
+    common = right.join(F.broadcast(hot), key, "left_semi")
+    if not is_small(common, rows):
+        return left.join(right, key, how)
+    here = left.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(common), key, how)
+    return here.unionByName(left.join(F.broadcast(hot), key, "left_anti").join(right, key, how))
+
+
+def without(docs: DataFrame, gone: DataFrame, key: str, rows: int = 2_000_000) -> DataFrame:
+    """``docs`` without the rows whose ``key`` is in ``gone``; these keys are broadcast if they were counted to be few."""
+    gone = written(gone.select(key).distinct(), "gone")
+    return docs.join(F.broadcast(gone) if is_small(gone, rows) else gone, key, "left_anti")
+
+
 def lots(texts: list[str | None], most: int = 2_000_000) -> Iterator[list[str | None]]:
     """``texts`` in order, in lists of about ``most`` characters, so that what is made of them stays small."""
     lot, size = [], 0

@@ -1,6 +1,7 @@
 import itertools
 import math
 
+from lumenqc.llm import common
 from lumenqc.llm import url_filter as u
 
 
@@ -23,15 +24,16 @@ def test_host_path_and_rules(spark):
     assert got[10][:3] == ("é.net", "", None)
 
 
-def test_viterbi_against_all_cuts():
-    n = {"the": 50, "rest": 9, "there": 12, "st": 2, "her": 7, "e": 3, "re": 4}
+def test_viterbi_against_all_cuts(monkeypatch):
+    n = {"the": 50, "rest": 9, "there": 12, "st": 2, "her": 7, "e": 3, "re": 4, "x" * 9: 2, "therest": 1}
+    monkeypatch.setattr(u, "STUB", 5)
     total = 100.0
 
     def cost(cut):
         return sum(math.log(n[w] / total if w in n else 1 / (total * 10 ** len(w))) for w in cut)
 
-    for name in ("therest", "thereher", "xthe", "ststst", "a"):
-        known = {(a, b): n[name[a:b]] / total for a in range(len(name)) for b in range(a + 1, len(name) + 1) if name[a:b] in n}
+    for name in ("therest", "thereher", "xthe", "ststst", "a", "x" * 11, "qqthexx"):
+        known = {w: k / total for w, k in n.items() if w in name}
         cuts = []
         for k in range(len(name)):
             for at in itertools.combinations(range(1, len(name)), k):
@@ -63,3 +65,22 @@ def test_odd_tables(spark):
     assert u.judge(none).count() == 0
     one = spark.createDataFrame([(1, None, None, "x")], "page_id long, url string, html string, host string")
     assert [(r.host, r.verdict) for r in u.judge(one).collect()] == [("", "allow")]
+
+
+def test_words_and_names_of_any_length(spark):
+    long = "donaudampfschifffahrtsgesellschaft"
+    table = spark.createDataFrame([(1, f"http://{long}kapitaen.net/", f"<p>{long} kapitaen {long}</p>"), (2, f"http://{'ab' * 30_000}.net/x", "<p>ab ab ab ab</p>" + "<!-" * 50_000)], "page_id long, url string, html string")
+    hosts = {r.host: r.host_tokens for r in u.host_tokens(u.parts(table, "page_id", "url").select("host").distinct(), u.word_counts(table, "html")).collect()}
+    assert hosts[f"{long}kapitaen.net"][:2] == [long, "kapitaen"]
+    assert len(hosts[f"{'ab' * 30_000}.net"]) > 29_000
+    assert u.judge(table).count() == 2
+
+
+def test_common_keys_join_apart(spark):
+    left = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(300)] + [(300, None), (301, "lost")], "row long, key string")
+    right = spark.createDataFrame([("hot", 1.0), *((f"k{i}", float(i)) for i in range(300))], "key string, x double")
+    for how in ("left", "inner"):
+        want = sorted(map(tuple, left.join(right, "key", how).collect()), key=str)
+        assert sorted(map(tuple, common.joined(left, right, "key", how, rows=10, shares=20).collect()), key=str) == want
+    kept = sorted(r.row for r in common.without(left, right.where("x < 2"), "key").collect())
+    assert kept == sorted(i for i in range(302) if i in (300, 301) or i < 300 and i % 3 == 0 and i >= 2)
