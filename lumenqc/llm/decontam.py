@@ -5,23 +5,33 @@ a 0 are ignored, so a substituted word spoils only the seeds that look at it.  T
 a match fixes how document and item lie over one another, and there the words are compared: the pair counts
 if some window of ``window`` words (or the whole item, if shorter) has ``identity`` of its words in place.
 
+An item of fewer than 16 words has masks of its own, as the two above would miss some of its allowed substitutions: where s of its
+n words may differ, the places that leave the same remainder by s + 1 make a mask, laid over the whole item.
+s substitutions spoil at most s of these s + 1 masks, so one is left, and no such overlap is missed.  Documents are looked
+through with these masks only for lengths that the benchmark has.
+
 The benchmark's seeds are counted first: up to ``broadcast_rows`` of them are broadcast and each document is
-verified where it was read; beyond that seeds are shuffled and matches join the documents again.
+verified where it was read; beyond that seeds are shuffled, common ones apart from the rest, and matches join the documents again.
 
-Words are runs of letters and digits, lower-cased.  Special cases: null and empty texts have no seeds; an item
-of fewer words than the shortest mask can't match; repeated documents repeat under their own ids, repeated
-rows of one id count once; an empty table on either side gives an empty result; other columns are ignored.
+Words are runs of letters and digits, lower-cased.  Special cases: null and empty texts have no seeds and an item without words
+matches nothing; very long texts are read whole; repeated documents repeat under their own ids, repeated
+rows of one id count once; rows without an id match under null; of equal windows the first counts; an empty table on either side
+gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenqc.llm.common import let
+from lumenqc.llm.common import is_small, joined, let, without, written
 
 #: Positions that count (1) and that are ignored (0).
 MASKS = ("1101011", "11100101")
+#: Items of fewer words have masks of their own.
+SHORT = 16
 
 
 def tokens(text: Column) -> Column:
@@ -31,7 +41,7 @@ def tokens(text: Column) -> Column:
 def seed(hashes: Column, at: Column, mask: str) -> Column:
     """The mask's seed at place ``at`` of an array of word hashes; null where the mask stands over the end."""
     looked = [k for k, c in enumerate(mask) if c == "1"]
-    return F.when(at <= F.size(hashes) - len(mask), F.xxhash64(*(F.get(hashes, at + k) for k in looked), F.lit(len(mask))))
+    return F.when(at <= F.size(hashes) - len(mask), F.xxhash64(*(F.get(hashes, at + k) for k in looked), F.lit(mask)))
 
 
 def hashed(table: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
@@ -50,6 +60,12 @@ def seed_rows(table: DataFrame, masks: tuple[str, ...], *kept: str) -> DataFrame
     return places.select(*kept, "at", F.explode(F.array(*(seed(F.col("h"), F.col("at"), m) for m in masks))).alias("seed")).where(F.col("seed").isNotNull())
 
 
+def own_masks(n: int, identity: float) -> list[tuple[int, str]]:
+    """Place and mask of each class of places of an item of ``n`` words; one class at least has no substitution."""
+    classes = n - math.ceil(identity * n - 1e-9) + 1
+    return [(k, "".join("1" if i % classes == 0 else "0" for i in range(n - k)).rstrip("0")) for k in range(min(classes, n))]
+
+
 def agreement(item: Column, words: Column, shift: Column) -> Column:
     """1 for each word of ``item`` that stands in ``words`` at its place plus ``shift``, else 0."""
     return F.transform(item, lambda w, k: F.when(F.get(words, shift + k) == w, 1).otherwise(0))
@@ -65,16 +81,22 @@ def overlaps(
 ) -> DataFrame:
     """One row per document and item that overlap: words in place, of how many, and the best window's."""
     items = hashed(benchmark, item_col, item_text_col, "item").withColumnRenamed("words", "item_words")
-    keys = seed_rows(items, masks, "item").withColumnRenamed("at", "item_at").distinct()
-    small = keys.limit(broadcast_rows + 1).count() <= broadcast_rows  # so are its words, a few of which make a seed
+    size = F.size("item_words")
+    keys = seed_rows(items.where(size >= SHORT), masks, "item")
+    short = [r[0] for r in items.where((size > 0) & (size < SHORT)).select(size).distinct().collect()]  # numbers under SHORT
+    for n in sorted(short):
+        for at, mask in own_masks(n, identity):
+            own = items.where(size == n).select("item", F.lit(at).alias("at"), seed(F.col("h"), F.lit(at), mask).alias("seed"))
+            keys, masks = keys.unionByName(own), (*masks, mask)
+    keys, masks = written(keys.withColumnRenamed("at", "item_at").distinct(), "seeds"), tuple(dict.fromkeys(masks))
     texts, words = hashed(docs, id_col, text_col, "doc"), items.select("item", "item_words").distinct()
-    if small:
+    if is_small(keys, broadcast_rows) and is_small(words, broadcast_rows):
         found = seed_rows(texts, masks, "doc", "words").join(F.broadcast(keys), "seed").select("doc", "words", "item", (F.col("at") - F.col("item_at")).alias("shift"))
         found = found.join(F.broadcast(words), found["item"].eqNullSafe(words["item"])).drop(words["item"])
     else:
-        met = seed_rows(texts, masks, "doc").join(keys, "seed").select("doc", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
-        found = met.join(words, "item").join(texts.select("doc", "words"), "doc")
-    size = F.size("item_words")
+        met = joined(seed_rows(texts, masks, "doc"), keys, "seed", "inner", broadcast_rows).select("doc", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+        found = met.join(words, met["item"].eqNullSafe(words["item"])).drop(words["item"])
+        found = found.join(texts.select(F.col("doc").alias("text_doc"), "words"), F.col("doc").eqNullSafe(F.col("text_doc"))).drop("text_doc")
     width = F.least(size, F.lit(window))
     best = lambda hit: F.array_max(F.transform(F.sequence(F.lit(0), size - width), lambda k: total(F.slice(hit, k + 1, width))))
     judged = let(agreement(F.col("item_words"), F.col("words"), F.col("shift")), lambda hit: F.struct(best(hit).alias("best"), total(hit).alias("matched")))
@@ -89,4 +111,4 @@ def overlaps(
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` without the documents that overlap an item; rows without an id stay, as no match can name them."""
-    return docs.join(overlaps(docs, benchmark, id_col, text_col, **how).select(id_col).distinct(), id_col, "left_anti")
+    return without(docs, overlaps(docs, benchmark, id_col, text_col, **how), id_col)

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
-
 from public_tokenizers import path as tokenizer_file
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,7 +47,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.derivatives(warc.responses(table(spark, sf_dir, "pages"))).drop("metadata", "conversion")
+    return warc.build(table(spark, sf_dir, "pages")).drop("about", "text")
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,10 +65,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _SPLIT = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
 _SEEDS = " UNION ALL ".join(
-    f"SELECT id, {m} AS m, p, concat_ws(' ', {', '.join(f'w[p + {k + 1}]' for k, c in enumerate(mask) if c == '1')}) AS seed FROM (SELECT id, w, unnest(range(len(w) - {len(mask) - 1})) AS p FROM {{}})" for m, mask in enumerate(decontam.MASKS)
+    f"SELECT id, {m} AS m, p, concat_ws(' ', {', '.join(f'w[p + {k + 1}]' for k, c in enumerate(mask) if c == '1')}) AS seed FROM (SELECT id, w, unnest(range(len(w) - {len(mask) - 1})) AS p FROM {{}} WHERE len(w) >= {{}})" for m, mask in enumerate(decontam.MASKS)
 )
-OP1_SQL = f"""WITH d AS (SELECT doc_id AS id, {_SPLIT} AS w FROM documents), i AS (SELECT item_id AS id, {_SPLIT} AS w FROM benchmark), ds AS ({_SEEDS.format(*["d"] * 2)}), bs AS ({_SEEDS.format(*["i"] * 2)}),
-met AS (SELECT DISTINCT ds.id AS doc_id, bs.id AS item_id, ds.p - bs.p AS shift FROM ds JOIN bs USING (m, seed)),
+OP1_SQL = f"""WITH d AS (SELECT doc_id AS id, {_SPLIT} AS w FROM documents), i AS (SELECT item_id AS id, {_SPLIT} AS w FROM benchmark), ds AS ({_SEEDS.format("d", 0, "d", 0)}), bs AS ({_SEEDS.format("i", decontam.SHORT, "i", decontam.SHORT)}),
+long AS (SELECT ds.id AS doc_id, bs.id AS item_id, ds.p - bs.p AS shift FROM ds JOIN bs USING (m, seed)),
+places AS (SELECT d.id AS doc_id, i.id AS item_id, unnest(range(1 - len(i.w), len(d.w))) AS shift FROM d JOIN i ON len(i.w) BETWEEN 1 AND {decontam.SHORT - 1}),
+met AS (SELECT DISTINCT * FROM (SELECT * FROM long UNION ALL SELECT * FROM places)),
 hits AS (SELECT doc_id, item_id, shift, len(i.w) AS n, least(len(i.w), 20) AS width, list_transform(range(len(i.w)), lambda k: CASE WHEN shift + k >= 0 AND d.w[shift + k + 1] = i.w[k + 1] THEN 1 ELSE 0 END) AS h FROM met JOIN d ON d.id = doc_id JOIN i ON i.id = item_id),
 best AS (SELECT *, list_max(list_transform(range(n - width + 1), lambda k: list_sum(h[k + 1 : k + width]))) AS best FROM hits)
 SELECT doc_id, item_id, max(list_sum(h))::BIGINT AS matched_words, max(n)::BIGINT AS n_item_words, max(best / width) AS identity, min(greatest(shift, 0))::BIGINT AS first_word FROM best WHERE best >= 0.8 * width GROUP BY ALL"""

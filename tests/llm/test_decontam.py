@@ -9,13 +9,13 @@ def words(text):
 
 
 def brute(docs, items, window=20, identity=0.8):
-    """Every alignment that shares a seed, by its definition."""
+    """Every alignment that shares a seed, by its definition; of items under 16 words every alignment."""
     found = set()
     for i, t in docs:
         for k, b in items:
             x, y = words(t), words(b)
             for shift in range(-len(y) + 1, len(x)):
-                seeded = any(
+                seeded = len(y) < 16 or any(
                     all(0 <= shift + p + o < len(x) and x[shift + p + o] == y[p + o] for o, c in enumerate(m) if c == "1")
                     for m in d.MASKS for p in range(len(y) - len(m) + 1) if 0 <= shift + p and shift + p + len(m) <= len(x)
                 )
@@ -30,7 +30,7 @@ def cases():
     rng = random.Random(4)
     vocabulary = [f"w{i}" for i in range(400)]
     prose = lambda n: [rng.choice(vocabulary) for _ in range(n)]
-    items = [(k, prose(rng.randrange(8, 50))) for k in range(12)]
+    items = [(k, prose(n)) for k, n in enumerate([1, 2, 4, 5, 6, 7, 9, 11, 13, 15, 16, 20, 33, 49])]
     docs = []
     for i in range(60):
         text, (_, item) = prose(rng.randrange(5, 120)), rng.choice(items)
@@ -56,7 +56,7 @@ def test_substitutions_are_tolerated_and_clean_texts_left(spark):
     near = [w if i % 7 else "other" for i, w in enumerate(item)]
     far = [w if i % 2 else "other" for i, w in enumerate(item)]
     rows = [(1, " ".join(["x"] * 9 + near)), (2, " ".join(far)), (3, " ".join(item[:6]))]
-    bench = spark.createDataFrame([(1, " ".join(item)), (2, None), (3, "too short")], "item_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, None), (3, "not here")], "item_id long, text string")
     assert [r.doc_id for r in d.overlaps(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()] == [1]
 
 
@@ -68,3 +68,19 @@ def test_odd_rows(spark, docs, none):
     assert d.overlaps(none, bench).count() == 0
     assert d.overlaps(docs, bench.where("false")).count() == 0
     assert {r.doc_id for r in d.decontaminate(docs, bench).collect()} == {2, 3, 4, 5, 6, 8, 9, None}
+
+
+def test_sql_form_agrees_on_short_items(spark, tmp_path):
+    import duckdb
+
+    from lumenqc.llm.entry import OP1_SQL
+
+    docs, items = cases()
+    left, right = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", left.toPandas())
+    con.register("benchmark", right.toPandas())
+    order = "doc_id, item_id, matched_words, n_item_words, round(identity, 9), first_word"
+    want = con.sql(f"SELECT {order} FROM ({OP1_SQL}) ORDER BY ALL").fetchall()
+    got = sorted(map(tuple, d.overlaps(left, right).selectExpr(*order.split(", ", 4)[:4], "round(identity, 9)", "first_word").collect()))
+    assert got == want
