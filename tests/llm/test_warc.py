@@ -1,6 +1,12 @@
 import base64
 import gzip
 import hashlib
+import html
+import re
+import time
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from lumenqc.llm import warc as w
 
@@ -41,9 +47,51 @@ def test_odd_rows_and_files(spark, tmp_path):
     assert {r.text_bytes for r in made if r.page_id == 2} == {0}
     assert len({r.conversion_id for r in made}) == 4
     derived = w.derivatives(w.responses(pages))
-    (tmp_path / "out").mkdir()
     files = w.write_files(derived, f"file://{tmp_path}/out").collect()
     assert sum(f.n_records for f in files) == 10
     data = b"".join(gzip.decompress((tmp_path / "out" / f.file).read_bytes()) for f in files)
     assert data.count(b"WARC/1.1\r\n") == 10
     assert w.derivatives(w.responses(pages.where("false"))).count() == 0
+
+
+def by_expressions(page):
+    """The plain text by whole expressions, one after the other: slow on hostile pages, simple on short ones."""
+    page = re.sub(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)(?![a-zA-Z0-9:-])[^>]*>.*?(?:</\1\s*>|\Z)|</?head(?![a-zA-Z0-9:-])[^>]*>", " ", page, flags=re.I | re.S)
+    page = re.sub(r"</?(?:p|div|br|li|h1|title|body|html)(?![a-zA-Z0-9:-])[^>]*>", "\n", page, flags=re.I)
+    page = html.unescape(re.sub(r"</?[a-zA-Z][^>]*>|<![^>]*>|<\?[^>]*>", "", page))
+    return "\n".join(x for x in (re.sub(r"[^\S\n]+", " ", line).strip() for line in page.split("\n")) if x)
+
+
+PIECES = st.sampled_from(["<p>", "</p>", "<br/>", "<b x='1'>", "</b>", "<title>", "</title>", "<script a>", "</script >", "<style>", "</style>", "text ", "a&amp;b", "\n", "<!-- ", " -->", "<head>", "</head>", "<div class=q>", "&#65;", "&nbsp;", "3 < 4 ", "<!doctype x>"])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(PIECES, max_size=14))
+def test_plain_text_against_expressions(pieces):
+    page = "".join(pieces)
+    assert w.plain_text(page) == by_expressions(page)
+
+
+def test_hostile_pages_take_linear_time():
+    for x in ("<script ", "<a ", "<title>", "<a href=", "<!--", "</script", "<", "&#9", "&#0", "<p>"):
+        began = time.process_time()
+        w.derive(w.response(1, "u", x * (1_000_000 // len(x))))
+        assert time.process_time() - began < 8, x
+    assert w.unescaped("&#" + "9" * 6000 + "; &#" + "0" * 9000 + "65;") == "\ufffd A"
+
+
+def test_query_against_brute_force(spark):
+    rows = [(1, "http://a/  b", PAGE), (2, None, None), (3, "http://b/\r\nX: y", "<p>unclosed <script>"), (1, "http://a/  b", PAGE), (None, "http://c/", "<p>" * 50_000), (5, "http://d/", "<title>T</title><a href='x y'>z</a>\x00é")]
+    pages = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, source_id string, key string")
+    got = w.build(pages).collect()
+    want = []
+    for key, url, page in rows:
+        payload = (page or "").encode()
+        source = next(line for line in w.response(key, url, page).decode().split("\r\n") if line.startswith("WARC-Record-ID: "))[16:]
+        want.append((key, source, re.sub("[\r\n]+", " ", url or ""), sha(payload), sha(by_expressions(page or "").encode()), by_expressions(page or "")))
+    order = lambda x: str(x)
+    assert sorted(((r.page_id, r.source_id, r.target_uri, r.payload_digest, r.conversion_digest, r.text) for r in got), key=order) == sorted(want, key=order)
+    assert all(r.sound and r.metadata_digest == sha(r.about.encode()) and r.text_bytes == len(r.text.encode()) for r in got)
+    assert len({r.metadata_id for r in got} | {r.conversion_id for r in got}) == 10
+    assert {r.page_id: "source-warc-target-uri: http://a/  b\r\n" in r.about for r in got}[1]
+    assert w.build(pages.where("false")).count() == 0
