@@ -1,4 +1,7 @@
-"""Extraction: gate of one candidate and choice between two."""
+"""Extraction: engines by name, gate of one candidate, choice between two, and two masks as one.
+
+Fixed values: the thresholds and penalties of ``quality``, ``gate`` and ``choose``; they must be these for the same verdicts.
+"""
 
 from __future__ import annotations
 

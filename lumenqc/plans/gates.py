@@ -2,6 +2,8 @@
 
 A gate is a list of groups; of a group the first rule that holds speaks.  A rule is (condition, kind, tag) with kind
 ``bad``, ``warn``, ``good`` or ``-`` (nothing, but the rest of the group is skipped).  All conditions are columns.
+
+Fixed values: the thresholds and tags of all rules below; they must be these for the same verdicts.
 """
 
 from __future__ import annotations
