@@ -1,14 +1,18 @@
-"""Adaptive context-mixing range coder for token ids, many blocks in step.
+"""Adaptive context-mixing range coder for token ids.
 
 A block of ids is coded by itself: all models start anew, and its header carries checksums.  The next id is
-predicted by three orders.  Order 2 and order 1 each name one id, the last that followed the two ids or the id before
-(hashed tables with a confidence); order 0 is the distribution of the ids seen in the block; ids not yet seen are
-uniform.  A block mixes them into one distribution whose weights come from how often each order was right at
-that confidence.  It drives the arithmetic coding: one range step an id.
-
-Models are renewed at fixed places (``RENEWALS``) from what was coded up to there, so between two places
-numpy treats all ids of all blocks at once; only the range recursion goes id by id, in step over the blocks.
-All arithmetic is on integers, so any machine decodes what another wrote.
+predicted by three orders.  Order 2 and order 1 each name one id, the one that lately followed the two ids or the id
+before, with a confidence; order 0 is the distribution of the ids seen in the block; ids that it leaves out (not yet
+seen, or very rare) are uniform.  A block mixes them into one distribution, whose weights come from how often each
+order was right at those confidences.  It drives the arithmetic coding: one range step an id.
+
+A block is cut into lanes of consecutive ids, which share the block's models and are coded in step: numpy treats one
+place of all lanes at once.  The models are renewed from all lanes after 1, 2, 4, 8, 16 and then every 32 places, to the
+end of the block.  Ranges are whole numbers under 2 ** 53, which doubles hold exactly, and every quotient is far enough
+from the next whole number; so any machine decodes what another wrote.
+
+Special cases: no ids make no block; ids may be any unsigned 32-bit integers, as a block of ids from 2 ** 18 on
+codes ranks among its distinct ids, which it lists; what coding would lengthen is stored as it is.
 """
 
 from __future__ import annotations
@@ -18,268 +22,310 @@ import zlib
 
 import numpy as np
 
-BLOCK = 16_384
-#: Places in a block at which the models are renewed.
-RENEWALS = (256, 1024, 4096, 8192)
+BLOCK = 1 << 21
+#: Places of a lane, but for blocks so large that they would need more lanes than ``LANES``.
+PLACES, LANES = 256, 8192
+RENEWED, THIN = 32, 4
 #: Bits of the mixture's weights and of the order-0 distribution under a weight.
-MIX, ZERO = 12, 14
-WHOLE = np.uint64(MIX + ZERO)
-ORDER1, ORDER2 = 12, 13  # bits of the hashed tables
-LOW, DIGIT, TOP = np.uint64(1 << 40), np.uint64(16), np.uint64(40)
+MIX, ZERO = 12, 16
+WHOLE = float(1 << MIX + ZERO)
+ID, SURE = 18, 3  # bits of an id and of a confidence in the tables
+KNOWN, MOST = (1 << ID) - 1, (1 << SURE) - 1
+ROWS = 2 << 2 * SURE  # by order 1's confidence, order 2's, and whether both name one id
+ORDER2 = 17  # bits of the hashed table
+SPREAD = 0x2F0B
+LOW, DIGIT = float(1 << 32), float(1 << 16)  # of the range, 32 to 48 bits wide
 HEADER = struct.Struct("<4sBIIII")  # magic, mode, ids, crc of the ids, bytes of the body, crc of header and body
-MAGIC = b"LQTB"
+SHAPE = struct.Struct("<III")  # lanes, ids are under this, distinct ids listed
+MAGIC = b"LQT2"
 RAW, CODED = 0, 1
-#: Blocks that are coded in step and places that are prepared at once; they bound memory.
-LANES, PLACES = 512, 512
-
-IDS = np.arange(1 << 16, dtype=np.int64)
-HASH1 = (IDS * 40503 & 0xFFFF) >> (16 - ORDER1)
-HASH2A = (IDS * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - ORDER2)
-HASH2B = (IDS * 0x85EBCA77 & 0xFFFFFFFF) >> (32 - ORDER2)
+#: By twice a confidence, and one more if the named id was right: the new confidence, and all bits set if the id goes.
+AFTER = np.array([1, 1, *(x for c in range(1, MOST + 1) for x in (max(c >> 1, 1), min(c + 1, MOST)))], np.int32)
+GOES = np.array([-1, -1, -1, 0, *[0] * (2 * MOST - 2)], np.int32)
 
 
 class Models:
-    """The models of ``lanes`` blocks; ``slots`` also keeps what decoding looks up."""
-
-    def __init__(self, lanes: int, longest: int, slots: bool) -> None:
-        self.lanes = lanes
-        self.lane = np.arange(lanes)
-        self.at1, self.at2, self.at_row = self.lane << ORDER1, self.lane << ORDER2, self.lane << 5
-        # id, and the confidence (0 to 3) from bit 17 or 19 on, where the row of the mixture has it
-        self.table1 = np.zeros((lanes << ORDER1), np.int32)
-        self.table2 = np.zeros((lanes << ORDER2), np.int32)
-        self.hits = np.zeros((2, lanes * 4), np.int64)  # by order, lane and confidence
-        self.tries = np.zeros((2, lanes * 4), np.int64)
-        self.known = np.zeros((2, lanes), np.int64)  # ids seen before or not, where no order named them
-        self.rank = max([x for x in RENEWALS if x < longest], default=1)
-        self.zero = np.zeros((lanes, self.rank), np.int64)  # order 0 by rank: id, cumulated from bit 16, frequency from bit 32
-        self.seen = np.zeros(lanes, np.int64)
-        self.slots = np.zeros((lanes, 1 << ZERO), np.uint16) if slots else None  # the rank
+    """The models of a block of ids under ``size``; ``slots`` also keeps what decoding looks up."""
+
+    def __init__(self, size: int, slots: bool) -> None:
+        self.size = size
+        self.table1, self.table2 = np.zeros(size, np.int32), np.zeros(1 << ORDER2, np.int32)
+        self.seen = np.zeros((ROWS, 2, 2), np.int64)  # by row, whether order 2 was right, and order 1
+        self.counts = np.zeros(size, np.int64)
+        self.before, self.often = np.zeros(size), np.zeros(size)  # order 0: frequencies before and own
+        self.slots, self.ranked = (np.zeros(1 << ZERO, np.uint16), np.zeros(1, np.int64)) if slots else (None, None)
+        self.ranked_before = self.ranked_often = np.zeros(1)
         self.mix()
 
     def mix(self) -> None:
-        """By lane, both confidences and whether both orders name one id: ends of the parts of order 2, 1 and 0, and the weights of order 0 and uniform."""
-        n = self.lanes
-        right = (self.hits * 2 + 1) * 4096 // (self.tries * 2 + 4)
-        right = right.reshape(2, n, 4).copy()
-        right[:, :, 0] = 0  # no prediction
-        trust = self.hits.reshape(2, n, 4).sum(2) + 1
-        two, one = right[1][:, :, None] * trust[1][:, None, None], right[0][:, None, :] * trust[0][:, None, None]
-        both = trust.sum(0)[:, None, None]
-        top = (1 << MIX) - 96
-        w = np.zeros((n, 4, 4, 2, 3), np.int64)
-        w[:, :, :, 0, 0] = np.minimum(two // both, top // 2)
-        w[:, :, :, 0, 1] = np.minimum(one // both, top // 2)
-        w[:, :, :, 1, 0] = np.minimum((two + one) // both, top)
-        rest = (1 << MIX) - w.sum(4)
-        old, new = (self.known + 1)[:, :, None, None, None]
-        w[..., 2] = np.where((self.seen > 0)[:, None, None, None], np.maximum(1, np.minimum(rest - 4, rest * old // (old + new))), 0)
-        ends = w.cumsum(4).reshape(n * 32, 3)
-        self.rows = np.concatenate((ends << ZERO, np.maximum(1, ends[:, 2:] - ends[:, 1:2]), (1 << MIX) - ends[:, 2:] >> 2), axis=1).astype(np.int32)
-
-    def look(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Places in the tables after id ``one`` and after ``two``, ``one`` (last axis: lanes), predictions, and the row of the mixture."""
-        a1 = self.at1 + HASH1[one]
-        a2 = self.at2 + ((HASH2A[one] + HASH2B[two]) & ((1 << ORDER2) - 1))
-        t1, t2 = self.table1[a1], self.table2[a2]
-        p1, p2 = t1 & 0xFFFF, t2 & 0xFFFF
-        return a1, a2, p1, p2, self.at_row + ((t1 >> 16) + (t2 >> 16) + (p1 == p2))
-
-    def dense(self, own: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Frequency and cumulated frequency of ids (places x lanes) in each lane's order 0."""
-        f, c = np.zeros(own.shape[::-1], np.int32), np.zeros(own.shape[::-1], np.int32)
-        table = np.zeros(size, np.int32)
-        for k, x in enumerate(np.ascontiguousarray(own.T)):
-            z = self.zero[k, : self.seen[k]]
-            which = z & 0xFFFF
-            table[which] = z >> 16 & 0xFFFF | z >> 32 << 16
-            at = table[x]
-            f[k], c[k] = at >> 16, at & 0xFFFF
-            table[which] = 0
-        return f.T, c.T
-
-    def renew(self, past: np.ndarray, begin: int, end: int, counts: np.ndarray, size: int) -> None:
-        """Takes up the ids from begin to end (past: places x lanes, after two zeros; counts: a lane's ids)."""
-        plain, before = np.zeros(self.lanes, np.int64), self.seen.copy()
-        for a in range(begin, end, PLACES):
-            plain += self.note(past, a, min(a + PLACES, end), counts)
-        for k, x in enumerate(np.ascontiguousarray(past[2 : end + 2].T)):
-            if counts[k] > begin:
-                n = np.bincount(x[: counts[k]], minlength=1)
-                found = np.flatnonzero(n)
-                n = n[found]
-                f = 1 + n * ((1 << ZERO) - len(found)) // n.sum()
-                f[np.argmax(n)] += (1 << ZERO) - f.sum()
-                self.zero[k, : len(found)] = found | (np.cumsum(f) - f) << 16 | f << 32
-                self.seen[k] = len(found)
-                if self.slots is not None:
-                    self.slots[k] = np.repeat(np.arange(len(found), dtype=np.uint16), f)
-        fresh = np.minimum(self.seen - before, plain)
-        self.known += np.stack((plain - fresh, fresh))
+        """By row: ends of the parts of order 2, 1 and 0, and the weights of order 0 and of a uniform id."""
+        row = np.arange(ROWS)
+        sure1, sure2 = row & MOST, row >> SURE & MOST
+        total, whole = int(self.counts.sum()), 1 << MIX
+        tries, two = self.seen.sum((1, 2)) * 2 + 4, self.seen[:, 1].sum(1)
+        one = np.where(sure2 > 0, self.seen[:, 0, 1], self.seen[:, :, 1].sum(1))
+        two, one = (np.where(sure > 0, (hits * 2 + 1) * whole // tries, 0) for sure, hits in ((sure2, two), (sure1, one)))
+        # uniform: ids that order 0 leaves out, and as often as ids were seen once there are new ones
+        fresh = total - int(self.counts @ (self.often > 0)) + np.count_nonzero((self.counts == 1) & (self.often > 0))
+        rare = max(16, min(whole // 2, whole * fresh // max(1, total)))
+        two = np.minimum(two, whole - 96)
+        one = np.minimum(one, whole - 96 - two)
+        rest = whole - two - one
+        zero = rest - np.maximum(16, np.minimum(rare, rest // 2)) if total else np.zeros(ROWS, np.int64)
+        ends = np.stack((two, two + one, two + one + zero)) << ZERO
+        self.e2, self.e1, self.e0 = ends.astype(float)
+        self.w0 = zero.astype(float)
+        self.share = np.maximum(zero, 2.0**-30)
+        if not total:  # at a block's start, when nothing is named: all is beyond order 0
+            self.e1[:] = -1.0
+        self.u = (((whole << ZERO) - ends[2]) // self.size).astype(float)
+
+    def look(self, one: np.ndarray, two: np.ndarray, at: np.ndarray, t1: np.ndarray, t2: np.ndarray, row: np.ndarray) -> None:
+        """After the ids ``two``, ``one``: where order 2 keeps what it names, what both orders name, with confidences, and the row of the mixture."""
+        np.multiply(one, SPREAD, out=at)
+        at ^= two
+        at &= (1 << ORDER2) - 1
+        self.table1.take(one, out=t1, mode="clip")
+        self.table2.take(at, out=t2, mode="clip")
+        same = t1 ^ t2
+        same &= KNOWN
+        x = t2 >> ID
+        x += t1 >> ID
+        x += (same == 0) * np.int32(ROWS // 2)
+        row[...] = x
+
+    def note(self, own: np.ndarray, one: np.ndarray, at: np.ndarray, t1: np.ndarray, t2: np.ndarray, row: np.ndarray) -> None:
+        """Takes up ids (places x lanes) that came after ``one``; order 1 and the weights from one place in ``THIN``."""
+        thin = slice(None, None, THIN)
+        hits = [self.follow(own[thin], one[thin], t1[thin], self.table1, ID)]
+        for k in range(0, len(own), THIN):  # a few places at a time stay in the cache
+            z = slice(k, k + THIN)
+            hit = self.follow(own[z], at[z], t2[z], self.table2, ID + SURE)
+            hits.append(hit[:1])
+        key = row[thin] * 4 + hits[0] + np.concatenate(hits[1:]) * 2
+        self.seen += np.bincount(key.ravel(), minlength=ROWS * 4).reshape(ROWS, 2, 2)
+        self.counts += np.bincount(own.ravel(), minlength=self.size)
+        f = np.floor(self.counts * ((1 << ZERO) / self.counts.sum()))
+        f[np.argmax(f)] += (1 << ZERO) - f.sum()
+        self.before, self.often = np.cumsum(f) - f, f
+        if self.slots is not None:
+            found = np.flatnonzero(f)
+            self.slots = np.repeat(np.arange(len(found), dtype=np.uint16), f[found].astype(np.int64))
+            self.ranked, self.ranked_before, self.ranked_often = found, self.before[found], self.often[found]
         self.mix()
 
-    def note(self, past: np.ndarray, begin: int, end: int, counts: np.ndarray) -> np.ndarray:
-        """Tables and hits; returns how many ids of each lane no order named."""
-        own = past[begin + 2 : end + 2]
-        a1, a2, p1, p2, row = self.look(past[begin + 1 : end + 1], past[begin:end])
-        c1, c2 = row >> 1 & 3, row >> 3 & 3
-        hit1, hit2 = (p1 == own) & (c1 > 0), (p2 == own) & (c2 > 0)
-        new1, new2 = (own | np.where(h, np.minimum(c + 1, 3), 1) << bit for h, c, bit in ((hit1, c1, 17), (hit2, c2, 19)))
-        plain = ~hit1 & ~hit2
-        there = slice(None)
-        if end > counts.min():
-            there = np.arange(begin, end)[:, None] < counts[None, :]
-            plain &= there
-        for k, c, hit in ((0, c1, hit1), (1, c2, hit2)):
-            at = (self.lane << 2) + c
-            self.tries[k] += np.bincount(at[there].ravel(), minlength=self.lanes * 4)
-            self.hits[k] += np.bincount(at[there][hit[there]].ravel(), minlength=self.lanes * 4)
-        self.table1[a1[there].ravel()] = new1[there].ravel()  # the last of equal places stays
-        self.table2[a2[there].ravel()] = new2[there].ravel()
-        return plain.sum(0)
-
-    def steps(self, past: np.ndarray, begin: int, end: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Start and size, of 2 ** WHOLE, of each id from begin to end."""
-        own = past[begin + 2 : end + 2]
-        _, _, p1, p2, row = self.look(past[begin + 1 : end + 1], past[begin:end])
-        e2, e1, e0, w0, u = np.moveaxis(self.rows[row], -1, 0)
-        f, c = self.dense(own, size)
-        zero, use1, use2 = (f > 0) & (e0 > e1), (p1 == own) & (e1 > e2), (p2 == own) & (e2 > 0)
-        start = np.where(use2, np.int32(0), np.where(use1, e2, np.where(zero, e1 + c * w0, e0 + own * u)))
-        return start.astype(np.uint64), np.where(use2, e2, np.where(use1, e1 - e2, np.where(zero, f * w0, u))).astype(np.uint64)
-
-
-def spans(longest: int) -> list[tuple[int, int]]:
-    ends = [x for x in RENEWALS if x < longest]
-    return list(zip([0, *ends], [*ends, longest], strict=True))
-
-
-def encode_lanes(blocks: list[np.ndarray]) -> list[bytes]:
-    """The coded bodies of blocks of ids under 65536."""
-    counts, n = np.array(list(map(len, blocks))), len(blocks)
-    longest, size = int(counts.max()), 1 << 16
-    past = np.zeros((longest + 2, n), np.int32)
-    for k, x in enumerate(blocks):
-        past[2 : 2 + len(x), k] = x
-    models = Models(n, longest, False)
-    low, width = np.zeros(n, np.uint64), np.full(n, 1 << 56, np.uint64)
-    # an id takes MIX + ZERO bits at the most, which is under 1.75 digits
-    digits, where = np.zeros((n, longest * 7 // 4 + 16), np.uint32), np.zeros(n, np.int64)
-    flat, base = digits.ravel(), np.arange(n) * digits.shape[1]
-
-    def out(at: np.ndarray) -> None:
-        x = low[at]
-        flat[base[at] + where[at]] = x >> TOP  # 16 bits and a carry
-        where[at] += 1
-        low[at] = (x & (LOW - np.uint64(1))) << DIGIT
-        width[at] <<= DIGIT
-
-    for first, last in spans(longest):
-        for begin in range(first, last, PLACES):
-            end = min(begin + PLACES, last)
-            starts, sizes = models.steps(past, begin, end, size)
-            if end > counts.min():
-                over = np.arange(begin, end)[:, None] >= counts
-                starts[over], sizes[over] = 0, 1 << (MIX + ZERO)
-            for s, z in zip(starts, sizes, strict=True):
-                width >>= WHOLE
-                s *= width
-                low += s
-                width *= z
-                while len(at := np.flatnonzero(width < LOW)):
-                    out(at)
-        if last < longest:
-            models.renew(past, first, last, counts, size)
-    for _ in range(4):
-        out(np.arange(n))
-    bodies = []
-    for k in range(n):
-        d = digits[k, : where[k]].astype(np.int64)
-        while (carry := d >> 16).any():  # carries go to the digit before
-            d &= 0xFFFF
-            d[:-1] += carry[1:]
-        bodies.append(d.astype("<u2").tobytes())
-    return bodies
-
-
-def decode_lanes(bodies: list[bytes], counts: np.ndarray) -> list[np.ndarray]:
-    n, longest, size = len(bodies), int(counts.max()), 1 << 16
-    models = Models(n, longest, True)
-    past = np.zeros((longest + 2, n), np.int32)
-    words = max(map(len, bodies)) // 2 + 8
-    digits, where = np.zeros((n, words), np.uint16), np.full(n, 4, np.int64)
-    for k, b in enumerate(bodies):
-        digits[k, : len(b) // 2] = np.frombuffer(b, "<u2")
-    flat, base = digits.ravel(), np.arange(n) * words
-    # The state has 56 bits, of which the first digit gives the upper 16: so the fourth digit is read in halves.
-    head = digits[:, :4].astype(np.uint64)
-    code = head[:, 0] << np.uint64(40) | head[:, 1] << np.uint64(24) | head[:, 2] << np.uint64(8) | head[:, 3] >> np.uint64(8)
-    due, half, width = head[:, 3] & np.uint64(0xFF), np.uint64(8), np.full(n, 1 << 56, np.uint64)
-    slots, zero = models.slots.ravel(), models.zero.ravel()
-    at_slot, at_zero = models.lane << ZERO, models.lane * models.rank
-    h1, h2a, h2b, mask2 = HASH1, HASH2A, HASH2B, (1 << ORDER2) - 1
-    table1, table2, at1, at2, at_row, least = models.table1, models.table2, models.at1, models.at2, models.at_row, counts.min()
-    one, before = past[1], h2b[past[0]]
-    for first, last in spans(longest):
-        e2s, e1s, e0s, w0s, us = (models.rows[:, i].astype(np.int64) for i in range(5))
-        parts = w0s.astype(np.float64)  # exact: both sides of the division are under 2 ** 26
+    @staticmethod
+    def follow(own: np.ndarray, at: np.ndarray, past: np.ndarray, table: np.ndarray, bit: int) -> np.ndarray:
+        """Whether what was named came; and the table names what came, or keeps a name of some confidence."""
+        key = past >> bit
+        known = key > 0
+        wrong = past ^ own.astype(np.int32)
+        wrong &= KNOWN
+        hit = wrong == 0
+        key += key
+        key += hit
+        wrong &= GOES.take(key, mode="clip")
+        named = past & KNOWN
+        named ^= wrong
+        named |= AFTER.take(key, mode="clip") << bit
+        table[at.ravel()] = named.ravel()  # the last of equal places stays
+        hit &= known
+        return hit
+
+    def steps(self, own: np.ndarray, t1: np.ndarray, t2: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size, of WHOLE, of each id."""
+        own, t1, t2, row = own.ravel(), t1.ravel(), t2.ravel(), row.ravel()
+        e2, e1, w0 = (x.take(row, mode="clip") for x in (self.e2, self.e1, self.w0))
+        part = self.often.take(own, mode="clip")
+        part *= w0
+        start = self.before.take(own, mode="clip")
+        start *= w0
+        start += e1
+        if len(k := np.flatnonzero(part == 0)):
+            u = self.u[row[k]]
+            start[k], part[k] = self.e0[row[k]] + own[k] * u, u
+        t1 = t1 ^ own
+        t1 &= KNOWN
+        k = np.flatnonzero((t1 == 0) & (e1 > e2))
+        start[k], part[k] = e2[k], e1[k] - e2[k]
+        t2 = t2 ^ own
+        t2 &= KNOWN
+        k = np.flatnonzero((t2 == 0) & (e2 > 0))
+        start[k], part[k] = 0.0, e2[k]
+        return start, part
+
+
+def spans(places: int) -> list[tuple[int, int]]:
+    """Places between renewals."""
+    ends = [x for x in (1, 2, 4, 8, 16, *range(RENEWED, places, RENEWED)) if x < places]
+    return list(zip([0, *ends], [*ends, places], strict=True))
+
+
+def shape(n: int) -> tuple[int, int]:
+    """Lanes and places of n ids."""
+    lanes = max(1, min(LANES, -(-n // PLACES)))
+    return lanes, -(-n // lanes)
+
+
+def looks(places: int, lanes: int) -> tuple[np.ndarray, ...]:
+    """Room for what ``Models.look`` says at some places."""
+    return tuple(np.empty((places, lanes), kind) for kind in (np.int64, np.int32, np.int32, np.int64))
+
+
+def encode_block(ids: np.ndarray) -> bytes:
+    """The coded body of a block."""
+    listed = np.zeros(0, "<u4")
+    own = ids.astype(np.int64)
+    if int(ids.max()) > KNOWN:
+        listed, own = np.unique(ids, return_inverse=True)
+    size = int(own.max()) + 1
+    if size > KNOWN + 1:
+        return ids.tobytes()  # as long as the ids: stored as they are
+    lanes, places = shape(len(ids))
+    past = np.zeros((places + 2, lanes), np.int64)  # two zeros go before a lane, and zeros fill the last
+    past[2:] = np.concatenate((own, np.zeros(lanes * places - len(own), np.int64))).reshape(lanes, places).T
+    models, seen = Models(size, False), looks(RENEWED, lanes)
+    low, width, step = np.zeros(lanes), np.full(lanes, LOW * DIGIT), np.empty(lanes)
+    shifted, digits = [np.zeros(0, np.int64)], [np.zeros(0)]  # by step: lanes, and the digits that left them
+
+    for first, last in spans(places):
+        for a in range(first, last, 4):
+            z = min(a + 4, last)
+            part = [x[a - first : z - first] for x in seen]
+            now = past[a + 2 : z + 2]
+            models.look(past[a + 1 : z + 1], past[a:z], *part)
+            starts, sizes = models.steps(now, *part[1:])
+            for start, size_ in zip(starts.reshape(now.shape), sizes.reshape(now.shape), strict=True):
+                np.multiply(width, 1 / WHOLE, out=step)
+                np.floor(step, out=step)
+                np.multiply(size_, step, out=width)
+                step *= start
+                np.add(low, step, out=low)
+                k = np.flatnonzero(width < LOW)
+                while len(k):
+                    x = low[k]
+                    d = np.floor(x * (1 / LOW))  # 16 bits and a carry
+                    shifted.append(k)
+                    digits.append(d)
+                    x -= d * LOW
+                    x *= DIGIT
+                    low[k] = x
+                    x = width[k]
+                    x *= DIGIT
+                    width[k] = x
+                    k = k[x < LOW]
+        if last < places:
+            models.note(past[first + 2 : last + 2], past[first + 1 : last + 1], *(x[: last - first] for x in seen))
+    low = np.ceil(low / DIGIT) * DIGIT  # a value within the range that ends in a digit of zeros
+    upper = np.floor(low / LOW)
+    return SHAPE.pack(lanes, size, len(listed)) + listed.astype("<u4").tobytes() + dealt(np.concatenate(shifted), np.concatenate(digits), upper, (low - upper * LOW) / DIGIT)
+
+
+def dealt(shifted: np.ndarray, digits: np.ndarray, upper: np.ndarray, lower: np.ndarray) -> bytes:
+    """Three digits a lane, then the others in the order in which decoding takes them.
+
+    Decoding shifts a lane's digit in where coding shifted one out, three digits later; the last are ``upper``, ``lower`` and a zero.
+    """
+    order = np.argsort(shifted.astype(np.uint16), kind="stable")
+    n = np.bincount(shifted, minlength=len(upper))
+    ends = np.cumsum(n + 3)
+    first = np.zeros(int(ends[-1]), bool)
+    for k in range(3):
+        first[ends - n - 3 + k] = True
+    lane = np.zeros(len(first), np.int64)
+    last = ends - 3
+    tail = np.zeros(len(first), bool)
+    for k in range(3):
+        tail[last + k] = True
+    lane[~tail] = digits[order]
+    lane[last], lane[last + 1] = upper, lower
+    while (carry := lane >> 16).any():  # carries go to the digit before
+        lane &= 0xFFFF
+        lane[:-1] += carry[1:]
+    rest = np.empty(len(digits), "<u2")
+    rest[order] = lane[~first]
+    return lane[first].astype("<u2").tobytes() + rest.tobytes()
+
+
+def decode_block(body: bytes, n: int) -> np.ndarray:
+    """The n ids of a coded body."""
+    lanes, size, n_listed = SHAPE.unpack_from(body)
+    listed = np.frombuffer(body, "<u4", n_listed, SHAPE.size)
+    digits = np.frombuffer(body, "<u2", offset=SHAPE.size + 4 * n_listed)
+    places = -(-n // lanes)
+    past = np.zeros((places + 2, lanes), np.int64)
+    models, seen = Models(size, True), looks(RENEWED, lanes)
+    first3 = digits[: 3 * lanes].astype(float).reshape(lanes, 3)
+    code, taken = (first3[:, 0] * DIGIT + first3[:, 1]) * DIGIT + first3[:, 2], 3 * lanes
+    width, r, slot, q, e1, w0, share, start, part = (np.full(lanes, LOW * DIGIT) for _ in range(9))
+    for first, last in spans(places):
         for t in range(first, last):
-            t1, t2 = table1.take(at1 + h1.take(one)), table2.take(at2 + ((h2a.take(one) + before) & mask2))
-            p1, p2 = t1 & 0xFFFF, t2 & 0xFFFF
-            row = at_row + ((t1 >> 16) + (t2 >> 16) + (p1 == p2))
-            e1, w0 = e1s.take(row), w0s.take(row)
-            r = width >> WHOLE
-            slot = (code // r).view(np.int64)
+            _, t1, t2, row = at = [x[t - first] for x in seen]
+            models.look(past[t + 1], past[t], *at)
+            for values, to in ((models.e1, e1), (models.w0, w0), (models.share, share)):
+                values.take(row, out=to, mode="clip")
+            np.multiply(width, 1 / WHOLE, out=r)
+            np.floor(r, out=r)
+            np.divide(code, r, out=slot)
+            np.floor(slot, out=slot)
+            np.subtract(slot, e1, out=q)
+            q /= share
             # beside order 0 this looks up some id or other, which is replaced below
-            rank = slots.take(at_slot + ((slot - e1) / parts.take(row)).astype(np.int64), mode="clip")
-            x = zero.take(at_zero + rank, mode="clip")
-            own, start, z = x & 0xFFFF, (x >> 16 & 0xFFFF) * w0 + e1, (x >> 32) * w0
-            if len(at := np.flatnonzero(slot >= e0s.take(row))):
-                e0, u = e0s[row[at]], us[row[at]]
-                own[at] = y = np.minimum((slot[at] - e0) // u, 0xFFFF)
-                start[at], z[at] = e0 + y * u, u
-            if len(at := np.flatnonzero(slot < e1)):
-                e2 = e2s[row[at]]
-                two = slot[at] < e2
-                own[at] = np.where(two, p2[at], p1[at])
-                start[at], z[at] = np.where(two, 0, e2), np.where(two, e2, e1[at] - e2)
-            if t >= least:
-                over = t >= counts
-                own[over], start[over], z[over] = 0, 0, 1 << (MIX + ZERO)
-            before, one = h2b.take(one), own
-            past[t + 2] = own
-            code -= start.view(np.uint64) * r
-            width = z.view(np.uint64) * r
-            while len(at := np.flatnonzero(width < LOW)):
-                d = flat[base[at] + np.minimum(where[at], words - 1)].astype(np.uint64)
-                code[at] = code[at] << DIGIT | due[at] << half | d >> half
-                due[at] = d & np.uint64(0xFF)
-                where[at] += 1
-                width[at] <<= DIGIT
-        if last < longest:
-            models.renew(past, first, last, counts, size)
-    return [past[2 : 2 + counts[k], k].astype("<u4") for k in range(n)]
+            rank = models.slots.take(q.astype(np.int64), mode="clip").astype(np.int64)
+            own = past[t + 2]
+            models.ranked.take(rank, out=own, mode="clip")
+            models.ranked_often.take(rank, out=part, mode="clip")
+            models.ranked_before.take(rank, out=start, mode="clip")
+            part *= w0
+            start *= w0
+            start += e1
+            if len(k := np.flatnonzero(q < 0)):  # named by order 2 or 1
+                e2 = models.e2.take(row[k])
+                k1, two = np.flatnonzero(slot[k] >= e2), t2[k]
+                ends, begins = e2.copy(), np.zeros(len(k))
+                at1 = k[k1]
+                two[k1], begins[k1], ends[k1] = t1[at1], e2[k1], e1[at1]
+                two &= KNOWN
+                own[k], start[k] = two, begins
+                ends -= begins
+                part[k] = ends
+            if len(k := np.flatnonzero(q >= 1 << ZERO)):  # uniform
+                e0, u = models.e0[row[k]], models.u[row[k]]
+                y = np.minimum(np.floor((slot[k] - e0) / u), size - 1.0)
+                own[k], start[k], part[k] = y, e0 + y * u, u
+            start *= r
+            code -= start
+            np.multiply(part, r, out=width)
+            k = np.flatnonzero(width < LOW)
+            while len(k):
+                x = code[k]
+                x *= DIGIT
+                x += digits[taken : taken + len(k)]
+                code[k] = x
+                taken += len(k)
+                x = width[k]
+                x *= DIGIT
+                width[k] = x
+                k = k[x < LOW]
+        if last < places:
+            models.note(past[first + 2 : last + 2], past[first + 1 : last + 1], *(x[: last - first] for x in seen))
+    ids = past[2:].T.ravel()[:n]
+    return (listed[ids] if n_listed else ids).astype("<u4")
 
 
 def pack_block(ids: np.ndarray, mode: int, body: bytes) -> bytes:
-    head = HEADER.pack(MAGIC, mode, len(ids), zlib.crc32(np.ascontiguousarray(ids, "<u4")), len(body), 0)
-    return HEADER.pack(MAGIC, mode, len(ids), zlib.crc32(np.ascontiguousarray(ids, "<u4")), len(body), zlib.crc32(body, zlib.crc32(head))) + body
+    fields = MAGIC, mode, len(ids), zlib.crc32(np.ascontiguousarray(ids, "<u4")), len(body)
+    return HEADER.pack(*fields, zlib.crc32(body, zlib.crc32(HEADER.pack(*fields, 0)))) + body
 
 
 def encode(ids: np.ndarray) -> list[bytes]:
-    """Blocks of up to ``BLOCK`` ids each.  Ids over 65535, and what coding would lengthen, are stored as they are."""
+    """Blocks of up to ``BLOCK`` ids each."""
     ids = np.ascontiguousarray(ids, "<u4")
-    blocks = [ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)]
-    small = [k for k, b in enumerate(blocks) if int(b.max()) < 1 << 16]
-    bodies: dict[int, bytes] = {}
-    for i in range(0, len(small), LANES):
-        some = small[i : i + LANES]
-        bodies |= zip(some, encode_lanes([blocks[k] for k in some]), strict=True)
     out = []
-    for k, b in enumerate(blocks):
-        body = bodies.get(k)
-        mode, body = (CODED, body) if body is not None and len(body) < 4 * len(b) else (RAW, b.tobytes())
-        out.append(pack_block(b, mode, body))
+    for i in range(0, len(ids), BLOCK):
+        block = ids[i : i + BLOCK]
+        body = encode_block(block)
+        out.append(pack_block(block, CODED, body) if len(body) < 4 * len(block) else pack_block(block, RAW, block.tobytes()))
     return out
 
 
@@ -289,7 +335,7 @@ class Corrupt(ValueError):
 
 def decode(data: bytes) -> np.ndarray:
     """The ids of consecutive blocks; raises Corrupt."""
-    found, at = [], 0
+    out, at = [np.zeros(0, "<u4")], 0
     while at < len(data):
         if len(data) - at < HEADER.size:
             raise Corrupt("a block's header is cut off")
@@ -297,18 +343,9 @@ def decode(data: bytes) -> np.ndarray:
         body = data[at + HEADER.size : at + HEADER.size + size]
         if magic != MAGIC or len(body) != size or zlib.crc32(body, zlib.crc32(HEADER.pack(magic, mode, n, crc, size, 0))) != total:
             raise Corrupt(f"the block at byte {at} fails its checksum")
-        found.append((mode, n, crc, body))
-        at += HEADER.size + size
-    out: list[np.ndarray] = [np.zeros(0, "<u4")] * len(found)
-    coded = [k for k, x in enumerate(found) if x[0] == CODED]
-    for k, (mode, _, _, body) in enumerate(found):
-        if mode == RAW:
-            out[k] = np.frombuffer(body, "<u4")
-    for i in range(0, len(coded), LANES):
-        some = coded[i : i + LANES]
-        for k, ids in zip(some, decode_lanes([found[k][3] for k in some], np.array([found[k][1] for k in some])), strict=True):
-            out[k] = ids
-    for (_, n, crc, _), ids in zip(found, out, strict=True):
+        ids = decode_block(body, n) if mode == CODED else np.frombuffer(body, "<u4")
         if len(ids) != n or zlib.crc32(np.ascontiguousarray(ids)) != crc:
             raise Corrupt("decoded ids fail their checksum")
-    return np.concatenate(out) if out else np.zeros(0, "<u4")
+        out.append(ids)
+        at += HEADER.size + size
+    return np.concatenate(out)

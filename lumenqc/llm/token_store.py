@@ -8,7 +8,9 @@ A file: the blocks of ``range_coder``; an Arrow stream of (id, n_tokens) a docum
 the blocks' length; a magic word.  A block holds ids of neighbouring documents and needs nothing outside itself.
 
 Special cases: a null text counts as empty and has the end id alone; rows that repeat an id keep one entry each, by
-text; null ids come first; an empty table makes no files and an empty result; other columns are ignored.
+text; null ids come first; a very long text is encoded whole and may fill several blocks of its file; texts of equal id come in
+their own order, equal ones in any; an empty table makes no files and an empty result; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -26,12 +28,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenqc.llm import range_coder, tokens
-from lumenqc.llm.common import lots, new_path, written
+from lumenqc.llm.common import new_path, written
 
 FOOTER = struct.Struct("<QQI8s")  # bytes of blocks, bytes of the index, crc of the index, magic
 MAGIC = b"LQTOKEN1"
-#: Ids after which a task begins a new file: one set of blocks coded in step.
-FILE_IDS = range_coder.LANES * range_coder.BLOCK
+#: Ids after which a task begins a new file.
+FILE_IDS = 4 * range_coder.BLOCK
 
 
 def file_bytes(ids: list[np.ndarray], keys: pa.Array) -> bytes:
@@ -87,15 +89,13 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
             made.append((name, len(ids), size))
 
         for batch in batches:
-            at = 0
-            for lot in lots(batch.column(1).to_pylist()):
-                for x in encode(lot):
-                    if size and size + len(x) + 1 > FILE_IDS:
-                        close()
-                        ids, keys, size = [], [], 0
-                    ids.append(np.concatenate((x, end)))
-                    keys.append(batch.column(0).slice(at, 1))
-                    size, at = size + len(x) + 1, at + 1
+            for at, x in enumerate(encode(batch.column(1))):
+                if size and size + len(x) + 1 > FILE_IDS:
+                    close()
+                    ids, keys, size = [], [], 0
+                ids.append(np.concatenate((x, end)))
+                keys.append(batch.column(0).slice(at, 1))
+                size += len(x) + 1
         if ids:
             close()
         yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.string()), *(pa.array([m[i] for m in made], pa.int64()) for i in (1, 2))], names=["file", "n_docs", "n_tokens"])

@@ -1,26 +1,44 @@
 """Whole texts to ids with the tokenizers library.
 
 The tokenizer's normaliser turns white space into one space and its pre-tokenizer never joins across it, so
-the ids of a text are those of its space-separated chunks in order.  Each worker therefore encodes a chunk once
-and keeps its ids; what it keeps is bounded.  Holds for tokenizers of that kind, which ``splits_at_space`` checks.
+the ids of a text are those of its chunks between white space in order (``splits_at_space`` checks the file for that).
+Arrow cuts texts into chunks and numbers the distinct ones; each worker keeps the ids of the chunks that it has met,
+and what it keeps is bounded; a text's ids are then gathered by number.
+
+Of a new chunk in Latin-1 letters, digits and marks the pieces are found here, by the file's own pattern on the lower-cased
+chunk (``plain_pieces`` checks the file for that); the library's byte-pair model then encodes distinct pieces alone, without
+normalising and cutting them once more.  Any other chunk goes through the whole tokenizer.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
+import os
+import re
+from collections.abc import Iterator
 
 import numpy as np
-
-#: Chunks that a worker keeps; beyond, it starts anew.
-CACHE = 1_000_000
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Chunks and pieces that a worker keeps; beyond, it starts anew.  Pieces are fewer and cost more to encode again.
+CACHE, PIECE_CACHE = 400_000, 1_200_000
+#: Bytes of text that are encoded at once.
+LOT = 4_000_000
+#: The normaliser and the pattern of pieces that ``plain_pieces`` looks for.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: The same in Latin-1, and blanks; and what chunks may not hold: other than visible characters that lower-casing keeps there and composition leaves alone.
+LETTERS, NUMERALS = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾"
+PIECES = re.compile(f"\x20|'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMERALS}]|[^\\s{LETTERS}{NUMERALS}]+")
+HARD = re.compile("[^\x20-~¡-¬®-ÿ]")
 
 _encoders: dict[str, "Encoder"] = {}
 
 
-def splits_at_space(path: str) -> bool:
+def splits_at_space(spec: dict) -> bool:
     """Whether the file's pre-tokenizer drops white space and its tokens can't hold any."""
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
     steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
     return (
         bool(steps)
@@ -31,64 +49,138 @@ def splits_at_space(path: str) -> bool:
     )
 
 
-def chunks(text: str | None) -> list[str]:
-    """``text`` cut at white space, but not at the four separators that Python alone counts as such."""
-    if not text:
-        return []
-    if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
-        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-    return text.split()
+def plain_pieces(spec: dict) -> bool:
+    """Whether the file lower-cases, cuts by ``PATTERN`` and marks the end of each piece."""
+    steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+    return (
+        (spec["normalizer"] or {}).get("normalizers") == NORMALIZERS
+        and [x["type"] for x in steps] == ["Split", "ByteLevel"] and steps[0]["pattern"] == {"Regex": PATTERN} and not steps[1]["use_regex"]
+        and spec["model"]["type"] == "BPE" and bool(spec["model"]["end_of_word_suffix"]) and not spec["model"]["continuing_subword_prefix"]
+    )
+
+
+class Ragged:
+    """Numbered rows of ids, to which rows are added; gathered by number."""
+
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+        self.flat, self.ends = np.zeros(1 << 16, np.uint32), np.zeros((1 << 12) + 1, np.int64)
+
+    def add(self, keys: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        n, used = len(self.number), int(self.ends[len(self.number)])
+        while used + len(ids) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        while n + len(keys) >= len(self.ends):
+            self.ends = np.concatenate((self.ends, np.zeros_like(self.ends)))
+        self.flat[used : used + len(ids)] = ids
+        self.ends[n + 1 : n + 1 + len(keys)] = ends + used
+        self.number.update(zip(keys, range(n, n + len(keys)), strict=True))
+
+    def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows' ids, one after the other, and the end of each row."""
+        begin = self.ends[rows]
+        n = self.ends[rows + 1] - begin
+        ends = np.cumsum(n)
+        at = np.arange(int(ends[-1]) if len(ends) else 0)
+        at += np.repeat(begin - ends + n, n)
+        return self.flat[at], ends
 
 
 class Encoder:
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.by_chunk = splits_at_space(path)
-        self.known: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as f:
-            self.special = {x["content"]: x["id"] for x in json.load(f)["added_tokens"] if x["special"]}
-
-    def plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            spec = json.load(f)
+        self.special = {x["content"]: x["id"] for x in spec["added_tokens"] if x["special"]}
+        self.by_chunk = splits_at_space(spec)
+        self.known, self.pieces, self.bare = Ragged(), Ragged(), None
+        if self.by_chunk and plain_pieces(spec):
+            self.bare = Tokenizer.from_file(path)
+            self.bare.normalizer = normalizers.Sequence([])
+            self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.bare.model._resize_cache(0)  # its pieces are distinct
+            end = spec["model"]["end_of_word_suffix"]
+            self.ending = np.array([t.endswith(end) for t, _ in sorted(spec["model"]["vocab"].items(), key=lambda x: x[1])] + [False] * len(spec["added_tokens"]))
+
+    def plain(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, chunks: list[str]) -> None:
-        """Keeps the ids of ``chunks``.  A hundred are encoded as one text, with a special token between two."""
-        mark = next(iter(self.special), None)
-        odd = [c for c in chunks if mark is None or any(x in c for x in self.special)]
-        self.known.update(zip(odd, self.plain(odd), strict=True))
-        rest = [c for c in chunks if c not in self.known]
-        lots = [rest[i : i + 100] for i in range(0, len(rest), 100)]
-        for lot, line in zip(lots, self.plain([mark.join(lot) for lot in lots]) if mark else (), strict=True):
-            ends = 4 * np.flatnonzero(np.frombuffer(line, "<u4") == self.special[mark])
-            for c, a, b in zip(lot, [0, *(ends + 4).tolist()], [*ends.tolist(), len(line)], strict=True):
-                self.known[c] = line[a:b]
-
-    def ids(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The ids of each text as unsigned 32-bit integers; null counts as empty."""
+        """Keeps the ids of new, distinct chunks."""
+        line, odd = " ".join(chunks), []
+        if self.bare is None:
+            odd, chunks = chunks, []
+        elif HARD.search(line) or any(x in line for x in self.special):
+            odd = [c for c in chunks if HARD.search(c) or any(x in c for x in self.special)]
+            skipped = set(odd)
+            chunks = [c for c in chunks if c not in skipped]
+            line = " ".join(chunks)
+        if odd:
+            made = self.plain(odd)
+            self.known.add(odd, np.concatenate(made), np.cumsum([len(x) for x in made]))
+        if not chunks:
+            return
+        found = pa.array(PIECES.findall(line.lower() + " ")).dictionary_encode()
+        numbers = self.numbered(self.pieces, found.dictionary.to_pylist(), self.learn_pieces)
+        ids, ends = self.pieces.gather(numbers[found.indices.to_numpy()])
+        blank = found.dictionary.index(" ").as_py()
+        self.known.add(chunks, ids, ends[found.indices.to_numpy() == blank])
+
+    def learn_pieces(self, pieces: list[str]) -> None:
+        """Keeps the ids of new, distinct pieces; each ends in an id that says so.  The blank between chunks has none."""
+        if " " in pieces:
+            self.pieces.add([" "], np.zeros(0, np.uint32), np.zeros(1, np.int64))
+            pieces = [p for p in pieces if p != " "]
+        lots = [pieces[i : i + 500] for i in range(0, len(pieces), 500)]
+        for lot, e in zip(lots, self.bare.encode_batch_fast([" ".join(x) for x in lots], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            ends = np.flatnonzero(self.ending[ids]) + 1
+            if len(ends) != len(lot):
+                raise ValueError("a piece doesn't end in one id that ends words")
+            self.pieces.add(lot, ids, ends)
+
+    def numbered(self, store: Ragged, keys: list[str], learn) -> np.ndarray:
+        """The keys' numbers in ``store``, which learns those that it lacks."""
+        got = np.array(list(map(store.number.get, keys, itertools.repeat(-1))), np.int64)
+        lacking = np.flatnonzero(got < 0)
+        if len(lacking):
+            new = [keys[k] for k in lacking.tolist()]
+            learn(new)
+            got[lacking] = list(map(store.number.__getitem__, new))
+        return got
+
+    def flat_ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts and where each text's end; null counts as empty."""
+        texts = pc.fill_null(texts, "")
         if not self.by_chunk:
-            return [np.frombuffer(x, "<u4") for x in self.plain([t or "" for t in texts])]
-        out: list[np.ndarray] = []
-        for at in range(0, len(texts), 64):
-            if len(self.known) > CACHE:
-                self.known.clear()
-            split = list(map(chunks, texts[at : at + 64]))
-            found = [list(map(self.known.get, x)) for x in split]
-            gaps = [k for k, x in enumerate(found) if None in x]
-            if gaps:
-                self.learn(list({c for k in gaps for c, v in zip(split[k], found[k], strict=True) if v is None}))
-                for k in gaps:
-                    found[k] = list(map(self.known.__getitem__, split[k]))
-            out += [np.frombuffer(b"".join(x), "<u4") for x in found]
-        return out
+            made = self.plain(texts.to_pylist())
+            return np.concatenate([np.zeros(0, np.uint32), *made]), np.cumsum([len(x) for x in made])
+        for store, most in ((self.known, CACHE), (self.pieces, PIECE_CACHE)):
+            if len(store.number) > most:
+                store.__init__()
+        words = pc.ascii_split_whitespace(texts)
+        found = words.flatten().dictionary_encode()
+        ids, ends = self.known.gather(self.numbered(self.known, found.dictionary.to_pylist(), self.learn)[found.indices.to_numpy()])
+        last = np.cumsum(pc.list_value_length(words).to_numpy())
+        return ids, np.concatenate((np.zeros(1, np.int64), ends))[last]
+
+    def ids(self, texts: pa.Array | list[str | None]) -> Iterator[np.ndarray]:
+        """The ids of each text as unsigned 32-bit integers."""
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.string())
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy()
+        lot = np.cumsum(sizes, dtype=np.int64) // LOT
+        cuts = [0, *(np.flatnonzero(np.diff(lot)) + 1).tolist(), len(texts)]
+        for a, b in zip(cuts, cuts[1:]):
+            ids, ends = self.flat_ids(texts.slice(a, b - a))
+            yield from np.split(ids, ends[:-1]) if b > a else ()
 
 
 def encoder(path: str) -> Encoder:
     """One encoder a file in each Python worker."""
     if path not in _encoders:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         _encoders[path] = Encoder(path)
     return _encoders[path]

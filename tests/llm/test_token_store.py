@@ -9,12 +9,13 @@ from tokenizers import Tokenizer
 
 from lumenqc.llm import range_coder as c
 from lumenqc.llm import token_store as s
+from lumenqc.llm import tokens
 
 TOKENIZER = path("word_bpe_49k.json")
 
 
 @settings(max_examples=40, deadline=None)
-@given(st.lists(st.integers(0, 70_000), max_size=300))
+@given(st.lists(st.one_of(st.integers(0, 70_000), st.integers(0, (1 << 32) - 1)), max_size=300))
 def test_round_trip_of_any_ids(ids):
     ids = np.array(ids, "<u4")
     assert c.decode(b"".join(c.encode(ids))).tolist() == ids.tolist()
@@ -31,7 +32,8 @@ def test_round_trip_of_long_and_regular_ids():
     assert len(b"".join(c.encode(np.tile(np.array([5, 6, 7, 8, 9], "<u4"), 9000)))) < 9000
 
 
-def test_blocks_stand_alone_and_damage_is_seen():
+def test_blocks_stand_alone_and_damage_is_seen(monkeypatch):
+    monkeypatch.setattr(c, "BLOCK", 16_384)
     ids = np.random.default_rng(2).integers(0, 900, 40_000).astype("<u4")
     blocks = c.encode(ids)
     assert len(blocks) == 3
@@ -66,3 +68,26 @@ def test_ids_come_back(spark, tmp_path):
     back = s.read_tokens(spark, folder, files, with_ids=True).collect()
     t = Tokenizer.from_file(TOKENIZER)
     assert {r.doc_id: r.ids for r in back} == {i: [*t.encode(f"text {i} of many", add_special_tokens=False).ids, 2] for i in range(50)}
+
+
+def test_large_ids_are_coded_too():
+    ids = np.random.default_rng(3).geometric(0.01, 100_000).astype("<u4") * 40_000_000 // 7
+    assert (c.decode(b"".join(blocks := c.encode(ids))) == ids).all()
+    assert blocks[0][4] == c.CODED and len(blocks[0]) < 1.2 * len(ids)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(st.one_of(st.characters(max_codepoint=0x250), st.sampled_from(" \n's'TLL<|\u0301\u00a0\x1c😀日Σ")), max_size=40), max_size=5))
+def test_encoder_against_the_whole_tokenizer(texts):
+    texts += ["<|endoftext|> a<|startoftext|>b <|end", "'s 'Tis we'llx CAFÉ ½x²", "x\x85y\xadz 'LL"]
+    want = Tokenizer.from_file(TOKENIZER).encode_batch(texts, add_special_tokens=False) if texts else []
+    assert [x.tolist() for x in tokens.encoder(TOKENIZER).ids(texts)] == [x.ids for x in want]
+
+
+def test_encoder_begins_anew_when_it_holds_much(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE", 10)
+    monkeypatch.setattr(tokens, "PIECE_CACHE", 12)
+    monkeypatch.setattr(tokens, "LOT", 50)
+    texts = [None, *(f"word{i} and other{i % 7}, WORD{i}" for i in range(60)), ""]
+    t = Tokenizer.from_file(TOKENIZER)
+    assert [x.tolist() for x in tokens.Encoder(TOKENIZER).ids(texts)] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
