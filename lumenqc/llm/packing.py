@@ -10,23 +10,26 @@ Spark makes the pieces, counts lengths by task, ranks each piece within its leng
 over a length, which may hold a third of all rows) and looks its place up in the plan.
 
 Special cases: a null text counts as empty, so its document is the end id alone; repeated rows and ids are packed
-each; very long texts are cut; an empty table gives an empty result; other columns are ignored.
+each; very long texts are cut; pieces of one length are alike to the plan, so ties between them fall as the pieces were met;
+an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenqc.llm import tokens
-from lumenqc.llm.common import lots, written
+from lumenqc.llm.common import written
 
 
 @dataclass
@@ -129,10 +132,10 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_
         seen = np.zeros(capacity + 1, np.int64)
         end = np.array([end_id], "<u4")
         for batch in batches:
-            done = 0
-            for lot in lots(batch.column(1).to_pylist()):
+            found = enumerate(encode(batch.column(1)))
+            while lot := list(itertools.islice(found, 500)):
                 which, piece, start, length, crc, rank, cuts = [], [], [], [], [], [], []
-                for k, ids in enumerate(encode(lot), done):
+                for k, ids in lot:
                     ids = np.concatenate((ids, end))
                     for p, at in enumerate(range(0, len(ids), capacity)):
                         cut = ids[at : at + capacity]
@@ -144,7 +147,6 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_
                         rank.append(seen[len(cut)])
                         seen[len(cut)] += 1
                         cuts.append(cut)
-                done += len(lot)
                 held = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *length]), pa.int32()), pa.array(np.concatenate(cuts).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(which, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc)), pa.array([task] * len(which), pa.int32()), pa.array(rank, pa.int64()), held],
@@ -164,16 +166,18 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
     made = plan(counts, capacity)
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # a row a task
     firsts = by_task.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    ranked = cut.join(firsts, ["length", "task"]).select(id_col, "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("first")).alias("rank"), "ids")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            length, rank = (batch.column(i).to_numpy(zero_copy_only=False) for i in (3, 5))
-            sequence, offset = np.empty_like(rank), np.empty_like(rank)
-            order = np.argsort(length, kind="stable")
-            for at in np.split(order, np.flatnonzero(np.diff(length[order])) + 1):
-                if len(at):
-                    sequence[at], offset[at] = made.place(int(length[at[0]]), rank[at])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset), batch.column(6)], names=[*batch.schema.names[:5], "sequence_id", "offset", "ids"])
-
-    return ranked.mapInArrow(run, f"`{id_col}` {cut.schema[id_col].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, ids array<int>")
+    # a row a length and task, so firsts grow with the pieces: shuffled, never broadcast
+    ranked = cut.join(firsts.hint("merge"), ["length", "task"]).withColumn("rank", F.col("rank") + F.col("first"))
+
+    def placed(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
+        lengths, ranks = length.to_numpy(), rank.to_numpy()
+        out = np.zeros((2, len(lengths)), np.int64)
+        order = np.argsort(lengths, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1):
+            if len(at):
+                out[:, at] = made.place(int(lengths[at[0]]), ranks[at])
+        return pd.DataFrame({"sequence_id": out[0], "offset": out[1]})
+
+    # only lengths and ranks go to Python; ids stay where they are, or aren't read if they aren't asked for
+    place = F.pandas_udf(placed, "sequence_id long, offset long")
+    return ranked.withColumn("place", place("length", "rank")).select(id_col, "piece", "start", "length", "ids_crc32", "place.sequence_id", "place.offset", "ids")
