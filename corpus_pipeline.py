@@ -1,4 +1,11 @@
-"""Corpus pipeline: documents to packed training sequences, in stages that are each written and read again."""
+"""Corpus pipeline: documents to packed training sequences, in stages that are each written and read again.
+
+Special cases: a null text or one without a letter is of no language and goes; very long texts are read whole by every stage and cut
+by packing alone; rows that repeat an id are one document: they are kept or dropped together as a near-duplicate and by the
+benchmark, and packed each; of near-duplicates the smallest id stays, so copies that tie leave one; a row without an id can't be
+named, so only its language can drop it; an empty table gives an empty result; further columns go along to the last stage,
+whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +13,7 @@ from public_tokenizers import path as tokenizer_file
 from pyspark.sql import DataFrame, SparkSession
 
 from lumenqc.llm import decontam, language, packing, secret_scan, simhash
-from lumenqc.llm.common import table, written
+from lumenqc.llm.common import discard, new_path, table, written
 
 #: A document goes if no language takes at least this share of the likelihood, or if it has no letter.
 LEAST_SCORE = 0.5
@@ -54,8 +61,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over the table documents."""
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage over the table documents.  A stage's table is deleted once the next one is written."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = new_path(spark, name.replace(" ", "-"))
+        docs = written(stage(spark, docs, sf_dir), name, path)
+        if last:
+            discard(spark, last)
+        last = path
     return docs

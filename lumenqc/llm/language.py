@@ -13,7 +13,8 @@ id hashes under max_rows / rows.  Prediction reads every text whole.
 
 Special cases: a null text, or one without a letter, is ``und`` with score 0; ties take the first language by
 name; rows of null text or language teach nothing; with nothing to learn from, every row is ``und``; repeated rows
-repeat their result; an empty table gives an empty result; other columns are ignored.
+repeat their result; very long texts are scored whole; an empty table gives an empty result; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ class Vocabulary:
         pieces = {sp.id_to_piece(i): i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i))}
         self.size = sp.get_piece_size()
         self.unknown, self.none = self.size, self.size + 1  # a character that is no piece; no piece at all
-        self.longest = min(16, max(map(len, pieces)))
+        self.longest = max(map(len, pieces))
         self.lengths = np.ones(self.size + 2)
         keys, ids = [], []
         for n in range(1, self.longest + 1):

@@ -8,7 +8,9 @@ however many rows there are.  The list is emitted as one ordered conditional exp
 
 Special cases: a null text has no words; texts without words have statistics of zero and fail the base rule;
 rows without labels are judged like others; null or repeated labels are ignored or count once each; without
-bad labelled rows the list is empty and only the base rule decides; an empty table gives an empty result.
+bad labelled rows the list is empty and only the base rule decides; of conditions of equal gain the first by feature and
+threshold is taken; very long texts are counted whole, by array functions over their words; repeated rows repeat their
+result; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

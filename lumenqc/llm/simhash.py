@@ -8,12 +8,17 @@ bits and three bits allowed, one segment differs in at most one bit, so balls of
 Of a pair that differs in one bit of a segment exactly one side has a zero there, so probing only the flips of zero bits
 finds the pair from that side, and the probes are half as many.
 
+A segment value that many nodes share is indexed further: the other bits are cut into one part more than bits may differ, so
+two linked nodes agree in one of these parts, and only nodes that do are compared.
+
 Links go to connected components by alternating large-star and small-star rounds; each round is written to the
 shared folder.  Nothing is collected.
 
 Special cases: a null or blank text has fingerprint zero and links like any other; a text under three words
-is one shingle; repeated rows share a fingerprint; a null id has a component but never names one; an empty table
-gives an empty result; other columns are ignored.
+is one shingle; a very long text is hashed whole, in bounded memory; a bit that is set in just half the shingles is 0; repeated
+rows share a fingerprint; a null id has a component but never names one; an empty table
+gives an empty result; other columns are ignored, whatever their names.  Components that aren't found in ``max_rounds`` rounds,
+whose number grows with the logarithm of the longest chain, raise an error.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenqc.llm.common import written
+from lumenqc.llm.common import discard, new_path, without, written
 
 SEED = 42
 
@@ -64,8 +69,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return kept.mapInArrow(run, f"`{id_col}` {kept.schema[id_col].dataType.simpleString()}, fp long")
 
 
-def links(nodes: DataFrame, max_bits: int = 3, segments: int = 2) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of fingerprints in ``nodes.fp`` (each once) that differ in 1 to max_bits bits."""
+def links(nodes: DataFrame, max_bits: int = 3, segments: int = 2, common: int = 256) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of fingerprints in ``nodes.fp`` (each once) that differ in 1 to max_bits bits.
+
+    Segment values of more than ``common`` nodes are joined by a part of the other bits as well.
+    """
     radius = max_bits // segments
     if radius > 1 or 64 % segments:
         raise ValueError("segments must divide 64, and max_bits // segments be 0 or 1")
@@ -73,21 +81,37 @@ def links(nodes: DataFrame, max_bits: int = 3, segments: int = 2) -> DataFrame:
     mask = (1 << bits) - 1 if bits < 64 else -1
     parts = F.array(*(F.struct(F.lit(i).alias("seg"), F.shiftrightunsigned("fp", i * bits).bitwiseAND(F.lit(mask)).alias("v")) for i in range(segments)))
     index = nodes.select("fp", F.explode(parts).alias("s")).select("s.seg", "s.v", "fp")
+    hot = written(index.groupBy("seg", "v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > common).select("seg", "v"), "hot-segments")
     ball = index.select(F.col("fp").alias("a"), "seg", "v", F.lit(False).alias("flipped"))
     if radius:
         flips = F.expr(f"explode(transform(filter(sequence(0, {bits - 1}), b -> (v & shiftleft(1L, b)) = 0), b -> v | shiftleft(1L, b)))")
         ball = ball.unionByName(index.select(F.col("fp").alias("a"), "seg", flips.alias("v"), F.lit(True).alias("flipped")))
+    keys, index = ["seg", "v"], index.withColumnRenamed("fp", "b")
+    if hot.isEmpty():
+        met = ball.join(index, keys)
+    else:
+
+        def finer(rows: DataFrame, fp: str) -> DataFrame:
+            """Rows of common segment values, one for each part of the other bits."""
+            turned = F.expr(" ".join(["CASE seg", *(f"WHEN {i} THEN shiftrightunsigned({fp}, {i * bits}) | shiftleft({fp}, {64 - i * bits})" for i in range(segments)), "END"]))
+            width = -(-(64 - bits) // (max_bits + 1))
+            part = F.posexplode(F.array(*(F.shiftrightunsigned(turned, bits + k * width).bitwiseAND(F.lit((1 << width) - 1)) for k in range(max_bits + 1))))
+            return rows.join(hot, keys, "left_semi").select("*", part.alias("part", "value"))
+
+        met = ball.join(hot, keys, "left_anti").join(index.join(hot, keys, "left_anti"), keys)
+        met = met.unionByName(finer(ball, "a").join(finer(index, "b"), [*keys, "part", "value"]).drop("part", "value"))
     return (
-        ball.join(index.withColumnRenamed("fp", "b"), ["seg", "v"])
-        .where((F.col("flipped") | (F.col("a") < F.col("b"))) & F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).between(1, max_bits))
+        met.where((F.col("flipped") | (F.col("a") < F.col("b"))) & F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).between(1, max_bits))
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
     )
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of ``edges`` (a, b); root is the smallest node that it reaches."""
-    edges, seen = written(edges.select("a", "b"), "edges"), None
+    """(node, root) for every node of ``edges`` (a, b); root is the smallest node that it reaches.  Earlier rounds are deleted."""
+    spark, seen = edges.sparkSession, None
+    path = new_path(spark, "edges")
+    edges = written(edges.select("a", "b"), "edges", path)
     for _ in range(max_rounds):
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -95,7 +119,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         down = large.select(F.greatest("m", "w").alias("u"), F.least("m", "w").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("x"), "m"), F.struct(F.col("u").alias("x"), "m"))).alias("e")).select(F.col("e.m").alias("a"), F.col("e.x").alias("b"))
-        edges = written(small.where("a <> b").distinct(), "edges")
+        last, path = path, new_path(spark, "edges")
+        edges = written(small.where("a <> b").distinct(), "edges", path)
+        discard(spark, last)
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == seen:
             break
@@ -120,6 +146,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Rows that repeat an id are one document and stay together; rows without an id stay, as no group can name them.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    first = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return docs.join(first, id_col, "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    found = near_duplicates(docs, id_col, text_col).where(F.col(id_col).isNotNull())
+    gone = found.groupBy(id_col).agg(F.bool_or(F.col(id_col) == F.col("component_id")).alias("first")).where("not first")
+    return without(docs, gone, id_col)

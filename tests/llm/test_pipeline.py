@@ -68,3 +68,20 @@ def test_the_ids_come_out(spark):
     docs = spark.createDataFrame([(1, "the house"), (2, None)], "doc_id long, text string")
     ids = {r.doc_id: r.ids for r in c.best_fit_packing(spark, docs, "").collect()}
     assert ids == {1: [*Tokenizer.from_file(path("word_bpe_49k.json")).encode("the house", add_special_tokens=False).ids, 1], 2: [1]}
+
+
+def test_odd_rows_and_empty_tables_go_through(spark, tmp_path, docs, none):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, start string, ids string, task int, not_first string"
+    for name, rows in (("odd", docs), ("none", none)):
+        folder = f"{tmp_path}/{name}"
+        made = rows.selectExpr("doc_id", "text", "cast(null as string) lang", "'s' source", "1L n_chars", "start", "'i' ids", "3 task", "'n' not_first")
+        assert made.schema.simpleString() == spark.createDataFrame([], schema).schema.simpleString()
+        made.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(1, "no such passage"), (2, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    named = [r for r in rows if r[0] is not None]
+    least = smallest([i for i, _ in named], [plain(t) for _, t in named])
+    got = sorted((r.doc_id for r in c.run(spark, f"{tmp_path}/odd").where("piece = 0").collect()), key=str)
+    assert got == sorted([i for i, _ in rows if i is None or least[i] == i], key=str)
+    assert got.count(1) == 2
+    assert c.run(spark, f"{tmp_path}/none").count() == 0

@@ -81,3 +81,20 @@ def test_odd_rows(docs, none):
     kept = s.keep_one(docs).collect()
     assert sorted(r.doc_id for r in kept if r.doc_id is not None and r.doc_id < 5) == [1, 1, 2]
     assert sum(r.doc_id is None for r in kept) == 1
+
+
+def test_common_segments_are_joined_by_finer_parts(spark):
+    rng = random.Random(5)
+    low, high = rng.getrandbits(32), rng.getrandbits(32)
+    values = {low | rng.getrandbits(32) << 32 for _ in range(150)} | {rng.getrandbits(32) | high << 32 for _ in range(150)}
+    for v in list(values):  # near ones: bits change in both halves
+        for _ in range(2):
+            for k in rng.sample(range(64), rng.choice([1, 2, 3, 4])):
+                v ^= 1 << k
+            values.add(v)
+    signed = sorted(v - (1 << 64) if v >> 63 else v for v in values)
+    nodes = spark.createDataFrame([(v,) for v in signed], "fp long")
+    want = {(a, b) for i, a in enumerate(signed) for b in signed[i + 1 :] if 1 <= ((a ^ b) & (1 << 64) - 1).bit_count() <= 3}
+    assert len(want) > 100
+    for segments in (2, 4):
+        assert {(r.a, r.b) for r in s.links(nodes, segments=segments, common=20).collect()} == want
