@@ -41,14 +41,6 @@ def survival_score(survival: Column, largest: Column) -> Column:
     return clamp(100.0 * survival * (1.0 - 0.55 * largest))
 
 
-def is_candidate(survival: Column, wiped: Column, largest: Column, share: Column, n_lost: Column, evidence: Column, confidence: Column) -> Column:
-    """Whether so much is gone that the loss is suspected.  Fixed values: four ways of losing much."""
-    return (
-        ((largest >= 0.18) & (n_lost >= 4) & (wiped >= 0.12) & (survival <= 0.88)) | ((largest >= 0.28) & (n_lost >= 6) & (survival <= 0.92))
-        | ((share >= 0.30) & (largest >= 0.15) & (wiped >= 0.18)) | ((confidence == "HIGH") & (survival <= 0.74) & (wiped >= 0.20) & (evidence >= 400))
-    )
-
-
 def verified(c, seen: Column, missing: Column, agreeing: Column, confirmed_cells: Column, n_lost: Column) -> dict[str, Column]:
     """A suspected loss after a second model's look.
 

@@ -808,7 +808,7 @@ def losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
     return told.withColumns({
         "foreground_survival_score": spatial.survival_score(c("survival"), c("largest_missing_region_ratio")),
-        "candidate": spatial.is_candidate(c("survival"), 1 - c("survival"), c("largest_missing_region_ratio"), c("lost_cell_frac"), c("n_lost_cells"), F.lit(16), c("conf")),
+        "candidate": gates.large_loss(c("largest_missing_region_ratio"), c("n_lost_cells"), c("lost_cell_frac"), 1 - c("survival"), c("survival"), c("conf"), F.lit(16)),
     })
 
 
@@ -891,3 +891,116 @@ def flip_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = F.when(F.col("o_orderstatus") == "F", "pass").when(F.col("o_orderstatus") == "O", "second_pass").otherwise("review")
     both = read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", old.alias("was"), banded(F.col("o_totalprice") / 5000).alias("now"))
     return analytics.flips(both, "was", "now", "review", "pass", [F.desc("o_totalprice"), F.col("o_orderkey")]).select("o_orderkey", "o_totalprice")
+
+
+def _drawn(k: int, n: int, scale: float) -> str:
+    """A stand-in measurement of a line, as SQL of either engine: n values from 0, a ``scale`` apart."""
+    return f"(CAST((l_orderkey * {k} + l_linenumber * 5 + l_suppkey) % {n} AS DOUBLE) * CAST({scale} AS DOUBLE))"
+
+
+CUTOUT = {"fog_of_fg": _drawn(3, 11, 0.1), "solid_of_fg": _drawn(7, 10, 0.1), "visibility": _drawn(2, 19, 5.0), "solid_std": _drawn(5, 8, 3.0), "near_white_in_solid": _drawn(11, 11, 0.1), "edge_band_frac": _drawn(13, 9, 0.06), "edge_band_mean_alpha": _drawn(17, 13, 12.0), "roi_solid_fill": _drawn(19, 7, 0.15)}
+STUDIO = {
+    "product_visibility": _drawn(3, 17, 5.0), "product_mean": _drawn(7, 14, 19.3), "product_std": _drawn(2, 9, 2.5), "studio_roi_fill": _drawn(5, 8, 0.1), "light_grey_frac": _drawn(11, 12, 0.09), "dark_frac": _drawn(13, 6, 0.02),
+    "n_dark_components": _drawn(17, 11, 1.0), "main_dark_frac": _drawn(19, 13, 0.08), "n_dark_tiny": _drawn(23, 15, 1.0), "edge_inner_light_frac": _drawn(29, 10, 0.07), "bg_dirty_frac": _drawn(31, 5, 0.02), "bg_shadow_frac": _drawn(37, 5, 0.015),
+}
+EVIDENCE = {"evidence_pixels": _drawn(3, 13, 60.0), "soft_pixels": _drawn(7, 9, 45.0), "overlap": _drawn(2, 10, 0.07), "structured_evidence_frac": _drawn(5, 11, 0.08), "prior_frac": _drawn(11, 8, 0.08), "prior_shadow_excluded": _drawn(13, 6, 0.03)}
+INTEGRITY = {
+    "prior_wipe_frac": _drawn(3, 11, 0.05), "texture_ratio": _drawn(7, 13, 0.1), "edge_energy_ratio": _drawn(2, 12, 0.11), "strong_edge_keep": _drawn(5, 11, 0.1), "mid_prior_wipe": _drawn(11, 7, 0.09), "dark_prior_wipe": _drawn(13, 7, 0.06),
+    "prior_kept_frac": _drawn(17, 11, 0.1), "whiteout_frac": _drawn(19, 9, 0.05), "blown_frac": _drawn(23, 8, 0.045), "foreground_survival_score": _drawn(29, 12, 9.5),
+}
+SAID_SQL = "SELECT bads, warns, posits, count(*) AS n FROM s GROUP BY ALL"
+
+
+def _lines_sql(measures: dict[str, str]) -> str:
+    return f"m AS (SELECT l_linenumber = 1 AS difficult, l_linenumber % 3 AS kind, {', '.join(f'{v} AS {k}' for k, v in measures.items())} FROM lineitem)"
+
+
+def _lines(spark: SparkSession, sf_dir: str, measures: dict[str, str]) -> DataFrame:
+    return read(spark, sf_dir, "lineitem").select((F.col("l_linenumber") == 1).alias("difficult"), (F.col("l_linenumber") % 3).alias("kind"), *(F.expr(v).alias(k) for k, v in measures.items()))
+
+
+def _said(told: DataFrame, made: dict[str, Column]) -> DataFrame:
+    kinds = ("bads", "warns", "posits")
+    return told.select(*(text.joined(made[k]).alias(k) for k in kinds)).groupBy(*kinds).agg(F.count(F.lit(1)).alias("n"))
+
+
+_FOGGY, _FADED = "foggy_alpha_edges", "product_faded"
+_CUTOUT_RULES = [
+    [("fog_of_fg >= 0.70 AND solid_of_fg < 0.30", "bad", _FOGGY), ("fog_of_fg >= 0.55 AND solid_of_fg < 0.38", "warn", _FOGGY)],
+    [
+        ("visibility < 8 OR (visibility < 14 AND near_white_in_solid >= 0.75) OR (near_white_in_solid >= 0.90 AND solid_std < 10 AND visibility < 22)", "bad", _FADED),
+        ("difficult AND near_white_in_solid >= 0.85 AND visibility < 18", "warn", _FADED), ("difficult AND visibility < 18 AND solid_std < 12", "warn", "low_object_contrast"),
+    ],
+    [("visibility >= 40 AND solid_of_fg >= 0.55 AND fog_of_fg < 0.35", "good", "strong_visibility")], [("visibility >= 80 AND near_white_in_solid < 0.15", "good", "dark_high_contrast")],
+    [("edge_band_frac >= 0.35 AND edge_band_mean_alpha < 85", "bad", _FOGGY), ("edge_band_frac >= 0.28 AND edge_band_mean_alpha < 90 AND fog_of_fg >= 0.45", "warn", _FOGGY), ("edge_band_frac < 0.15 AND edge_band_mean_alpha >= 100", "good", "coherent_edges")],
+    [("roi_solid_fill >= 0.45 AND solid_of_fg >= 0.60", "good", "solid_roi")],
+]
+
+
+@query(f"WITH {_lines_sql(CUTOUT)}, s AS (SELECT {_spoken_sql(_CUTOUT_RULES)} FROM m) {SAID_SQL}")
+def cutout_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the cutout gate says of each line's stand-in measurements, counted."""
+    return _said(_lines(spark, sf_dir, CUTOUT), gates.cutout(F.col, F.col("difficult")))
+
+
+_SHOT_SPRAY, _SHOT_KIT = "(n_dark_components >= 5 AND main_dark_frac < 0.35 AND n_dark_tiny >= 10)", "(n_dark_components BETWEEN 2 AND 12 AND n_dark_tiny <= greatest(6, n_dark_components * 2) AND main_dark_frac >= 0.08)"
+_SHOT_FINE = f"({_SHOT_KIT} AND NOT {_SHOT_SPRAY})"
+_STUDIO_RULES = [
+    [
+        ("product_visibility < 10 OR (product_mean >= 248 AND product_std <= 6) OR (product_mean >= 244 AND product_std <= 8 AND product_visibility < 14)", "bad", "final_washed_out"),
+        ("difficult AND product_visibility < 16 AND product_std <= 12 AND studio_roi_fill < 0.25", "warn", "final_bright_product_vanished"),
+    ],
+    [("light_grey_frac >= 0.85 AND product_std < 12 AND product_visibility < 22", "bad", _FADED), ("light_grey_frac >= 0.80 AND product_visibility < 18 AND product_std < 14", "warn", _FADED)],
+    [("dark_frac >= 0.04 AND product_visibility >= 50", "good", "dark_on_white")], [("product_visibility >= 40 AND light_grey_frac < 0.25 AND studio_roi_fill >= 0.30", "good", "readable_product")], [(_SHOT_FINE, "good", "multi_object_ok")],
+    [
+        (f"{_SHOT_FINE} AND n_dark_components <= 3 AND main_dark_frac >= 0.55", "good", "coherent_dark_core"), (_SHOT_FINE, "-", ""),
+        (f"{_SHOT_SPRAY} OR (n_dark_components >= 8 AND main_dark_frac < 0.30) OR (n_dark_components >= 2 AND main_dark_frac < 0.35 AND n_dark_tiny >= 12)", "bad", _FRAG),
+        ("n_dark_components >= 2 AND main_dark_frac < 0.62 AND n_dark_tiny >= 6", "warn", _FRAG), ("n_dark_components <= 2 AND main_dark_frac >= 0.70", "good", "coherent_dark_core"),
+    ],
+    [("bg_dirty_frac >= 0.06", "warn", "dirty_background")], [("bg_shadow_frac >= 0.045", "warn", "large_background_shadow")],
+    [("dark_frac < 0.05 AND edge_inner_light_frac >= 0.55 AND light_grey_frac >= 0.45", "bad", _FOGGY), ("dark_frac < 0.05 AND edge_inner_light_frac >= 0.48 AND difficult AND light_grey_frac >= 0.40", "warn", _FOGGY)],
+]
+
+
+@query(f"WITH {_lines_sql(STUDIO)}, s AS (SELECT {_spoken_sql(_STUDIO_RULES)} FROM m) {SAID_SQL}")
+def studio_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the gate of the finished picture says of each line's stand-in measurements, counted."""
+    return _said(_lines(spark, sf_dir, STUDIO), gates.studio(F.col, F.col("difficult")))
+
+
+@query(f"""WITH {_lines_sql(EVIDENCE)} SELECT kind, CASE WHEN evidence_pixels < 120 THEN 'LOW' WHEN NOT difficult AND kind = 1 AND prior_frac <= 0.42 AND overlap >= 0.35 THEN 'HIGH'
+WHEN (structured_evidence_frac >= 0.55 AND prior_shadow_excluded < 0.08 AND overlap >= 0.40 AND evidence_pixels <= greatest(1.0, soft_pixels) * 2.8) OR (structured_evidence_frac >= 0.40 AND overlap >= 0.50 AND evidence_pixels <= greatest(1.0, soft_pixels) * 2.2) THEN 'MEDIUM' ELSE 'LOW' END AS confidence, count(*) AS n FROM m GROUP BY ALL""")
+def evidence_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each line's stand-in evidence can be trusted, counted."""
+    mode = F.when(F.col("kind") == 1, "independent_prior").otherwise("mask_prior")
+    level = gates.evidence_confidence(F.col, mode, F.col("difficult"))
+    return _lines(spark, sf_dir, EVIDENCE).groupBy("kind", level.alias("confidence")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_INTEGRITY_RULES = [
+    [("prior_wipe_frac >= 0.38", "-", ""), ("prior_wipe_frac >= 0.18", "warn", "structure_integrity_warn")], [("texture_ratio < 0.32", "bad", "detail_destroyed"), ("texture_ratio < 0.55", "warn", "detail_retention_warn")],
+    [("strong_edge_keep < 0.40", "bad", "edge_structure_lost"), ("strong_edge_keep < 0.62", "warn", "edge_consistency_warn")], [("white >= 0.28", "bad", "product_whiteout"), ("white >= 0.12", "warn", "product_whiteout_warn")],
+    [("shape >= 85 AND detail >= 75 AND edges >= 80 AND over >= 80 AND foreground_survival_score >= 80", "good", "raw_final_integrity_ok")],
+]
+_CL = oracles.clamp
+
+
+@query(f"""WITH {_lines_sql(INTEGRITY)}, a AS (SELECT *, {_CL("100.0 * prior_kept_frac - 55.0 * greatest(0.0, prior_wipe_frac - 0.18) - CASE WHEN mid_prior_wipe >= 0.38 AND dark_prior_wipe <= 0.25 THEN 35.0 ELSE 0.0 END")} AS shape,
+50.0 * least(1.15, texture_ratio) + 50.0 * least(1.15, edge_energy_ratio) AS raw_detail, {_CL("CASE WHEN strong_edge_keep < 0.40 THEN least(100.0 * strong_edge_keep, 30.0) ELSE 100.0 * strong_edge_keep END")} AS edges, greatest(whiteout_frac, blown_frac) AS white,
+100.0 - 120.0 * greatest(whiteout_frac, 1.2 * blown_frac) AS raw_over FROM m), b AS (SELECT *, {_CL("CASE WHEN texture_ratio < 0.32 THEN least(raw_detail, 28.0) WHEN texture_ratio < 0.55 THEN least(raw_detail, 55.0) ELSE raw_detail END")} AS detail,
+{_CL("CASE WHEN white >= 0.28 THEN least(raw_over, 22.0) ELSE raw_over END")} AS over FROM a), s AS (SELECT 0.30 * shape + 0.20 * detail + 0.15 * edges + 0.15 * over + 0.20 * least(100.0, foreground_survival_score) AS whole, {_spoken_sql(_INTEGRITY_RULES)} FROM b)
+SELECT bads, warns, posits, count(*) AS n, round(avg(whole), 4)::DOUBLE AS mean_integrity, round(min(whole), 4)::DOUBLE AS least_integrity FROM s GROUP BY ALL""")
+def integrity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Integrity of the finished picture and its tags from each line's stand-in shares."""
+    made = gates.integrity(F.col)
+    kinds = ("bads", "warns", "posits")
+    told = _lines(spark, sf_dir, INTEGRITY).select(made["raw_final_integrity"].alias("whole"), *(text.joined(made[k]).alias(k) for k in kinds))
+    return told.groupBy(*kinds).agg(F.count(F.lit(1)).alias("n"), r(F.avg("whole")).alias("mean_integrity"), r(F.min("whole")).alias("least_integrity"))
+
+
+@query("""SELECT doc_id, split_part(cached, '|', 1) AS fp, split_part(cached, '|', 2) AS bucket FROM (SELECT doc_id, substr(sha256(text), 1, 8) || CASE WHEN doc_id % 3 = 0 THEN '' ELSE '|' || source END AS cached FROM documents)""")
+def cached_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and bucket of cached values, some of which have no bucket."""
+    cached = F.concat(F.substring(F.sha2("text", 256), 1, 8), F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(F.lit("|"), "source")))
+    fp, bucket = text.cached_parts(F.col("cached"))
+    return read(spark, sf_dir, "documents").select("doc_id", cached.alias("cached")).select("doc_id", fp.alias("fp"), bucket.alias("bucket"))

@@ -2,7 +2,8 @@ from pyspark.sql import functions as F
 
 from lumenqc.plans import gates
 
-MASK = dict(soft_coverage=0.12, strong_coverage=0.1, solid_of_soft=0.8, roi_fill=0.55, fog_ratio=0.1, mean_alpha_soft=190.0, main_component_frac=0.95, n_significant_components=1.0, n_tiny_components=0.0, n_solid_components=1.0, hole_frac=0.0, hole_pixels=0.0, bbox_aspect=1.3)
+#: Measurements under which no rule of the mask gate complains: each well inside its bounds.
+MASK = dict(soft_coverage=0.25, strong_coverage=0.19, solid_of_soft=0.76, roi_fill=0.62, fog_ratio=0.24, mean_alpha_soft=171.0, main_component_frac=0.87, n_significant_components=1.0, n_tiny_components=0.0, n_solid_components=1.0, hole_frac=0.0, hole_pixels=0.0, bbox_aspect=2.1)
 
 
 def said(spark, gate, rows, *more):
