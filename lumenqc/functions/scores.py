@@ -102,6 +102,13 @@ def fit_side(width: Column, height: Column, most: int) -> Column:
     return F.struct(F.greatest(F.lit(1), (width * scale).cast("int")).alias("width"), F.greatest(F.lit(1), (height * scale).cast("int")).alias("height"))
 
 
+def letterboxed(width: Column, height: Column, box_width: int, box_height: int) -> Column:
+    """Size, whole, of a picture fitted into a box, and where it begins when it stands in the middle."""
+    scale = F.least(box_width / width, box_height / height)
+    w, h = (F.greatest(F.lit(1), (x * scale).cast("int")) for x in (width, height))
+    return F.struct(w.alias("width"), h.alias("height"), F.floor((box_width - w) / 2).cast("int").alias("left"), F.floor((box_height - h) / 2).cast("int").alias("top"))
+
+
 def duration(seconds: Column) -> Column:
     """m:ss, or h:mm:ss from an hour on; null, NaN and negative count as 0."""
     s = F.when(seconds.isNull() | F.isnan(seconds) | (seconds < 0), 0.0).otherwise(seconds).cast("long")

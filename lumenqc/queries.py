@@ -1004,3 +1004,42 @@ def cached_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     cached = F.concat(F.substring(F.sha2("text", 256), 1, 8), F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(F.lit("|"), "source")))
     fp, bucket = text.cached_parts(F.col("cached"))
     return read(spark, sf_dir, "documents").select("doc_id", cached.alias("cached")).select("doc_id", fp.alias("fp"), bucket.alias("bucket"))
+
+
+@query(f"""WITH RECURSIVE {_mask_sql(150)}, c AS (SELECT vec_id, count(*) AS pieces FROM k GROUP BY 1), e AS (SELECT vec_id, count(*) FILTER (WHERE v >= 150) / 28.0 AS border FROM px WHERE y IN (0, 7) OR x IN (0, 7) GROUP BY 1), {MEASURES_SQL},
+q AS (SELECT *, greatest(0.0, 1.0 - (CASE WHEN solid < 0.004 THEN 0.70 ELSE 0 END + CASE WHEN solid < 0.02 THEN 0.25 ELSE 0 END + CASE WHEN solid > 0.88 THEN 0.30 ELSE 0 END + CASE WHEN unsure > 0.14 THEN 0.18 ELSE 0 END + CASE WHEN interior < 0.82 THEN 0.16 ELSE 0 END
++ CASE WHEN border > 0.22 THEN 0.12 ELSE 0 END + CASE WHEN ghost > 2.5 THEN 0.22 ELSE 0 END + CASE WHEN coalesce(pieces, 0) >= 18 AND solid < 0.04 THEN 0.12 ELSE 0 END))::DOUBLE AS score FROM m JOIN e USING (vec_id) LEFT JOIN c USING (vec_id))
+SELECT vec_id, round(border, 6)::DOUBLE AS border, coalesce(pieces, 0)::INT AS pieces, round(score, 6) AS score, CASE WHEN solid < 0.012 OR solid > 0.93 OR (ghost > 3.5 AND interior < 0.55) OR (interior < 0.45 AND unsure > 0.18) THEN 'INVALID'
+WHEN unsure > 0.11 OR interior < 0.84 OR border > 0.28 OR solid < 0.028 OR solid > 0.78 OR ghost > 1.8 OR score < 0.62 THEN 'UNCERTAIN' ELSE 'GOOD' END AS gate FROM q""")
+def alpha_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The extraction gate with all that it measures: border and pieces too."""
+    c, solid = F.col, F.transform("x", lambda v: F.when(v >= 150, 1.0).otherwise(0.0))
+    told = measured(spark, sf_dir).withColumn("mask", solid).withColumns({"border": neighbourhood.border_share(c("mask"), 8), "pieces": F.size(neighbourhood.sizes(neighbourhood.components(c("mask"), 8)))})
+    told = told.withColumn("score", extraction.quality(c("solid"), c("unsure"), c("interior"), c("border"), c("ghost"), c("pieces")))
+    return told.select("vec_id", r("border", 6).alias("border"), "pieces", r("score", 6).alias("score"), extraction.gate(c("solid"), c("unsure"), c("interior"), c("border"), c("ghost"), c("score")).alias("gate"))
+
+
+@query(f"""WITH {NEIGHBOURS_SQL}, f AS (SELECT vec_id, list_filter(z, lambda p: p[1] >= 200) AS z FROM n) SELECT vec_id, len(z)::INT AS n, round(CASE WHEN len(z) > 0 THEN list_sum(list_transform(z, lambda p: abs(p[1] - p[2]))) / len(z) ELSE 0 END, 6)::DOUBLE AS mae FROM f""")
+def masked_mae(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean difference of two rasters where the first, as alpha, is solid."""
+    kept = F.filter(F.zip_with("x", "y", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda p: p["a"] >= 200)
+    pairs = neighbours(spark, sf_dir).select("vec_id", kept.alias("kept"))
+    apart = raster.mean_difference(F.transform("kept", lambda p: p["a"]), F.transform("kept", lambda p: p["b"]))
+    return pairs.select("vec_id", F.size("kept").alias("n"), r(apart, 6).alias("mae"))
+
+
+@query("""WITH p AS (SELECT p_partkey, p_size * 37 + 40 AS w, p_partkey % 900 + 60 AS h FROM part), s AS (SELECT *, least(600.0 / w, 400.0 / h) AS k FROM p), f AS (SELECT p_partkey, greatest(1, trunc(w * k))::INT AS width, greatest(1, trunc(h * k))::INT AS height FROM s)
+SELECT p_partkey, width, height, ((600 - width) // 2)::INT AS "left", ((400 - height) // 2)::INT AS top FROM f""")
+def letterbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures fitted into a frame and placed in its middle."""
+    sizes = read(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 37 + 40).alias("w"), (F.col("p_partkey") % 900 + 60).alias("h"))
+    return sizes.select("p_partkey", scores.letterboxed(F.col("w"), F.col("h"), 600, 400).alias("b")).select("p_partkey", "b.*")
+
+
+@query("""WITH rest AS (SELECT p_partkey, p_brand FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45)),
+k AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS place, greatest(1, floor(count(*) OVER (PARTITION BY p_brand) / 5.0)) AS step FROM rest) SELECT p_partkey, p_brand FROM k WHERE place % step = 0 AND place / step < 5""")
+def sample_of_the_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A systematic sample of the parts that weren't selected already."""
+    chosen = read(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
+    rest = read(spark, sf_dir, "part").select("p_partkey", "p_brand").join(chosen, "p_partkey", "left_anti")
+    return batch.every_kth(rest, "p_brand", ["p_partkey"], 5)
