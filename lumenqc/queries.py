@@ -761,7 +761,7 @@ def listing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH t AS (SELECT user_id, count(*) AS total, count(*) FILTER (WHERE event_type <> 'view') AS processed, count(*) FILTER (WHERE event_type IN ('click', 'error')) AS edited, CASE WHEN user_id % 3 > 0 THEN sum(value) ELSE 0 END AS elapsed,
 avg(value) FILTER (WHERE event_type = 'error' AND value > 20) AS mean_edit FROM events GROUP BY 1), e AS (SELECT *, CASE WHEN mean_edit IS NOT NULL THEN mean_edit WHEN edited > 0 AND elapsed > 0 THEN elapsed / edited WHEN processed > 0 AND elapsed > 0 THEN elapsed / processed ELSE 0 END AS per_item, total - processed AS remaining FROM t)
-SELECT user_id, remaining, round(per_item, 4)::DOUBLE AS per_item, round(remaining * per_item, 3)::DOUBLE AS eta, round(CASE WHEN per_item > 0 THEN 60.0 / per_item ELSE 0 END, 4)::DOUBLE AS per_minute, CASE WHEN processed > 0 THEN 'known' ELSE '--:--' END AS eta_kind FROM e""")
+SELECT user_id, remaining, round(per_item, 9)::DOUBLE AS per_item, round(remaining * per_item, 7)::DOUBLE AS eta, round(CASE WHEN per_item > 0 THEN 60.0 / per_item ELSE 0 END, 9)::DOUBLE AS per_minute, CASE WHEN processed > 0 THEN 'known' ELSE '--:--' END AS eta_kind FROM e""")
 def batch_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Time left by user, as if each were a batch: by edits, edited or processed items, whichever there are."""
     kind, v = F.col("event_type"), F.col("value")
@@ -771,7 +771,7 @@ def batch_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     timed = batch.timing(state)
     known = F.when(F.col("eta_text").rlike(r"^[0-9:]+$"), "known").otherwise(F.col("eta_text"))
-    return timed.select("user_id", "remaining", r("per_item").alias("per_item"), r("eta", 3).alias("eta"), r("per_minute").alias("per_minute"), known.alias("eta_kind"))
+    return timed.select("user_id", "remaining", r("per_item", 9).alias("per_item"), r("eta", 7).alias("eta"), r("per_minute", 9).alias("per_minute"), known.alias("eta_kind"))
 
 
 @query("""WITH a AS (SELECT conv_id, turn, length(text) % 5 <> 0 AS gate, length(text) % 60 / 100.0 AS loss, 60.0 + length(text) % 30 AS score FROM conversations),
