@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+Kept = TypeVar("Kept")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -51,6 +57,20 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_kept: dict[Hashable, object] = {}
+
+
+def sole(key: Hashable, make: Callable[[], Kept]) -> Kept:
+    """What ``make`` gives, kept in this Python process until another key is asked for: a worker that serves several operators
+    holds the tables of one at a time."""
+    if key not in _kept:
+        _kept.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with value evaluated once a row, also where the optimiser moves the expression."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenqc.llm.common import lots, written
+from lumenqc.llm.common import lots, sole, written
 
 LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 32
@@ -101,14 +101,9 @@ class Vocabulary:
         return out
 
 
-_vocabularies: dict[str, Vocabulary] = {}
-
-
 def vocabulary(path: str) -> Vocabulary:
     """Read once in each Python worker."""
-    if path not in _vocabularies:
-        _vocabularies[path] = Vocabulary(path)
-    return _vocabularies[path]
+    return sole(("pieces", path), lambda: Vocabulary(path))
 
 
 def alike(found: list[str], most: int = 20_000) -> Iterator[np.ndarray]:
@@ -228,8 +223,8 @@ def train(
 class Scorer:
     """Scores texts by a model; keeps the scores of chunks that it has met."""
 
-    def __init__(self, model: Model) -> None:
-        self.model, self.known = model, {}
+    def __init__(self, model: Model, most: int = CACHE) -> None:
+        self.model, self.known, self.most = model, {}, most
         self.scores, self.counts, self.letters = np.zeros((1024, len(model.langs))), np.zeros(1024), np.zeros(1024)
 
     def learn(self, new: list[str]) -> None:
@@ -247,11 +242,11 @@ class Scorer:
         self.letters[first:end] = np.bincount(of, np.fromiter((len(w) for x in found for w in x), float, len(of)), len(new))
         self.known.update(zip(new, range(first, end), strict=True))
 
-    def judge(self, texts: list[str | None]) -> Iterator[tuple[str, float, float]]:
+    def judge(self, texts: pa.Array) -> Iterator[tuple[str, float, float]]:
         """(language, score, log-likelihood per letter and word mark) of each text."""
-        for lot in lots(texts):
+        for lot in (x for k in range(0, len(texts), 500) for x in lots(texts.slice(k, 500).to_pylist())):
             split = [text.split() if text else [] for text in lot]
-            if len(self.known) > CACHE:
+            if len(self.known) > self.most:
                 self.known = {}
             if new := list(set().union(*split).difference(self.known)):
                 self.learn(new)
@@ -273,7 +268,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model) if model else None
         for batch in batches:
-            found = list(scorer.judge(batch.column(1).to_pylist())) if scorer else [("und", 0.0, -np.inf)] * len(batch)
+            found = list(scorer.judge(batch.column(1))) if scorer else [("und", 0.0, -np.inf)] * len(batch)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _, _ in found], pa.string()), pa.array([y for _, y, _ in found], pa.float64())], names=[id_col, "lang_pred", "score"])
 
     return kept.mapInArrow(run, f"`{id_col}` {kept.schema[id_col].dataType.simpleString()}, lang_pred string, score double")
@@ -290,8 +285,8 @@ def keep_known(docs: DataFrame, model: Model | None, least: float = 0.5, text_co
     where = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model)
+        scorer = Scorer(model, CACHE // 3)  # whole rows go along here, so less room is left for words
         for batch in batches:
-            yield batch.filter(pa.array([x != "und" and y >= least and z >= fit for x, y, z in scorer.judge(batch.column(where).to_pylist())], pa.bool_()))
+            yield batch.filter(pa.array([x != "und" and y >= least and z >= fit for x, y, z in scorer.judge(batch.column(where))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

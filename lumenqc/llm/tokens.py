@@ -22,10 +22,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from lumenqc.llm.common import sole
+
 #: Chunks and pieces that a worker keeps; beyond, it starts anew.  Pieces are fewer and cost more to encode again.
-CACHE, PIECE_CACHE = 400_000, 1_200_000
+CACHE, PIECE_CACHE = 250_000, 600_000
 #: Bytes of text that are encoded at once.
-LOT = 4_000_000
+LOT = 3_000_000
 #: The normaliser and the pattern of pieces that ``plain_pieces`` looks for.
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
@@ -34,9 +36,6 @@ LETTERS, NUMERALS = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾"
 PIECES = re.compile(f"\x20|'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMERALS}]|[^\\s{LETTERS}{NUMERALS}]+")
 HARD = re.compile("[^\x20-~¡-¬®-ÿ]")
 
-_encoders: dict[str, "Encoder"] = {}
-
-
 def splits_at_space(spec: dict) -> bool:
     """Whether the file's pre-tokenizer drops white space and its tokens can't hold any."""
     steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
@@ -180,7 +179,5 @@ class Encoder:
 
 def encoder(path: str) -> Encoder:
     """One encoder a file in each Python worker."""
-    if path not in _encoders:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return sole(("tokens", path), lambda: Encoder(path))
