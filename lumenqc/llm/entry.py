@@ -8,12 +8,13 @@ from public_tokenizers import path as tokenizer_file
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenqc.llm import decontam, language, packing, pii, quality_rules, secret_scan, simhash, token_store, url_filter, warc
+from lumenqc.llm import alignment, decontam, language, merkle, mixing, packing, pii, quality_rules, secret_scan, simhash, token_store, url_filter, warc
 from lumenqc.llm.common import table
 
 
 TOKENIZER = tokenizer_file("word_bpe_49k.json")
 PIECES = tokenizer_file("piece_bpe_32k.model")
+BYTES = tokenizer_file("byte_bpe_50k.json")
 
 
 def op1_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,8 +59,23 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.judged(table(spark, sf_dir, "documents"), BYTES, PIECES)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_decontam, op2_token_ids, op3_quality_rules, op4_language_id, op5_url_filter, op6_packing, op7_pii, op8_warc, op9_secret_scan, op10_simhash)
+    made = (
+        op1_decontam, op2_token_ids, op3_quality_rules, op4_language_id, op5_url_filter, op6_packing, op7_pii, op8_warc, op9_secret_scan, op10_simhash,
+        op11_merkle, op12_mixing, op13_alignment,
+    )
     return {f.__name__: f for f in made}
 
 
