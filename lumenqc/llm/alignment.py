@@ -36,8 +36,8 @@ from tokenizers import Tokenizer
 from lumenqc.llm.common import sole, written
 from lumenqc.llm.tokens import Ragged
 
-#: Chunks that a worker keeps, the longest of them in bytes, and bytes of text that are aligned at once.
-KEPT, LONGEST, LOT = 200_000, 200, 2_000_000
+#: Chunks that a worker keeps, the longest of them in bytes, those that are encoded in one line, and bytes of text that are aligned at once.
+KEPT, LONGEST, LINE, LOT = 120_000, 200, 500, 700_000
 #: So far from the middle ends are looked for one by one.
 PROBES = 4
 SCHEMA = "row long, doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, links array<bigint>, times array<int>"
@@ -58,6 +58,7 @@ class Pair:
     def __init__(self, a_path: str, b_path: str) -> None:
         self.a, self.b = Tokenizer.from_file(a_path), SentencePieceProcessor(model_file=b_path)
         self.a.encode_special_tokens = True
+        self.a.model._resize_cache(0)  # what it would keep is kept here
         letters = byte_letters()
         self.a_bytes = [bytes(letters[c] for c in self.a.id_to_token(k)) if all(c in letters for c in self.a.id_to_token(k)) else b"" for k in range(self.a.get_vocab_size())]
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
@@ -77,20 +78,49 @@ class Pair:
         longer_a = sum(n * b[e] for x, n in a.items() for e in ends(x))
         return longer_a + sum(n * a[e] for x, n in b.items() for e in ends(x) if e != x)
 
-    def encoded(self, chunks: list[str]) -> tuple[list[list[int]], list[list[int]], list[bool]]:
+    def singly(self, chunks: list[str]) -> tuple[list[list[int]], list[list[int]], list[bool]]:
         """Ids of strings that begin with a space, and whether both give back their bytes."""
         a = [e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
         b = [ids or self.space for ids in self.b.encode([c[1:] for c in chunks], num_threads=1)]
-        back = lambda table, ids: b"".join(map(table.__getitem__, ids))
-        fine = [back(self.a_bytes, x) == (raw := c.encode()) == back(self.b_bytes, y) for c, x, y in zip(chunks, a, b, strict=True)]
+        fine = [self.back(self.a_bytes, x) == c.encode() == self.back(self.b_bytes, y) for c, x, y in zip(chunks, a, b, strict=True)]
         return a, b, fine
 
+    @staticmethod
+    def back(table: list[bytes], ids: list[int]) -> bytes:
+        return b"".join(map(table.__getitem__, ids))
+
     def learn(self, chunks: list[str]) -> None:
-        a, b, fine = self.encoded(chunks)
-        first = len(self.a_ids.number)
-        self.lossy.update(first + k for k, ok in enumerate(fine) if not ok)
-        for store, ids in ((self.a_ids, a), (self.b_ids, b)):
-            store.add(chunks, np.fromiter((i for x in ids for i in x), np.uint32), np.cumsum([len(x) for x in ids]))
+        """Keeps the ids of new, distinct chunks.  Those after which a text may be cut are encoded in lines of many."""
+        odd = []
+        if self.by_chunk:
+            whole, ends = self.strung([*chunks, " ."])
+            safe = np.isin(ends[:-1], self.cuts(whole))
+            odd = [chunks[k] for k in np.flatnonzero(~safe)]
+            chunks = [chunks[k] for k in np.flatnonzero(safe)] if odd else chunks
+            for k in range(0, len(chunks), LINE):
+                line = chunks[k : k + LINE]
+                raw, ends = self.strung(line)
+                a, b = self.a.encode("".join(line), add_special_tokens=False).ids, self.b.encode("".join(line)[1:])
+                if not self.back(self.a_bytes, a) == bytes(raw) == self.back(self.b_bytes, b):
+                    odd += line
+                    continue
+                for store, ids, sizes in ((self.a_ids, a, self.a_size), (self.b_ids, b, self.b_size)):
+                    ids = np.array(ids, np.uint32)
+                    store.add(line, ids, np.searchsorted(np.cumsum(sizes[ids]), ends) + 1)
+        else:
+            odd = chunks
+        if odd:
+            first = len(self.a_ids.number)
+            a, b, fine = self.singly(odd)
+            self.lossy.update(first + k for k, ok in enumerate(fine) if not ok)
+            for store, ids in ((self.a_ids, a), (self.b_ids, b)):
+                store.add(odd, np.fromiter((i for x in ids for i in x), np.uint32), np.cumsum([len(x) for x in ids]))
+
+    @staticmethod
+    def strung(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The chunks' bytes one after the other, and where each ends."""
+        sizes = pc.binary_length(pa.array(chunks, pa.string())).to_numpy()
+        return np.frombuffer("".join(chunks).encode(), np.uint8), np.cumsum(sizes, dtype=np.int64)
 
     def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of space + text for each: A's and B's ids, where each text's end, and whether a text has tokens at all."""
@@ -100,7 +130,9 @@ class Pair:
         sizes = np.array([len(t.encode()) + 1 for t in texts], np.int64)
         starts = np.cumsum(sizes) - sizes
         cuts = self.cuts(whole) if self.by_chunk else np.zeros(0, np.int64)
-        begins = np.union1d(starts, cuts)
+        marked = np.zeros(len(whole), bool)
+        marked[starts] = marked[cuts] = True
+        begins = np.flatnonzero(marked)
         ends = np.append(begins[1:], len(whole))
         chunks = pa.StringArray.from_buffers(len(begins), pa.py_buffer(np.append(begins, len(whole)).astype(np.int32)), pa.py_buffer(whole))
         text_of = np.searchsorted(starts, begins, "right") - 1
@@ -117,7 +149,7 @@ class Pair:
         if self.lossy:
             fine[text_of[np.isin(rows, np.fromiter(self.lossy, np.int64))]] = False  # a space, which stands for long chunks, isn't
         made = []
-        extra = self.encoded(chunks.take(pa.array(long)).to_pylist()) if len(long) else ([], [], [])
+        extra = self.singly(chunks.take(pa.array(long)).to_pylist()) if len(long) else ([], [], [])
         fine[text_of[long[~np.array(extra[2], bool)]]] = False
         for store, ids in ((self.a_ids, extra[0]), (self.b_ids, extra[1])):
             flat, last = store.gather(rows)
