@@ -10,8 +10,9 @@ n words may differ, the places that leave the same remainder by s + 1 make a mas
 s substitutions spoil at most s of these s + 1 masks, so one is left, and no such overlap is missed.  Documents are looked
 through with these masks only for lengths that the benchmark has.
 
-The benchmark's seeds are counted first: up to ``broadcast_rows`` of them are broadcast and each document is
-verified where it was read; beyond that seeds are shuffled, common ones apart from the rest, and matches join the documents again.
+The benchmark's seeds are counted first: up to ``broadcast_rows`` of them are broadcast; beyond that seeds are shuffled, common ones
+apart from the rest.  What matches say, document, item and shift, is made distinct where it is found, and these few join the texts again; a shift is
+verified in time linear in the item.
 
 Words are runs of letters and digits, lower-cased.  Special cases: null and empty texts have no seeds and an item without words
 matches nothing; very long texts are read whole; repeated documents repeat under their own ids, repeated
@@ -75,6 +76,17 @@ def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0), lambda a, v: a + v)
 
 
+def best_window(hit: Column, width: Column) -> Column:
+    """The largest sum of ``width`` neighbours, by a running sum."""
+    start = F.struct(F.lit(0).alias("run"), F.lit(0).alias("best"))
+
+    def slide(state: Column, k: Column) -> Column:
+        run = state["run"] + F.get(hit, k) - F.when(k >= width, F.get(hit, k - width)).otherwise(0)
+        return let(run, lambda r: F.struct(r.alias("run"), F.greatest(r, state["best"]).alias("best")))
+
+    return F.aggregate(F.sequence(F.lit(0), F.size(hit) - 1), start, slide)["best"]
+
+
 def overlaps(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
     masks: tuple[str, ...] = MASKS, window: int = 20, identity: float = 0.8, broadcast_rows: int = 500_000,
@@ -89,17 +101,17 @@ def overlaps(
             own = items.where(size == n).select("item", F.lit(at).alias("at"), seed(F.col("h"), F.lit(at), mask).alias("seed"))
             keys, masks = keys.unionByName(own), (*masks, mask)
     keys, masks = written(keys.withColumnRenamed("at", "item_at").distinct(), "seeds"), tuple(dict.fromkeys(masks))
-    texts, words = hashed(docs, id_col, text_col, "doc"), items.select("item", "item_words").distinct()
-    if is_small(keys, broadcast_rows) and is_small(words, broadcast_rows):
-        found = seed_rows(texts, masks, "doc", "words").join(F.broadcast(keys), "seed").select("doc", "words", "item", (F.col("at") - F.col("item_at")).alias("shift"))
-        found = found.join(F.broadcast(words), found["item"].eqNullSafe(words["item"])).drop(words["item"])
-    else:
-        met = joined(seed_rows(texts, masks, "doc"), keys, "seed", "inner", broadcast_rows).select("doc", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
-        found = met.join(words, met["item"].eqNullSafe(words["item"])).drop(words["item"])
-        found = found.join(texts.select(F.col("doc").alias("text_doc"), "words"), F.col("doc").eqNullSafe(F.col("text_doc"))).drop("text_doc")
+    words = items.select("item", "item_words").distinct()
+    # seeds of one overlap agree in how far the item is shifted: each shift is verified once, however many seeds name it
+    met = joined(seed_rows(hashed(docs, id_col, text_col, "doc"), masks, "doc"), keys, "seed", "inner", broadcast_rows)
+    met = written(met.select("doc", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "shifts")
+    named = met.select(F.col("doc").alias("named")).distinct()
+    held = docs.select(id_col, text_col).join(F.broadcast(named) if is_small(named) else named, F.col(id_col).eqNullSafe(F.col("named")), "left_semi")
+    texts = held.select(F.col(id_col).alias("text_doc"), tokens(F.col(text_col)).alias("words"))
+    found = met.join(F.broadcast(words) if is_small(words, broadcast_rows) else words, met["item"].eqNullSafe(words["item"])).drop(words["item"])
+    found = found.join(texts, F.col("doc").eqNullSafe(F.col("text_doc"))).drop("text_doc")
     width = F.least(size, F.lit(window))
-    best = lambda hit: F.array_max(F.transform(F.sequence(F.lit(0), size - width), lambda k: total(F.slice(hit, k + 1, width))))
-    judged = let(agreement(F.col("item_words"), F.col("words"), F.col("shift")), lambda hit: F.struct(best(hit).alias("best"), total(hit).alias("matched")))
+    judged = let(agreement(F.col("item_words"), F.col("words"), F.col("shift")), lambda hit: F.struct(best_window(hit, width).alias("best"), total(hit).alias("matched")))
     checked = found.select("doc", "item", "shift", size.alias("n_item_words"), width.alias("width"), judged.alias("j")).select("*", "j.best", "j.matched").where(F.col("best") >= identity * F.col("width"))
     return (
         checked.select("doc", "item", "n_item_words", "width", "best", "matched", F.greatest("shift", F.lit(0)).alias("place"))

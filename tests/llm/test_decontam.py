@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from lumenqc.llm import decontam as d
 
@@ -84,3 +85,14 @@ def test_sql_form_agrees_on_short_items(spark, tmp_path):
     want = con.sql(f"SELECT {order} FROM ({OP1_SQL}) ORDER BY ALL").fetchall()
     got = sorted(map(tuple, d.overlaps(left, right).selectExpr(*order.split(", ", 4)[:4], "round(identity, 9)", "first_word").collect()))
     assert got == want
+
+
+def test_long_copies_and_repeated_words_are_verified_once(spark):
+    rng = random.Random(9)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(4000))
+    docs = spark.createDataFrame([(1, f"before {long} after"), (2, "the " * 2000), (3, "nothing of these")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, long), (2, "the " * 2000)], "item_id long, text string")
+    began = time.time()
+    got = {(r.doc_id, r.item_id): (r.matched_words, r.identity, r.first_word) for r in d.overlaps(docs, items).collect()}
+    assert got == {(1, 1): (4000, 1.0, 1), (2, 2): (2000, 1.0, 0)}
+    assert time.time() - began < 60
