@@ -212,14 +212,21 @@ def readings(text: str) -> Iterator[Normalised]:
 
 
 def spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """The base spans and those that were disguised."""
-    found = set()
+    """The base spans and those that were disguised and don't lie within a base span of their kind."""
+    found, starts = set(), {k: [x for x, _, of in base if of == k] for k in KINDS}
+    ends = {k: [y for _, y, of in base if of == k] for k in KINDS}
+
+    def within(start: int, end: int, kind: str) -> bool:
+        """Spans of a kind don't overlap, so only the last one that begins so early can hold it."""
+        at = bisect_right(starts[kind], start) - 1
+        return at >= 0 and end <= ends[kind][at]
+
     for normal in readings(text):
         if normal.text == text:
             continue
         for a, b, kind in base_spans(normal.text):
             start, end, changed = normal.back(a, b)
-            if changed and not any(x <= start and end <= y and k == kind for x, y, k in base):
+            if changed and not within(start, end, kind):
                 found.add((start, end, kind))
     return sorted({*base, *found}, key=lambda x: (x[0], KINDS.index(x[2]), x[1])) if found else base
 

@@ -1,4 +1,5 @@
 import random
+import time
 import re
 
 import pytest
@@ -138,3 +139,17 @@ def test_long_runs_take_linear_time():
 def test_odd_rows(docs, none):
     assert len(p.find_pii(docs).collect()) == docs.count()
     assert p.find_pii(none).count() == 0
+
+
+def test_many_spans_take_linear_time():
+    bits = [f"user{k}@example.com, jane{k} (at) mail{k} (dot) org; " for k in range(8000)]
+    text = "".join(bits)
+    began = time.time()
+    got = p.spans(text, p.base_spans(text))
+    assert time.time() - began < 15
+    # the same spans as of each bit by itself
+    want, at = [], 0
+    for b in bits:
+        want += [(x + at, y + at, k) for x, y, k in p.spans(b, p.base_spans(b))]
+        at += len(b)
+    assert got == want and len(got) == 16_000
