@@ -163,7 +163,7 @@ def scan(text: str) -> list[tuple[int, int, str]]:
             past[kind] = m.end()
             if valid(m):
                 found.append((at, m.end(), kind))
-        elif kind == "jwt":  # what else begins in this run of characters ends where it ends, and fails as well
+        elif kind == "jwt" and text.startswith("eyJ", at):  # what else begins in this run of characters ends where it ends, and fails as well
             past[kind] = JWT_PART.match(text, at).end()
     found.sort(key=lambda x: (x[0], KINDS.index(x[2])))
     return found

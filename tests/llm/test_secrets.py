@@ -109,3 +109,10 @@ def test_token_after_a_run_that_fails():
     text = f"eyJabceyJ-x {head}.eyJb.sig eyJqeyJr.eyJ.x.{head}.eyJz.s"
     found = [text[a:b] for a, b, k in s.scan(text) if k == "jwt"]
     assert found == [f"{head}.eyJb.sig", f"{head}.eyJz.s"]
+
+
+def test_a_token_after_its_prefix_in_other_letters():
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U"
+    for before in ("EYJ", "x_eYJ-", "Eyj.", ""):
+        text = f"see {before}{jwt} here"
+        assert ("jwt", jwt) in {(k, text[a:b]) for a, b, k in s.scan(text)}, before
