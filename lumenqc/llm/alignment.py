@@ -58,7 +58,6 @@ class Pair:
     def __init__(self, a_path: str, b_path: str) -> None:
         self.a, self.b = Tokenizer.from_file(a_path), SentencePieceProcessor(model_file=b_path)
         self.a.encode_special_tokens = True
-        self.a.model._resize_cache(0)  # what it would keep is kept here
         letters = byte_letters()
         self.a_bytes = [bytes(letters[c] for c in self.a.id_to_token(k)) if all(c in letters for c in self.a.id_to_token(k)) else b"" for k in range(self.a.get_vocab_size())]
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]

@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -201,9 +202,10 @@ def train(
     model = Model(langs, np.tile((1e-4 * 0.5 ** (8 / vocabulary(vocabulary_path).lengths))[:, None], (1, len(langs))), vocabulary_path)  # long pieces first
     model.p[-1] = 0.0
     for _ in range(rounds):
-        now = model
+        sent = docs.sparkSession.sparkContext.broadcast(model)
 
-        def run(batches: Iterator[pa.RecordBatch], model: Model = now) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], sent: Broadcast = sent) -> Iterator[pa.RecordBatch]:
+            model = sent.value
             for batch in batches:
                 lang, found, n = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist(), batch.column(2).to_numpy()
                 for i, name in enumerate(model.langs):
@@ -263,10 +265,10 @@ class Scorer:
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score): score is the language's share of the likelihoods of all, for the mean word raised to at most 20 words."""
-    kept = docs.select(id_col, text_col)
+    kept, sent = docs.select(id_col, text_col), docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model) if model else None
+        scorer = Scorer(sent.value) if sent.value else None
         for batch in batches:
             found = list(scorer.judge(batch.column(1))) if scorer else [("und", 0.0, -np.inf)] * len(batch)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _, _ in found], pa.string()), pa.array([y for _, y, _ in found], pa.float64())], names=[id_col, "lang_pred", "score"])
@@ -282,10 +284,10 @@ def keep_known(docs: DataFrame, model: Model | None, least: float = 0.5, text_co
     """
     if model is None:
         return docs
-    where = docs.columns.index(text_col)
+    where, sent = docs.columns.index(text_col), docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model, CACHE // 3)  # whole rows go along here, so less room is left for words
+        scorer = Scorer(sent.value, CACHE // 3)  # whole rows go along here, so less room is left for words
         for batch in batches:
             yield batch.filter(pa.array([x != "und" and y >= least and z >= fit for x, y, z in scorer.judge(batch.column(where))], pa.bool_()))
 
