@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from lumenqc import queries
+from lumenqc import raster_queries  # noqa: F401  it registers its queries
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
