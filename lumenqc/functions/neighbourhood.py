@@ -12,7 +12,7 @@ SQUARE = tuple((y, x) for y in (-1, 0, 1) for x in (-1, 0, 1))
 
 
 def let(value: Column, body) -> Column:
-    """``body(value)`` with value evaluated once a row."""
+    """``body(value)`` with value evaluated once a row: else the optimiser may move its expression into a loop over pixels."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
@@ -83,7 +83,7 @@ def components(mask: Column, side: int, shape: Sequence[tuple[int, int]] = CROSS
     def jump(labels: Column) -> Column:
         return F.transform(labels, lambda v: F.when(v > 0, F.get(labels, (v - 1).cast("int"))).otherwise(0.0))
 
-    first = pixels(side, lambda y, x: F.when(edge(mask, side, y, x) >= 1, (y * side + x + 1).cast("double")).otherwise(0.0))
+    first = let(mask, lambda m: pixels(side, lambda y, x: F.when(edge(m, side, y, x) >= 1, (y * side + x + 1).cast("double")).otherwise(0.0)))
     rounds = F.sequence(F.lit(1), F.lit(side * side // 2 + 1))
     again = lambda labels: let(spread(labels), jump)
     # a settled raster is passed on as it is
@@ -103,18 +103,22 @@ def sizes(labels: Column) -> Column:
 def filled(mask: Column, side: int) -> Column:
     """The mask with its holes: background that doesn't reach the border."""
     framed = side + 2
-    around = pixels(framed, lambda y, x: F.lit(1.0) - outside(mask, side, y - 1, x - 1, 0.0))
+    around = let(mask, lambda m: pixels(framed, lambda y, x: F.lit(1.0) - outside(m, side, y - 1, x - 1, 0.0)))
     return let(components(around, framed), lambda b: pixels(side, lambda y, x: F.when(edge(b, framed, y + 1, x + 1) == F.get(b, F.lit(0)), 0.0).otherwise(1.0)))
 
 
 def border_share(mask: Column, side: int) -> Column:
     """The share of the frame's pixels that are on the mask."""
-    on = pixels(side, lambda y, x: F.when((y.isin(0, side - 1) | x.isin(0, side - 1)) & (edge(mask, side, y, x) >= 1), 1.0).otherwise(0.0))
+    on = let(mask, lambda m: pixels(side, lambda y, x: F.when((y.isin(0, side - 1) | x.isin(0, side - 1)) & (edge(m, side, y, x) >= 1), 1.0).otherwise(0.0)))
     return F.aggregate(on, F.lit(0.0), lambda a, v: a + v) / (4 * side - 4)
 
 
 def box(mask: Column, side: int) -> Column:
     """First and last row and column of the mask, named; null for an empty one."""
-    on = F.filter(pixels(side, lambda y, x: F.when(edge(mask, side, y, x) >= 1, F.struct(y.alias("y"), x.alias("x")))), lambda p: p.isNotNull())
-    ys, xs = F.transform(on, lambda p: p["y"]), F.transform(on, lambda p: p["x"])
-    return F.when(F.size(on) > 0, F.struct(F.array_min(ys).alias("top"), F.array_max(ys).alias("bottom"), F.array_min(xs).alias("left"), F.array_max(xs).alias("right")))
+    on = let(mask, lambda m: F.filter(pixels(side, lambda y, x: F.when(edge(m, side, y, x) >= 1, F.struct(y.alias("y"), x.alias("x")))), lambda p: p.isNotNull()))
+
+    def bounds(on: Column) -> Column:
+        ys, xs = F.transform(on, lambda p: p["y"]), F.transform(on, lambda p: p["x"])
+        return F.when(F.size(on) > 0, F.struct(F.array_min(ys).alias("top"), F.array_max(ys).alias("bottom"), F.array_min(xs).alias("left"), F.array_max(xs).alias("right")))
+
+    return let(on, bounds)

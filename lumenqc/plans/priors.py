@@ -104,11 +104,12 @@ def grown(on: Column, side: int, steps: Column) -> Column:
     """The mask dilated ``steps`` times by a cross, or until it doesn't change."""
     start = F.struct(on.alias("now"), F.lit(False).alias("done"))
 
-    def again(state: Column, k: Column) -> Column:
-        new = let(neighbourhood.dilated(state["now"], side), lambda n: F.struct(n.alias("now"), (n == state["now"]).alias("done")))
-        return F.when(state["done"] | (k > steps), state).otherwise(new)
+    def again(state: Column, _: Column) -> Column:
+        new = let(state["now"], lambda now: let(neighbourhood.dilated(now, side), lambda n: F.struct(n.alias("now"), (n == now).alias("done"))))
+        return F.when(state["done"], state).otherwise(new)
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(steps.cast("int"), F.lit(1))), start, again)["now"]
+    rounds = F.filter(F.sequence(F.lit(0), steps.cast("int")), lambda k: k > 0)
+    return F.aggregate(rounds, start, again)["now"]
 
 
 def ring(side: int, width: int) -> Column:
@@ -195,10 +196,11 @@ def anchored_prior(lit: DataFrame, size: Sizes) -> DataFrame:
     made = support(soft, size, 0.12, margin, margin)
     enough = total(c("soft")) >= size.enough
     bar = lambda name, q, least: F.when(enough, F.greatest(F.lit(least), quantile(where(c(name), c("soft")), q, 0.0)))
-    made = made.withColumns({"edge_bar": bar("edge", 0.50, 5.5), "texture_bar": bar("texture", 0.48, 4.0)})
-    formed = lambda p: (p["edge"] >= c("edge_bar")) | (p["texture"] >= c("texture_bar")) | (p["alpha"] >= SOLID)
-    near = by_pixel(["support", "white", "edge", "texture", "alpha"], lambda p: mask((p["support"] >= 1) & (p["white"] < 1) & formed(p)))
-    return made.withColumn("mask_prior", F.when(enough, near).otherwise(c("prior"))).drop("soft", "support", "edge_bar", "texture_bar")
+    bars = F.struct(bar("edge", 0.50, 5.5).alias("edge"), bar("texture", 0.48, 4.0).alias("texture"))
+    formed = lambda p, b: (p["edge"] >= b["edge"]) | (p["texture"] >= b["texture"]) | (p["alpha"] >= SOLID)
+    names = ["support", "white", "edge", "texture", "alpha"]
+    near = let(bars, lambda b: by_pixel(names, lambda p: mask((p["support"] >= 1) & (p["white"] < 1) & formed(p, b))))
+    return made.withColumn("mask_prior", F.when(enough, near).otherwise(c("prior"))).drop("soft", "support")
 
 
 def contact_shadow(lit: DataFrame, size: Sizes) -> DataFrame:
