@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenqc.llm import tokens
-from lumenqc.llm.common import written
+from lumenqc.llm.common import is_small, sole, written
 
 
 @dataclass
@@ -165,11 +165,12 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
         counts[r.length] = r.n
     made = plan(counts, capacity)
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # a row a task
-    firsts = by_task.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    # a row a length and task, so firsts grow with the pieces: shuffled, never broadcast
-    ranked = cut.join(firsts.hint("merge"), ["length", "task"]).withColumn("rank", F.col("rank") + F.col("first"))
+    firsts = written(by_task.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")), "firsts")
+    # a row a length and task, so firsts grow with the pieces: they are broadcast while they were counted to be few, and pieces stay where they are
+    ranked = cut.join(F.broadcast(firsts) if is_small(firsts) else firsts.hint("merge"), ["length", "task"]).withColumn("rank", F.col("rank") + F.col("first"))
 
     def placed(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
+        sole("places", dict)  # a worker that encoded before gives that memory back
         lengths, ranks = length.to_numpy(), rank.to_numpy()
         out = np.zeros((2, len(lengths)), np.int64)
         order = np.argsort(lengths, kind="stable")

@@ -119,3 +119,11 @@ def test_pack_keeps_the_ids(docs):
         assert r.offset == len(sequences[r.sequence_id])
         sequences[r.sequence_id] += r.ids
     assert sum(map(len, sequences.values())) == sum(len(want[r.doc_id]) for r in docs.select("doc_id").collect())
+
+
+def test_places_are_the_same_when_firsts_are_shuffled(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "word " * (i % 40)) for i in range(300)], "doc_id long, text string").repartition(4, "doc_id")
+    key = lambda df: sorted(map(str, df.drop("ids").collect()))
+    small = key(k.pack(docs, TOKENIZER, 64))
+    monkeypatch.setattr(k, "is_small", lambda df: False)
+    assert key(k.pack(docs, TOKENIZER, 64)) == small
