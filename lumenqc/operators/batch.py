@@ -15,9 +15,9 @@ def pending(items: DataFrame, cache: DataFrame, key: str = "key", fingerprint: s
 
 
 def insert_once(new: DataFrame, old: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    """``old`` and, of each key that it lacks, the first new row."""
-    first = Window.partitionBy(key).orderBy(*order)
-    fresh = new.join(old.select(key), key, "left_anti").withColumn("place", F.row_number().over(first)).where("place = 1").drop("place")
+    """``old`` and, of each key that it lacks, the first new row by the ascending columns ``order``; combined before the shuffle."""
+    row = F.struct(*(c for c in new.columns if c != key))
+    fresh = new.join(old.select(key), key, "left_anti").groupBy(key).agg(F.min_by(row, F.struct(*order)).alias("row")).select(key, "row.*")
     return old.unionByName(fresh)
 
 
