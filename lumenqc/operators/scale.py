@@ -1,43 +1,59 @@
 """Ranks and quantiles of groups of any size: exact, without a group's rows ever meeting in one task.
 
-A group's values are cut at approximate quantiles into parts; parts are counted, and a row's rank is its rank within the part
-plus the rows of the parts before.  Equal values count as one, weighted, so a value that holds a third of all rows is one row.
+Rows are sorted once by group and order into ranges of about equal size, whatever the groups are, and written with their places.
+A group's rows in a range are counted, and a row's rank is its place in the range plus the group's rows in the ranges before.
+The table of these counts has at most a row a group and one more a range; it is broadcast only if it was measured to be small.
+For quantiles equal values count as one, weighted, so a value that holds a third of all rows is one row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenqc.operators.shared import shared_path
 
-def parted(rows: DataFrame, group: str, value: Column, parts: int) -> DataFrame:
-    """``rows`` with ``part``, the number of the group's cuts under ``value``."""
-    split = rows.withColumn("split", value)
-    cuts = split.groupBy(group).agg(F.percentile_approx("split", [k / parts for k in range(1, parts)], 1000).alias("cuts"))  # a row a group
-    part = F.size(F.filter(F.array_distinct("cuts"), lambda c: c < F.col("split")))
-    return split.join(cuts, split[group].eqNullSafe(cuts[group])).drop(cuts[group]).withColumn("part", part).drop("split", "cuts")
+#: Counts of ranges are broadcast up to so many rows and characters of group names; others are joined by group and range.
+FEW_ROWS, FEW_CHARACTERS = 200_000, 10_000_000
 
 
-def before(rows: DataFrame, group: str, weight: Column) -> DataFrame:
-    """(group, part, rows in earlier parts, rows of the group) of parted rows."""
-    counts = rows.groupBy(group, "part").agg(F.sum(weight).alias("own"))
-    earlier = Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
-    return counts.select(group, "part", F.coalesce(F.sum("own").over(earlier), F.lit(0)).alias("earlier"), F.sum("own").over(Window.partitionBy(group)).alias("of"))
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` as a table in the shared folder, so that later steps see the same ranges even after a loss."""
+    path = shared_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def numbered(rows: DataFrame, group: str, order: list[str], parts: int = 64) -> DataFrame:
+def ranged(rows: DataFrame, keys: list[str], parts: int | None) -> DataFrame:
+    """``rows`` sorted by ``keys`` over all ranges, with ``at``, which ascends in that order, and the range's number ``part``."""
+    cut = rows.repartitionByRange(*([parts] if parts else []), *keys).sortWithinPartitions(*keys)
+    # the id has the range's number in its upper bits and the place in the range in its lower 33
+    return written(cut.withColumn("at", F.monotonically_increasing_id()), "ranges").withColumn("part", F.shiftright("at", 33))
+
+
+def with_counts(cut: DataFrame, group: str, weight: Column) -> DataFrame:
+    """``cut`` with, by group and range, the ``first`` place, the ``own`` weight, that of ``earlier`` ranges and ``of`` the group."""
+    counts = cut.groupBy(group, "part").agg(F.min("at").alias("first"), F.sum(weight).alias("own"))
+    whole = Window.partitionBy(group)  # a row a range
+    before = whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumns({"earlier": F.coalesce(F.sum("own").over(before), F.lit(0)), "of": F.sum("own").over(whole)})
+    counts = written(counts.withColumnsRenamed({group: "c_group", "part": "c_part"}), "counts")
+    n, characters = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length(F.col("c_group").cast("string"))), F.lit(0))).first()
+    few = n <= FEW_ROWS and characters <= FEW_CHARACTERS
+    same = cut[group].eqNullSafe(counts["c_group"]) & (cut["part"] == counts["c_part"])
+    return cut.join(F.broadcast(counts) if few else counts, same).drop("c_group", "c_part")
+
+
+def numbered(rows: DataFrame, group: str, order: list[str], parts: int | None = None) -> DataFrame:
     """``rows`` with their ``place`` in the group by ``order``, from 1, and how many the group is ``of``.
 
-    The first column of ``order`` is a number or a time by which the group is cut; its equal values stay together.
+    ``order`` should tell a group's rows apart: equal ones stay in one range, in any order.  Nulls go first.
     """
-    cut = parted(rows, group, F.col(order[0]), parts)
-    offsets = before(cut, group, F.lit(1)).withColumnsRenamed({group: "b_group", "part": "b_part"})
-    within = Window.partitionBy(group, "part").orderBy(*order)
-    placed = cut.withColumn("place", F.row_number().over(within))
-    joined = placed.join(offsets, placed[group].eqNullSafe(offsets["b_group"]) & (placed["part"] == offsets["b_part"]))
-    return joined.withColumn("place", F.col("place") + F.col("earlier")).drop("part", "earlier", "b_group", "b_part")
+    placed = with_counts(ranged(rows, [group, *order], parts), group, F.lit(1))
+    return placed.withColumn("place", F.col("at") - F.col("first") + F.col("earlier") + 1).drop("at", "part", "first", "own", "earlier")
 
 
 def last_rows(placed: DataFrame, group: str, size: int, made: Callable[[Window], dict[str, Column]], block: int = 10_000) -> DataFrame:
@@ -52,14 +68,16 @@ def last_rows(placed: DataFrame, group: str, size: int, made: Callable[[Window],
     return copies.withColumns(made(window)).where(F.col("block") == own).drop("block")
 
 
-def quantiles(rows: DataFrame, group: str, value: str, ranks: dict[str, Callable[[Column], Column]], parts: int = 64) -> DataFrame:
-    """A row per group: the values at ranks, from 1, that are given by how many values the group has; nulls don't count."""
+def quantiles(rows: DataFrame, group: str, value: str, ranks: dict[str, Callable[[Column], Column]], parts: int | None = None) -> DataFrame:
+    """A row per group: the values at ranks, from 1, that are given by how many values the group has; nulls don't count.
+
+    Only ranges that hold a wanted rank are summed up value by value.
+    """
     counts = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("n"))
-    cut = parted(counts, group, F.col(value), parts)
-    offsets = before(cut, group, F.col("n")).withColumnsRenamed({group: "b_group", "part": "b_part"})
-    within = Window.partitionBy(group, "part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    upto = cut.withColumn("upto", F.sum("n").over(within))
-    upto = upto.join(offsets, upto[group].eqNullSafe(offsets["b_group"]) & (upto["part"] == offsets["b_part"])).withColumn("upto", F.col("upto") + F.col("earlier"))
+    cut = with_counts(ranged(counts, [group, value], parts), group, F.col("n"))
+    held = [(F.col("earlier") < rank(F.col("of"))) & (rank(F.col("of")) <= F.col("earlier") + F.col("own")) for rank in ranks.values()]
+    within = Window.partitionBy(group, "part").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    upto = cut.where(reduce(Column.__or__, held)).withColumn("upto", F.sum("n").over(within) + F.col("earlier"))
     return upto.groupBy(group).agg(*(F.min(F.when(F.col("upto") >= rank(F.col("of")), F.col(value))).alias(name) for name, rank in ranks.items()))
 
 

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -14,22 +12,12 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lumenqc.operators import sinks
+from lumenqc.operators.shared import shared_path
 
 #: The name of the observation that counts what comes in.
 COUNTER = "rows_in"
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; only a local master gets a temporary one."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 def arriving(spark: SparkSession, folder: str, schema, files: str = "*.parquet", at_once: int = 64) -> DataFrame:
     """Parquet files of a folder as a stream, so many a trigger."""
     return spark.readStream.schema(schema).option("pathGlobFilter", files).option("maxFilesPerTrigger", at_once).parquet(folder)
