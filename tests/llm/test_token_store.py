@@ -91,3 +91,14 @@ def test_encoder_begins_anew_when_it_holds_much(monkeypatch):
     texts = [None, *(f"word{i} and other{i % 7}, WORD{i}" for i in range(60)), ""]
     t = Tokenizer.from_file(TOKENIZER)
     assert [x.tolist() for x in tokens.Encoder(TOKENIZER).ids(texts)] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
+def test_more_distinct_ids_than_the_tables_name_are_coded():
+    rng = np.random.default_rng(3)
+    some = np.unique(rng.integers(1 << 20, 1 << 32, 300_000, dtype=np.uint32))
+    ids = np.concatenate([rng.permutation(some), some[np.minimum(rng.zipf(1.3, 700_000), len(some)) - 1]]).astype(np.uint32)
+    made = c.encode(ids)
+    modes = [c.HEADER.unpack_from(b)[1] for b in made]
+    assert len(made) == 4 and modes[2:] == [c.CODED] * 2
+    assert (c.decode(b"".join(made)) == ids).all()
+    assert sum(map(len, made)) < 3.2 * len(ids)
