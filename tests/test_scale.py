@@ -60,3 +60,18 @@ def test_samples_progress_and_bench(rows, spark):
     assert (one.n, one.n_hot, one.n_one) == (902, len(hot), 1)
     assert (one.p50, one.p95) == (pytest.approx(np.median(x)), pytest.approx(np.percentile(x, 95)))
     assert scale.numbered(rows.where("false"), "g", ["n"]).count() == 0
+
+
+def test_many_counts_are_joined_by_group_and_range(rows, spark, monkeypatch):
+    want = {r.n: (r.place, r.of) for r in scale.numbered(rows, "g", ["n"], parts=4).collect()}
+    monkeypatch.setattr(scale, "FEW_ROWS", -1)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        placed = scale.numbered(rows, "g", ["n"], parts=4)
+        assert {r.n: (r.place, r.of) for r in placed.collect()} == want
+        plan = placed._jdf.queryExecution().executedPlan().toString()
+        dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+        assert dealt and all("shiftright" in line or "part#" in line for line in dealt), dealt  # never by group alone
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
