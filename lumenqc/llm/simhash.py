@@ -12,7 +12,8 @@ A segment value that many nodes share is indexed further: the other bits are cut
 two linked nodes agree in one of these parts, and only nodes that do are compared.
 
 Links go to connected components by alternating large-star and small-star rounds; each round is written to the
-shared folder.  Nothing is collected.
+shared folder.  Nothing is collected.  A component's hub, or the fingerprint of very many documents, isn't one task: the
+rows of such keys meet their one partner row where they are.
 
 Special cases: a null or blank text has fingerprint zero and links like any other; a text under three words
 is one shingle; a very long text is hashed whole, in bounded memory; a bit that is set in just half the shingles is 0; repeated
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenqc.llm.common import discard, new_path, without, written
+from lumenqc.llm.common import discard, joined, new_path, without, written
 
 SEED = 42
 
@@ -114,14 +115,16 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges = written(edges.select("a", "b"), "edges", path)
     for _ in range(max_rounds):
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select("m", F.col("v").alias("w")).where("m <> w").distinct()
-        down = large.select(F.greatest("m", "w").alias("u"), F.least("m", "w").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("x"), "m"), F.struct(F.col("u").alias("x"), "m"))).alias("e")).select(F.col("e.m").alias("a"), F.col("e.x").alias("b"))
+        paths = [new_path(spark, name) for name in ("least", "down", "least")]
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least", paths[0])
+        large = joined(both, least, "u", "inner").where("v > u").select("m", F.col("v").alias("w")).where("m <> w").distinct()
+        down = written(large.select(F.greatest("m", "w").alias("u"), F.least("m", "w").alias("v")), "down", paths[1])
+        least = written(down.groupBy("u").agg(F.min("v").alias("m")), "least", paths[2])
+        small = joined(down, least, "u", "inner").select(F.explode(F.array(F.struct(F.col("v").alias("x"), "m"), F.struct(F.col("u").alias("x"), "m"))).alias("e")).select(F.col("e.m").alias("a"), F.col("e.x").alias("b"))
         last, path = path, new_path(spark, "edges")
         edges = written(small.where("a <> b").distinct(), "edges", path)
-        discard(spark, last)
+        for done in (last, *paths):
+            discard(spark, done)
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == seen:
             break
@@ -136,9 +139,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marked = written(fingerprints(docs, id_col, text_col, words), "fingerprints")
     nodes = written(marked.groupBy("fp").agg(F.min(id_col).alias("least")), "nodes")
     roots = components(links(nodes, max_bits, segments))
-    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return marked.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rooted = written(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    names = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "names")
+    named = written(joined(rooted, names, "root", "inner").select("fp", "component_id"), "named")
+    return joined(marked, named, "fp", "inner").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -98,3 +98,25 @@ def test_common_segments_are_joined_by_finer_parts(spark):
     assert len(want) > 100
     for segments in (2, 4):
         assert {(r.a, r.b) for r in s.links(nodes, segments=segments, common=20).collect()} == want
+
+
+def test_hubs_and_common_fingerprints_meet_where_they_are(spark, monkeypatch):
+    """With nothing but the rows of common keys counted as small, a hub's rows and those of a common fingerprint aren't shuffled."""
+    from lumenqc.llm import common
+
+    rows = [(i, "" if i % 3 else f"w{i} x{i % 7} y z") for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    star = spark.createDataFrame([(-5, i) for i in range(300)] + [(1000 + i, 1001 + i) for i in range(9)], "a long, b long")
+    want = {r.doc_id: r.component_id for r in s.near_duplicates(docs).collect()}
+    assert want == smallest([i for i, _ in rows], [plain(t) for _, t in rows])
+    plainly, seen = common.is_small, []
+
+    def few(df, rows=0, size=0):
+        seen.append(plainly(df, 3))
+        return seen[-1]
+
+    monkeypatch.setattr(common, "is_small", few)
+    roots = {r.node: r.root for r in s.components(star).collect()}
+    assert roots == {i: -5 for i in (-5, *range(300))} | {1000 + i: 1000 for i in range(10)}
+    assert {r.doc_id: r.component_id for r in s.near_duplicates(docs).collect()} == want
+    assert True in seen and False in seen
