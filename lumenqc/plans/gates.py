@@ -128,10 +128,10 @@ def large_loss(missing: Column, lost_cells: Column, lost_share: Column, wipe: Co
     )
 
 
-def integrity(c) -> dict[str, Column]:
-    """The four scores before the spatial corrections, and the whole, from shares of pixels."""
+def integrity(c, toned: Column | None = None) -> dict[str, Column]:
+    """The four scores before the spatial corrections, and the whole, from shares of pixels; ``toned``: whether the middle tones are enough to judge."""
     wipe, texture, edge, keep = c("prior_wipe_frac"), c("texture_ratio"), c("edge_energy_ratio"), c("strong_edge_keep")
-    selective = (c("mid_prior_wipe") >= 0.38) & (c("dark_prior_wipe") <= 0.25)
+    selective = (c("mid_prior_wipe") >= 0.38) & (c("dark_prior_wipe") <= 0.25) & (F.lit(True) if toned is None else toned)
     shape = clamp(100.0 * c("prior_kept_frac") - 55.0 * F.greatest(F.lit(0.0), wipe - 0.18) - F.when(selective, 35.0).otherwise(0.0))
     detail = 50.0 * F.least(F.lit(1.15), texture) + 50.0 * F.least(F.lit(1.15), edge)
     detail = clamp(F.when(texture < 0.32, F.least(detail, F.lit(28.0))).when(texture < 0.55, F.least(detail, F.lit(55.0))).otherwise(detail))

@@ -8,13 +8,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenqc.functions import filters
-from lumenqc.plans import analysis, gates, priors
-from lumenqc.queries import GREY_SQL, NEIGHBOURS_SQL, _labels_sql, grey, neighbours, query, r, read
+from lumenqc import oracles
+from lumenqc.functions import filters, text
+from lumenqc.plans import analysis, gates, measures, priors, spatial
+from lumenqc.queries import _CUTOUT_RULES, _INTEGRITY_RULES, GREY_SQL, NEIGHBOURS_SQL, _labels_sql, _spoken_sql, grey, neighbours, query, r, read
 
 SIDE = 8
 #: The gates' sizes for rasters this small.
 SIZE = priors.Sizes(SIDE, ring=1, enough=6, smoothing=1, growth=1, most_growth=3, halo=2, penumbra=1)
+NEED = measures.Need(foreground=6, solid=3, band=3, band_radius=1, prior=6, fallback=4, tones=4, selective=8, edges=4)
 
 
 def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,3 +208,82 @@ def image_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Light, colour, sharpness, noise and background of each picture."""
     made = analysis.analysed(pictures(spark, sf_dir), SIDE)
     return made.select("vec_id", *("wb_tendency" if k == "wb_tendency" else r(k).alias(k) for k in analysis.MEASURES))
+
+
+# ---- gates on measured pictures
+
+_SIDES = "(CASE WHEN y = 0 THEN 1 ELSE 0 END + CASE WHEN y = 7 THEN 1 ELSE 0 END + CASE WHEN x = 0 THEN 1 ELSE 0 END + CASE WHEN x = 7 THEN 1 ELSE 0 END)"
+_CONFIDENCE = [
+    ("ns / 64.0 < 0.01", 0.55, "tiny_foreground"), ("ns / 64.0 > 0.55", 0.35, "full_frame_mask"), ("border > 0.15", 0.18, "border_clipping"), ("pieces >= 8", 0.22, "fragmented"),
+    ("pieces BETWEEN 4 AND 7", 0.10, "multi_component"), ("nd > 0 AND 1 - nd / greatest(ns, 1) > 0.45", 0.08, "many_holes"), ("fog / greatest(ns, 1) > 0.55", 0.15, "foggy_alpha"), ("alpha < 95", 0.12, "weak_alpha"),
+]
+
+
+@query(f"""WITH RECURSIVE {PIXELS_SQL}, one AS (SELECT vec_id, y, x, v[i + 1] AS a FROM px), solid AS (SELECT vec_id, y, x FROM one WHERE a >= 128), {_labels_sql("k", "solid")}, c AS (SELECT vec_id, count(*) AS pieces FROM k GROUP BY 1),
+m AS (SELECT vec_id, count(*) FILTER (WHERE a >= 40) AS ns, count(*) FILTER (WHERE a >= 128) AS nd, count(*) FILTER (WHERE a >= 40 AND a < 140) AS fog, coalesce(avg(a) FILTER (WHERE a >= 40), 0) AS alpha,
+coalesce(sum({_SIDES}) FILTER (WHERE a >= 40), 0) / 32.0 AS border FROM one GROUP BY 1), w AS (SELECT m.*, coalesce(pieces, 0) AS pieces FROM m LEFT JOIN c USING (vec_id))
+SELECT vec_id, round(border, 4)::DOUBLE AS border_hit, pieces::INT AS n_components, round(alpha, 4)::DOUBLE AS mean_alpha, round(greatest(0.0, 1.0 - ({" + ".join(f"CASE WHEN {w} THEN {cost}::DOUBLE ELSE 0 END" for w, cost, _ in _CONFIDENCE)})), 4)::DOUBLE AS confidence,
+array_to_string(list_filter([{", ".join(f"CASE WHEN {w} THEN '{tag}' END" for w, _, tag in _CONFIDENCE)}], lambda t: t IS NOT NULL), ';') AS warnings FROM w""")
+def mask_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each raster can be trusted as a mask, and why not."""
+    made = measures.mask_confidence(rasters(spark, sf_dir).withColumnRenamed("x", "alpha"), SIDE)
+    return made.select("vec_id", r("border_hit").alias("border_hit"), "n_components", r("mean_alpha_soft").alias("mean_alpha"), r("confidence").alias("confidence"), text.joined(F.col("warnings")).alias("warnings"))
+
+
+_REACH = "(least(8, {1} + 1 + greatest(1, floor(({1} - {0} + 1) * 0.03))) - greatest(0, {0} - greatest(1, floor(({1} - {0} + 1) * 0.03))))"
+_CUT_MEASURES = ("fog_of_fg", "solid_of_fg", "roi_solid_fill", "visibility", "solid_std", "near_white_in_solid", "edge_band_frac", "edge_band_mean_alpha")
+
+
+@query(f"""WITH {PICTURES_SQL}, p AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, r[i + 1] AS r, g[i + 1] AS g, b[i + 1] AS b, al[i + 1] AS a, list_max(list_transform(range(9), lambda k: {_near("al", "i // 8 + k // 3 - 1", "i % 8 + k % 3 - 1")})) >= 160 AS ring FROM p0),
+n AS (SELECT vec_id, count(*) FILTER (WHERE a >= 40) AS nf, count(*) FILTER (WHERE a >= 160) AS nd, count(*) FILTER (WHERE a >= 40 AND a < 150) AS fog, {_REACH.format("(min(y) FILTER (WHERE a >= 40))", "(max(y) FILTER (WHERE a >= 40))")} * {_REACH.format("(min(x) FILTER (WHERE a >= 40))", "(max(x) FILTER (WHERE a >= 40))")} AS area,
+avg(255 - least(r, g, b)) FILTER (WHERE a >= 160) AS seen, count(*) FILTER (WHERE a >= 160 AND least(r, g, b) >= 245) AS white, count(*) FILTER (WHERE ring AND a >= 40 AND a < 160) AS nb, avg(a) FILTER (WHERE ring AND a >= 40 AND a < 160) AS ba FROM p GROUP BY 1),
+t AS (SELECT vec_id, stddev_pop(v) AS spread FROM (SELECT vec_id, unnest([r, g, b]) AS v FROM p WHERE a >= 160) GROUP BY 1),
+m AS (SELECT vec_id, vec_id % 3 = 0 AS difficult, nf, nd, CASE WHEN nf > 0 THEN fog / nf ELSE 1 END AS fog_of_fg, nd / greatest(nf, 1) AS solid_of_fg, CASE WHEN nf > 0 THEN nd / area END AS roi_solid_fill, CASE WHEN nd >= 3 THEN seen END AS visibility, CASE WHEN nd >= 3 THEN spread END AS solid_std,
+CASE WHEN nd >= 3 THEN white / nd END AS near_white_in_solid, CASE WHEN nd >= 3 AND nf > nd AND nb >= 3 THEN nb / nf END AS edge_band_frac, CASE WHEN nd >= 3 AND nf > nd AND nb >= 3 THEN ba END AS edge_band_mean_alpha FROM n LEFT JOIN t USING (vec_id)),
+s AS (SELECT *, {_spoken_sql(_CUTOUT_RULES)} FROM m)
+SELECT vec_id, {", ".join(f"round({k}, 4)::DOUBLE AS {k}" for k in _CUT_MEASURES)}, CASE WHEN nf < 6 THEN 'foreground_too_small' WHEN nd < 3 THEN concat_ws(';', nullif(bads, ''), 'foggy_alpha_edges') ELSE bads END AS bads, CASE WHEN nf < 6 THEN '' ELSE warns END AS warns, CASE WHEN nf < 6 THEN '' ELSE posits END AS posits FROM s""")
+def cutout_measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cutout gate on every picture: measured and tagged; a third of them counts as difficult scenes."""
+    made = measures.cutout_measures(pictures(spark, sf_dir), SIDE, NEED)
+    said = measures.cutout_said(F.col("vec_id") % 3 == 0, NEED)
+    return made.select("vec_id", *(r(k).alias(k) for k in _CUT_MEASURES), *(text.joined(v).alias(k) for k, v in said.items()))
+
+
+_ON_WHITE = "list_transform(range(1, 65), lambda i: floor(({0}[i] * al[i] + (255 - al[i]) * 255) / 255.0::DOUBLE + 0.5))"
+_OX, _OY = (e.replace("l[", "lo[") for e in (_GX, _GY))
+_KEPT = "prior_kept_frac"
+_INTEGRITY_MEASURES = (_KEPT, "prior_wipe_frac", "mid_prior_wipe", "dark_prior_wipe", "texture_ratio", "edge_energy_ratio", "strong_edge_keep", "whiteout_frac", "blown_frac")
+_clamp = oracles.clamp
+
+
+@query(f"""WITH RECURSIVE {PRIOR_SQL}, {_support("near", 0.12, "floor(0.22 * greatest(h, w))", "floor(0.22 * greatest(h, w))")},
+bars AS (SELECT vec_id, count(*) FILTER (WHERE al >= 40) AS soft, greatest(5.5, quantile_cont(edge, 0.50) FILTER (WHERE al >= 40)) AS eb, greatest(4.0, quantile_cont(texture, 0.48) FILTER (WHERE al >= 40)) AS tb FROM px GROUP BY 1),
+o AS MATERIALIZED (SELECT p.*, {_on("prior")} AS pr, CASE WHEN soft < 6 THEN {_on("prior")} ELSE {_on("near")} AND NOT white AND (edge >= eb OR texture >= tb OR al >= 80) END AS mp FROM px p JOIN bars USING (vec_id)),
+w0 AS (SELECT vec_id, {_ON_WHITE.format("r")} AS r, {_ON_WHITE.format("g")} AS g, {_ON_WHITE.format("b")} AS b FROM q), w1 AS (SELECT *, list_transform(range(64), lambda i: {LUMA.format("i + 1")}) AS lo, unnest(range(64)) AS i FROM w0),
+fin AS MATERIALIZED (SELECT vec_id, i, lo[i + 1] AS ol, sqrt(({_OX} * 0.5) * ({_OX} * 0.5) + ({_OY} * 0.5) * ({_OY} * 0.5)) AS oe, sqrt(greatest(0.0, {_window_sql("list_transform(lo, lambda v: v * v)", 2)} - ({_window_sql("lo", 2)}) * ({_window_sql("lo", 2)}))) AS ot, least(r[i + 1], g[i + 1], b[i + 1]) >= 248 AS ow FROM w1),
+u AS (SELECT vec_id, count(*) FILTER (WHERE pr) / 64.0 > 0.42 AS unsure, count(*) FILTER (WHERE pr) AS np, count(*) FILTER (WHERE mp) AS nm FROM o GROUP BY 1), u2 AS (SELECT *, CASE WHEN unsure THEN nm ELSE np END < 6 AS few FROM u),
+e AS (SELECT o.vec_id, al, luma, edge, texture, ol, oe, ot, ow FROM o JOIN u2 USING (vec_id) JOIN fin USING (vec_id, i) WHERE CASE WHEN few THEN al >= 40 WHEN unsure THEN mp ELSE pr END),
+z AS (SELECT e.*, bar FROM e JOIN (SELECT vec_id, greatest(6.0, quantile_cont(edge, 0.70)) AS bar FROM e GROUP BY 1) USING (vec_id)),
+a AS (SELECT vec_id, count(*) AS n, count(*) FILTER (WHERE al >= 80) AS k, count(*) FILTER (WHERE al < 48) AS gone, count(*) FILTER (WHERE luma BETWEEN 95 AND 220) AS mid, count(*) FILTER (WHERE luma BETWEEN 95 AND 220 AND al < 48) AS mid_gone, count(*) FILTER (WHERE luma < 95) AS dark, count(*) FILTER (WHERE luma < 95 AND al < 48) AS dark_gone,
+avg(ot) FILTER (WHERE al >= 80) AS t1, avg(texture) FILTER (WHERE al >= 80) AS t0, avg(oe) FILTER (WHERE al >= 80) AS e1, avg(edge) FILTER (WHERE al >= 80) AS e0, count(*) FILTER (WHERE edge >= bar) AS strong, count(*) FILTER (WHERE edge >= bar AND al >= 80) AS strong_kept, count(*) FILTER (WHERE luma < 245) AS lit,
+count(*) FILTER (WHERE luma < 245 AND al >= 40 AND ow AND ot < 3.5) AS whiteout, count(*) FILTER (WHERE luma < 200 AND al >= 80 AND ol >= 245 AND ot < 5) AS blown FROM z GROUP BY 1),
+m AS (SELECT vec_id, CASE WHEN few THEN 'alpha_fallback' WHEN unsure THEN 'mask_anchored' ELSE 'independent' END AS prior_mode, coalesce(n, 0) AS n, few AND coalesce(n, 0) < 4 AS small, coalesce(mid, 0) AS mid, coalesce(k, 0) / greatest(1, coalesce(n, 0)) AS {_KEPT}, coalesce(gone, 0) / greatest(1, coalesce(n, 0)) AS prior_wipe_frac,
+CASE WHEN mid >= 4 THEN mid_gone / mid ELSE 0 END AS mid_prior_wipe, CASE WHEN dark >= 4 THEN dark_gone / dark ELSE 0 END AS dark_prior_wipe, CASE WHEN k > 0 THEN t1 / greatest(0.001, t0) ELSE 0 END AS texture_ratio, CASE WHEN k > 0 THEN e1 / greatest(0.001, e0) ELSE 0 END AS edge_energy_ratio,
+CASE WHEN strong >= 4 THEN strong_kept / strong ELSE coalesce(k, 0) / greatest(1, coalesce(n, 0)) END AS strong_edge_keep, coalesce(whiteout / greatest(1, lit), 0) AS whiteout_frac, coalesce(blown / greatest(1, lit), 0) AS blown_frac FROM u2 LEFT JOIN a USING (vec_id)),
+f AS (SELECT *, {_clamp(f"100.0 * {_KEPT} * (1.0 - 0.55 * prior_wipe_frac)")} AS foreground_survival_score, {_clamp(f"100.0 * {_KEPT} - 55.0 * greatest(0.0, prior_wipe_frac - 0.18) - CASE WHEN mid_prior_wipe >= 0.38 AND dark_prior_wipe <= 0.25 AND mid >= 8 THEN 35.0 ELSE 0.0 END")} AS shape,
+50.0 * least(1.15, texture_ratio) + 50.0 * least(1.15, edge_energy_ratio) AS raw_detail, {_clamp("CASE WHEN strong_edge_keep < 0.40 THEN least(100.0 * strong_edge_keep, 30.0) ELSE 100.0 * strong_edge_keep END")} AS edges, greatest(whiteout_frac, blown_frac) AS white,
+100.0 - 120.0 * greatest(whiteout_frac, 1.2 * blown_frac) AS raw_over FROM m), h AS (SELECT *, {_clamp("CASE WHEN texture_ratio < 0.32 THEN least(raw_detail, 28.0) WHEN texture_ratio < 0.55 THEN least(raw_detail, 55.0) ELSE raw_detail END")} AS detail, {_clamp("CASE WHEN white >= 0.28 THEN least(raw_over, 22.0) ELSE raw_over END")} AS over FROM f),
+s AS (SELECT *, {_spoken_sql(_INTEGRITY_RULES)} FROM h)
+SELECT vec_id, prior_mode, n::INT AS n_product, {", ".join(f"round({k}, 4)::DOUBLE AS {k}" for k in _INTEGRITY_MEASURES)}, CASE WHEN NOT small THEN round(0.30 * shape + 0.20 * detail + 0.15 * edges + 0.15 * over + 0.20 * least(100.0, foreground_survival_score), 4)::DOUBLE END AS integrity,
+CASE WHEN small THEN 'empty_or_tiny_foreground' ELSE bads END AS bads, CASE WHEN small THEN '' ELSE warns END AS warns, CASE WHEN small THEN '' ELSE posits END AS posits FROM s""")
+def integrity_measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each picture's cutout laid on white against the raw picture: what is left of the product, scored and tagged.  All wiped pixels count as one lost region."""
+    c = F.col
+    on_white = lambda name: F.zip_with(name, "alpha", lambda v, a: F.floor((v * a + (255.0 - a) * 255.0) / 255.0 + 0.5).cast("double"))
+    shown = pictures(spark, sf_dir).withColumns({f"out_{k}": on_white(k) for k in "rgb"})
+    made = measures.integrity_measures(priors.anchored_prior(priors.raw_prior(priors.background(shown, SIZE), SIZE), SIZE), SIDE, NEED)
+    made = made.withColumn("foreground_survival_score", spatial.survival_score(c(_KEPT), c("prior_wipe_frac")))
+    said = measures.integrity_said(NEED)
+    return made.select(
+        "vec_id", "prior_mode", "n_product", *(r(k).alias(k) for k in _INTEGRITY_MEASURES), r(said["raw_final_integrity"]).alias("integrity"), *(text.joined(said[k]).alias(k) for k in ("bads", "warns", "posits"))
+    )
