@@ -20,16 +20,27 @@ LEAST_SCORE = 0.5
 #: It goes too if its letters are less likely than this in the best language (mean log-likelihood).  At sf0.01 learned
 #: languages reach -2.36 to -1.22; with one of the four left out of the training, 99 of 100 of its texts are under -2.9.
 LEAST_FIT = -2.6
+#: Rows and bytes of the batches that Spark hands to Python.  Whole documents go along: in batches of the usual 10,000 rows, the
+#: buffers of both sides take some 100 MB more a task.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2_000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's batches to ``BATCH``; so they stay, as a stage's rows are made only when they are asked for."""
+    for key, most in BATCH.items():
+        spark.conf.set(key, most)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of no recognisable language go.  The model learns from the labelled documents given; without any, all stay."""
+    small_batches(spark)
     model = language.train(docs, tokenizer_file("piece_bpe_32k.model"))
     return language.keep_known(docs, model, LEAST_SCORE, fit=LEAST_FIT)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group stays."""
+    small_batches(spark)
     return simhash.keep_one(docs)
 
 
@@ -40,11 +51,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in the texts are replaced by their kind; every document stays."""
+    small_batches(spark)
     return secret_scan.redact_secrets(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' ids by piece, each with its place in the sequences of 4096."""
+    small_batches(spark)
     return packing.pack(docs, tokenizer_file("word_bpe_49k.json"))
 
 

@@ -30,7 +30,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenqc.llm.common import lots, sole, written
+from lumenqc.llm.common import lots, slices, sole, written
 
 LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 32
@@ -40,7 +40,7 @@ CACHE = 400_000
 class Vocabulary:
     """Pieces by a 64-bit polynomial hash, so that all substrings of many words are looked up at once."""
 
-    BASE, BITS = np.uint64(0x9E3779B97F4A7C15 | 1), 21
+    BASE, BITS = np.uint64(0x9E3779B97F4A7C15 | 1), 18  # tables of 3 MB
 
     def __init__(self, path: str) -> None:
         import sentencepiece
@@ -288,7 +288,7 @@ def keep_known(docs: DataFrame, model: Model | None, least: float = 0.5, text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value, CACHE // 3)  # whole rows go along here, so less room is left for words
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array([x != "und" and y >= least and z >= fit for x, y, z in scorer.judge(batch.column(where))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenqc.llm import tokens
-from lumenqc.llm.common import is_small, sole, written
+from lumenqc.llm.common import is_small, nothing_kept, written
 
 
 @dataclass
@@ -170,7 +170,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
     ranked = cut.join(F.broadcast(firsts) if is_small(firsts) else firsts.hint("merge"), ["length", "task"]).withColumn("rank", F.col("rank") + F.col("first"))
 
     def placed(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        sole("places", dict)  # a worker that encoded before gives that memory back
+        nothing_kept()
         lengths, ranks = length.to_numpy(), rank.to_numpy()
         out = np.zeros((2, len(lengths)), np.int64)
         order = np.argsort(lengths, kind="stable")

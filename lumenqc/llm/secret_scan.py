@@ -25,6 +25,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lumenqc.llm.common import nothing_kept, slices
+
 # The base kinds and their patterns.
 ASSIGN = re.compile(
     r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -187,7 +189,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per document: counts of the base kinds, digest of the base spans, and all spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        nothing_kept()
+        for batch in slices(batches):
             rows = [scan(t or "") for t in batch.column(1).to_pylist()]
             base = [[s for s in r if s[2] in BASE_KINDS] for r in rows]
             counts = [pa.array([sum(s[2] == k for s in r) for r in base], pa.int64()) for k in BASE_KINDS]
@@ -206,7 +209,8 @@ def redact_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     where = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        nothing_kept()
+        for batch in slices(batches):
             texts = [t if t is None else redact(t, scan(t)) for t in batch.column(where).to_pylist()]
             arrays = [*batch.columns]
             arrays[where] = pa.array(texts, batch.schema.field(where).type)

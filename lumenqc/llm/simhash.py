@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenqc.llm.common import discard, joined, new_path, without, written
+from lumenqc.llm.common import discard, joined, new_path, nothing_kept, slices, without, written
 
 SEED = 42
 
@@ -62,7 +62,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, fp): fp is the fingerprint's 64 bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        nothing_kept()
+        for batch in slices(batches):
             made = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], names=[id_col, "fp"])
 

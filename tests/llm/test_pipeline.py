@@ -1,11 +1,13 @@
 import itertools
 import random
 
+import pyarrow as pa
 from public_tokenizers import path
+from pyspark.sql.types import LongType, StringType, StructType
 from tokenizers import Tokenizer
 
 import corpus_pipeline as c
-from lumenqc.llm import language, secret_scan, simhash
+from lumenqc.llm import common, language, secret_scan, simhash
 from lumenqc.llm.common import table
 from tests.llm.test_language import WORDS
 from tests.llm.test_simhash import plain, smallest
@@ -85,3 +87,34 @@ def test_odd_rows_and_empty_tables_go_through(spark, tmp_path, docs, none):
     assert got == sorted([i for i, _ in rows if i is None or least[i] == i], key=str)
     assert got.count(1) == 2
     assert c.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_python_gets_small_batches(spark):
+    docs = spark.range(5000).selectExpr("id doc_id", "'a text' text").coalesce(1)
+    for stage in (c.near_duplicates, c.secrets):
+        for key in c.BATCH:
+            spark.conf.unset(key)
+        stage(spark, docs, "")
+        sizes = docs.mapInArrow(lambda batches: (pa.record_batch({"n": [len(b)]}) for b in batches), "n long").collect()
+        assert sum(r.n for r in sizes) == 5000 and max(r.n for r in sizes) <= 2000
+
+
+class Given:
+    """Instead of rows gives the function that a stage hands to its tasks."""
+
+    columns, schema = ["doc_id", "text"], StructType().add("doc_id", LongType()).add("text", StringType())
+
+    def select(self, *names):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_a_worker_gives_back_what_the_stage_before_kept():
+    batch = pa.record_batch({"doc_id": pa.array(range(1200), pa.int64()), "text": ["a text"] * 1200})
+    for make in (simhash.fingerprints, secret_scan.find_secrets, secret_scan.redact_secrets):
+        common.sole("tables of the stage before", lambda: [0] * 1000)
+        made = list(make(Given())(iter([batch])))
+        assert "tables of the stage before" not in common._kept
+        assert sum(map(len, made)) == 1200 and max(map(len, made)) <= 500
