@@ -21,6 +21,7 @@ further columns are not read.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 from collections import Counter
 from collections.abc import Iterator
@@ -33,10 +34,10 @@ from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
-from lumenqc.llm.common import sole, written
+from lumenqc.llm.common import listed, sole, written
 from lumenqc.llm.tokens import Ragged
 
-#: Chunks that a worker keeps, the longest of them in bytes, those that are encoded in one line, and bytes of text that are aligned at once.
+#: Chunks that a worker keeps (beyond, up to half stay, those met most often), the longest of them in bytes, those that are encoded in one line, and bytes of text that are aligned at once.
 KEPT, LONGEST, LINE, LOT = 120_000, 200, 500, 700_000
 #: So far from the middle ends are looked for one by one.
 PROBES = 4
@@ -124,7 +125,10 @@ class Pair:
     def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of space + text for each: A's and B's ids, where each text's end, and whether a text has tokens at all."""
         if len(self.a_ids.number) > KEPT:
-            self.a_ids, self.b_ids, self.lossy = Ragged(), Ragged(), set()
+            kept = self.a_ids.often(KEPT // 2)
+            self.lossy = set(np.flatnonzero(np.isin(kept, np.fromiter(self.lossy, np.int64))).tolist())
+            for store in (self.a_ids, self.b_ids):
+                store.keep(kept)
         whole = np.frombuffer((" " + " ".join(texts)).encode(), np.uint8)
         sizes = np.array([len(t.encode()) + 1 for t in texts], np.int64)
         starts = np.cumsum(sizes) - sizes
@@ -138,12 +142,16 @@ class Pair:
         # long chunks are seldom met twice: they are not kept
         long = np.flatnonzero(ends - begins > LONGEST)
         found = pc.if_else(pa.array(ends - begins > LONGEST), pa.scalar(" "), chunks).dictionary_encode()
-        names = found.dictionary.to_pylist()
+        names = listed(found.dictionary)
         number = self.a_ids.number
-        new = [x for x in names if x not in number]
-        if new:
+        numbers = np.fromiter(map(number.get, names, itertools.repeat(-1)), np.int64, len(names))
+        lacking = np.flatnonzero(numbers < 0)
+        if len(lacking):
+            new = [names[k] for k in lacking.tolist()]
             self.learn(new)
-        rows = np.fromiter((number[x] for x in names), np.int64, len(names))[found.indices.to_numpy()]
+            numbers[lacking] = list(map(number.__getitem__, new))
+        self.a_ids.met[numbers] += 1
+        rows = numbers[found.indices.to_numpy()]
         fine = np.ones(len(texts), bool)
         if self.lossy:
             fine[text_of[np.isin(rows, np.fromiter(self.lossy, np.int64))]] = False  # a space, which stands for long chunks, isn't
@@ -320,8 +328,8 @@ def judged(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     told = written(link_counts(found, b_path), "link-table")  # bounded by the vocabularies: see most_links
     kept = ("row", "doc_id", "n_a", "n_b", "n_groups", "groups_sha256")
     each = found.select(*kept, F.inline_outer(F.arrays_zip(c("links").alias("link"), c("times").alias("n")))).join(F.broadcast(told), "link", "left")
-    sums = each.groupBy("row").agg(
-        *(F.first(k).alias(k) for k in kept[1:]),
+    # all of ``kept`` follow from the row: as keys, unlike as first values, they let Spark sum without a sort
+    sums = each.groupBy(*kept).agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n_links"),
         F.coalesce(F.sum(F.when(c("best"), c("n"))), F.lit(0)).alias("n_best"),
         F.coalesce(F.sum(c("n") * c("count")), F.lit(0)).alias("count_sum"),

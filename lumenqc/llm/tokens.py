@@ -64,6 +64,7 @@ class Ragged:
     def __init__(self) -> None:
         self.number: dict[str, int] = {}
         self.flat, self.ends = np.zeros(1 << 16, np.uint32), np.zeros((1 << 12) + 1, np.int64)
+        self.met = np.zeros(1 << 12, np.int32)  # by row: lots that asked for it
 
     def add(self, keys: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
         n, used = len(self.number), int(self.ends[len(self.number)])
@@ -71,6 +72,8 @@ class Ragged:
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
         while n + len(keys) >= len(self.ends):
             self.ends = np.concatenate((self.ends, np.zeros_like(self.ends)))
+        while n + len(keys) > len(self.met):
+            self.met = np.concatenate((self.met, np.zeros_like(self.met)))
         self.flat[used : used + len(ids)] = ids
         self.ends[n + 1 : n + 1 + len(keys)] = ends + used
         self.number.update(zip(keys, range(n, n + len(keys)), strict=True))
@@ -84,6 +87,21 @@ class Ragged:
         at += np.repeat(begin - ends + n, n)
         return self.flat[at], ends
 
+    def often(self, most: int) -> np.ndarray:
+        """The rows that more than one lot has asked for; at most so many, those asked for most."""
+        met = self.met[: len(self.number)]
+        rows = np.flatnonzero(met > 1)
+        return rows if len(rows) <= most else np.sort(rows[np.argsort(-met[rows], kind="stable")[:most]])
+
+    def keep(self, rows: np.ndarray) -> None:
+        """Drops all but these rows, which are numbered anew and must be asked for again to stay once more."""
+        keys = list(self.number)
+        keys = [keys[k] for k in rows.tolist()]
+        ids, ends = self.gather(rows)
+        self.__init__()
+        self.add(keys, ids, ends)
+        self.met[: len(keys)] = 1
+
 
 class Encoder:
     def __init__(self, path: str) -> None:

@@ -133,3 +133,20 @@ def test_what_a_worker_keeps_is_bounded(monkeypatch):
     for k in range(30):
         two.tokens([f"word{k} and some others {k * 7}"])
         assert len(two.a_ids.number) < 40
+
+
+def test_chunks_met_in_several_lots_outlast_a_full_store(monkeypatch):
+    monkeypatch.setattr(al, "KEPT", 20)
+    two, learned = al.Pair(A, B), []
+    monkeypatch.setattr(two, "learn", lambda chunks, learn=two.learn: (learned.extend(chunks), learn(chunks)))
+    for k in range(40):
+        text = f"and usual word{k} caf\u00e9\u2003x others{k * 7}"
+        a, b, _, _, fine = two.tokens([text])
+        if fine.all():
+            assert a.tolist() == two.a.encode(" " + text, add_special_tokens=False).ids and b.tolist() == two.b.encode(text)
+        assert fine.tolist() == two.singly([" " + text])[2]
+    assert learned.count(" usual") == 1
+
+
+def test_sums_are_made_without_a_sort(docs):
+    assert "SortAggregate" not in al.judged(docs, A, B)._jdf.queryExecution().executedPlan().toString()
