@@ -3,7 +3,7 @@
 The tokenizer's normaliser turns white space into one space and its pre-tokenizer never joins across it, so
 the ids of a text are those of its chunks between white space in order (``splits_at_space`` checks the file for that).
 Arrow cuts texts into chunks and numbers the distinct ones; each worker keeps the ids of the chunks that it has met,
-and what it keeps is bounded; a text's ids are then gathered by number.
+and what it keeps is bounded: when that is full, those met in several lots stay; a text's ids are then gathered by number.
 
 Of a new chunk in Latin-1 letters, digits and marks the pieces are found here, by the file's own pattern on the lower-cased
 chunk (``plain_pieces`` checks the file for that); the library's byte-pair model then encodes distinct pieces alone, without
@@ -22,9 +22,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from lumenqc.llm.common import sole
+from lumenqc.llm.common import listed, sole
 
-#: Chunks and pieces that a worker keeps; beyond, it starts anew.  Pieces are fewer and cost more to encode again.
+#: Chunks and pieces that a worker keeps; beyond, up to half stay, those met most often.  Pieces are fewer and cost more to encode again.
 CACHE, PIECE_CACHE = 250_000, 600_000
 #: Bytes of text that are encoded at once.
 LOT = 3_000_000
@@ -140,7 +140,7 @@ class Encoder:
         if not chunks:
             return
         found = pa.array(PIECES.findall(line.lower() + " ")).dictionary_encode()
-        numbers = self.numbered(self.pieces, found.dictionary.to_pylist(), self.learn_pieces)
+        numbers = self.numbered(self.pieces, listed(found.dictionary), self.learn_pieces)
         ids, ends = self.pieces.gather(numbers[found.indices.to_numpy()])
         blank = found.dictionary.index(" ").as_py()
         self.known.add(chunks, ids, ends[found.indices.to_numpy() == blank])
@@ -159,13 +159,14 @@ class Encoder:
             self.pieces.add(lot, ids, ends)
 
     def numbered(self, store: Ragged, keys: list[str], learn) -> np.ndarray:
-        """The keys' numbers in ``store``, which learns those that it lacks."""
+        """The numbers of distinct keys in ``store``, which learns those that it lacks."""
         got = np.array(list(map(store.number.get, keys, itertools.repeat(-1))), np.int64)
         lacking = np.flatnonzero(got < 0)
         if len(lacking):
             new = [keys[k] for k in lacking.tolist()]
             learn(new)
             got[lacking] = list(map(store.number.__getitem__, new))
+        store.met[got] += 1
         return got
 
     def flat_ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -176,10 +177,10 @@ class Encoder:
             return np.concatenate([np.zeros(0, np.uint32), *made]), np.cumsum([len(x) for x in made])
         for store, most in ((self.known, CACHE), (self.pieces, PIECE_CACHE)):
             if len(store.number) > most:
-                store.__init__()
+                store.keep(store.often(most // 2))
         words = pc.ascii_split_whitespace(texts)
         found = words.flatten().dictionary_encode()
-        ids, ends = self.known.gather(self.numbered(self.known, found.dictionary.to_pylist(), self.learn)[found.indices.to_numpy()])
+        ids, ends = self.known.gather(self.numbered(self.known, listed(found.dictionary), self.learn)[found.indices.to_numpy()])
         last = np.cumsum(pc.list_value_length(words).to_numpy())
         return ids, np.concatenate((np.zeros(1, np.int64), ends))[last]
 

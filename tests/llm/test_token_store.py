@@ -93,6 +93,18 @@ def test_encoder_begins_anew_when_it_holds_much(monkeypatch):
     assert [x.tolist() for x in tokens.Encoder(TOKENIZER).ids(texts)] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
 
 
+def test_chunks_met_in_several_lots_outlast_a_full_store(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE", 10)
+    monkeypatch.setattr(tokens, "PIECE_CACHE", 12)
+    monkeypatch.setattr(tokens, "LOT", 50)
+    made, learned, texts = tokens.Encoder(TOKENIZER), [], [f"usual rare{i} and other{i}" for i in range(60)]
+    monkeypatch.setattr(made, "learn", lambda chunks, learn=made.learn: (learned.extend(chunks), learn(chunks)))
+    t = Tokenizer.from_file(TOKENIZER)
+    assert [x.tolist() for x in made.ids(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert learned.count("usual") == learned.count("and") == 1
+    assert len(made.known.number) < 25
+
+
 def test_more_distinct_ids_than_the_tables_name_are_coded():
     rng = np.random.default_rng(3)
     some = np.unique(rng.integers(1 << 20, 1 << 32, 300_000, dtype=np.uint32))
