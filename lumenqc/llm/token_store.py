@@ -89,7 +89,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
             made.append((name, len(ids), size))
 
         for batch in batches:
-            for at, x in enumerate(encode(batch.column(1))):
+            for at, x in enumerate(encode(batch.column(1), lots=2)):
                 if size and size + len(x) + 1 > FILE_IDS:
                     close()
                     ids, keys, size = [], [], 0

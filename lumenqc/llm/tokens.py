@@ -184,12 +184,12 @@ class Encoder:
         last = np.cumsum(pc.list_value_length(words).to_numpy())
         return ids, np.concatenate((np.zeros(1, np.int64), ends))[last]
 
-    def ids(self, texts: pa.Array | list[str | None]) -> Iterator[np.ndarray]:
-        """The ids of each text as unsigned 32-bit integers."""
+    def ids(self, texts: pa.Array | list[str | None], lots: int = 1) -> Iterator[np.ndarray]:
+        """The ids of each text as unsigned 32-bit integers; so many lots at once take more memory and look up fewer chunks."""
         if not isinstance(texts, pa.Array):
             texts = pa.array(texts, pa.string())
         sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy()
-        lot = np.cumsum(sizes, dtype=np.int64) // LOT
+        lot = np.cumsum(sizes, dtype=np.int64) // (LOT * lots)
         cuts = [0, *(np.flatnonzero(np.diff(lot)) + 1).tolist(), len(texts)]
         for a, b in zip(cuts, cuts[1:]):
             ids, ends = self.flat_ids(texts.slice(a, b - a))

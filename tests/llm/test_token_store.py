@@ -114,3 +114,14 @@ def test_more_distinct_ids_than_the_tables_name_are_coded():
     assert len(made) == 4 and modes[2:] == [c.CODED] * 2
     assert (c.decode(b"".join(made)) == ids).all()
     assert sum(map(len, made)) < 3.2 * len(ids)
+
+
+def test_several_lots_at_once_look_up_fewer_chunks(monkeypatch):
+    monkeypatch.setattr(tokens, "LOT", 50)
+    texts, asked, want = [f"usual word{i % 9} and other{i % 7}" for i in range(60)], [], []
+    for lots in (1, 3):
+        made, n = tokens.Encoder(TOKENIZER), []
+        monkeypatch.setattr(made, "flat_ids", lambda some, n=n, own=made.flat_ids: (n.append(len(some)), own(some))[1])
+        want.append([x.tolist() for x in made.ids(texts, lots)])
+        asked.append(len(n))
+    assert want[0] == want[1] and asked[1] < asked[0] / 2
