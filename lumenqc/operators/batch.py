@@ -53,6 +53,25 @@ def spent(attempts: DataFrame, key: str, attempt: str, gate: Column, seconds: Co
     return attempts.join(stop, key).where(F.col("stop").isNull() | (F.col(attempt) <= F.col("stop"))).groupBy(key).agg(F.sum(seconds).alias("seconds"), F.count(F.lit(1)).alias("ran"))
 
 
+def whole_sums(rows: DataFrame, group: str, value: str, order: list[str]) -> DataFrame:
+    """A row per group: ``whole``, its sum of doubles as added one after another by ``order``, rounded down; nulls don't count.
+
+    A sum's last bits hang on the order of adding. By any two orders it differs by less than n * 2**-52 times the sum of sizes, so
+    the whole part is open only for sums that lie about that near to a whole number: only these groups' rows are added again in order,
+    where a group's rows pass one task, sorted on disk if they are many. All other groups are combined before the shuffle.
+    Rows that are equal in ``order`` are added by their value.
+    """
+    slack = F.count(value) * F.sum(F.abs(value)) * 2.0**-51
+    sums = scale.written(rows.groupBy(group).agg(F.sum(value).alias("sum"), slack.alias("slack")), "sums")
+    near = F.coalesce(F.abs(F.col("sum") - F.rint("sum")) <= F.col("slack"), F.lit(False))
+    open_ones = sums.where(near).select(F.col(group).alias("c_group"))
+    again = rows.join(F.broadcast(open_ones) if scale.few(open_ones, "c_group") else open_ones, rows[group].eqNullSafe(F.col("c_group")), "left_semi")
+    ordered = Window.partitionBy(group).orderBy(*order, value).rowsBetween(Window.unboundedPreceding, 0)
+    upto = again.select(group, F.sum(value).over(ordered).alias("upto"), F.count(F.lit(1)).over(ordered).alias("place"))
+    added = upto.groupBy(group).agg(F.max_by("upto", "place").alias("sum"))
+    return sums.where(~near).select(group, "sum").unionByName(added).select(group, F.floor("sum").alias("whole"))
+
+
 def rolling_rate(items: DataFrame, group: str, order: list[str], seconds: str, size: int = 40) -> DataFrame:
     """The mean seconds of the last ``size`` items with a time over 0, how many remain, and the time that they will take."""
     placed = scale.numbered(items.where(F.col(seconds) > 0), group, order)

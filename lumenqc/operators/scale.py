@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lumenqc.operators.shared import shared_path
 
-#: Counts of ranges are broadcast up to so many rows and characters of group names; others are joined by group and range.
+#: Counts of ranges, and groups to look up, are broadcast up to so many rows and characters of group names; others are joined by shuffle.
 FEW_ROWS, FEW_CHARACTERS = 200_000, 10_000_000
 
 
@@ -27,6 +27,12 @@ def written(rows: DataFrame, name: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def few(table: DataFrame, group: str) -> bool:
+    """Whether ``table``, which is written, has so few rows and characters of group names that it may be broadcast."""
+    n, characters = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length(F.col(group).cast("string"))), F.lit(0))).first()
+    return n <= FEW_ROWS and characters <= FEW_CHARACTERS
+
+
 def ranged(rows: DataFrame, keys: list[str], parts: int | None) -> DataFrame:
     """``rows`` sorted by ``keys`` over all ranges, with ``at``, which ascends in that order, and the range's number ``part``."""
     cut = rows.repartitionByRange(*([parts] if parts else []), *keys).sortWithinPartitions(*keys)
@@ -41,10 +47,8 @@ def with_counts(cut: DataFrame, group: str, weight: Column) -> DataFrame:
     before = whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumns({"earlier": F.coalesce(F.sum("own").over(before), F.lit(0)), "of": F.sum("own").over(whole)})
     counts = written(counts.withColumnsRenamed({group: "c_group", "part": "c_part"}), "counts")
-    n, characters = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length(F.col("c_group").cast("string"))), F.lit(0))).first()
-    few = n <= FEW_ROWS and characters <= FEW_CHARACTERS
     same = cut[group].eqNullSafe(counts["c_group"]) & (cut["part"] == counts["c_part"])
-    return cut.join(F.broadcast(counts) if few else counts, same).drop("c_group", "c_part")
+    return cut.join(F.broadcast(counts) if few(counts, "c_group") else counts, same).drop("c_group", "c_part")
 
 
 def numbered(rows: DataFrame, group: str, order: list[str], parts: int | None = None) -> DataFrame:

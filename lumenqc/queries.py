@@ -429,7 +429,8 @@ def qc_upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH s AS (SELECT user_id, floor(sum(value))::BIGINT AS s FROM events GROUP BY 1) SELECT user_id, CASE WHEN s >= 3600 THEN format('{}:{:02d}:{:02d}', s // 3600, s % 3600 // 60, s % 60) ELSE format('{}:{:02d}', s // 60, s % 60) END AS spent FROM s""")
 def duration_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").groupBy("user_id").agg(F.sum("value").alias("s")).select("user_id", scores.duration(F.floor("s").cast("double")).alias("spent"))
+    spent = batch.whole_sums(read(spark, sf_dir, "events"), "user_id", "value", ["event_id"])
+    return spent.select("user_id", scores.duration(F.col("whole").cast("double")).alias("spent"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(CASE WHEN l_quantity / 50 <= 0.2 THEN 0 WHEN l_quantity / 50 >= 0.78 THEN 1 ELSE pow((l_quantity / 50 - 0.2) / 0.58, 2) * (3 - 2 * (l_quantity / 50 - 0.2) / 0.58) END, 6)::DOUBLE AS smooth,
